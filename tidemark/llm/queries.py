@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from tidemark.llm import decontamination, quality_rules
 from tidemark.llm.substring_dedup import op7_substring_dedup
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_decontamination": decontamination.SQL,
+}
