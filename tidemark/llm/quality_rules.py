@@ -24,7 +24,7 @@ from tidemark.llm import chunks, textbytes
 
 SYMBOLS = b"#*$%&|<>"
 #: Insults that mark toxic text.
-FLAGGED = ("idiot", "moron", "clown", "worthless")
+FLAGGED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: Documents that the sample has on average.
 SAMPLE = 512
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, quality_rules
+from tidemark.llm import decontamination, line_dedup, quality_rules
 from tidemark.llm.substring_dedup import op7_substring_dedup
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 SQL: dict[str, str] = {
     "op6_decontamination": decontamination.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
