@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, line_dedup, quality_rules
+from tidemark.llm import decontamination, jaccard_join, line_dedup, quality_rules
 from tidemark.llm.substring_dedup import op7_substring_dedup
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
