@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, jaccard_join, line_dedup, quality_rules
+from tidemark.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules
 from tidemark.llm.substring_dedup import op7_substring_dedup
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
