@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules
+from tidemark.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules, suffix_dedup
 from tidemark.llm.substring_dedup import op7_substring_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_decontamination": decontamination.op6_decontamination,
