@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules, suffix_dedup
+from tidemark.llm import bpe, chat_format, decontamination, jaccard_join, line_dedup, quality_rules, suffix_dedup, url_filter
 from tidemark.llm.substring_dedup import op7_substring_dedup
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.SQL,
     "op6_decontamination": decontamination.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op10_url_filter": url_filter.SQL,
 }
