@@ -129,9 +129,11 @@ def candidate_sets(docs: DataFrame, how: chunks.Deal) -> DataFrame:
             if n and alone < n - needed(n) + 1:
                 head = np.lexsort((hashes, code))[alone:size]
                 tokens, code = hashes[head], code[head]
+            else:
+                code = code[:0]
             rows["node"].append(int.from_bytes(digest[:8], "little", signed=True))
             rows["repeated"].append(len(tokens))
-            rows["scan"].append(float(np.sum(2.0 ** (code / 4))) if len(tokens) else 0.0)
+            rows["scan"].append(float(np.sum(1 + code / 4)))
             rows["tokens"].append(tokens.tobytes())
             rows["shingles"].append(hashes.tobytes() if len(tokens) else None)
         return pa.table(rows, schema=_ARROW_SETS)
@@ -145,7 +147,10 @@ _ARROW_SETS = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("n", pa
 
 
 def boundary(sets: DataFrame) -> int:
-    """The size up to which enumerating 2-subsets costs less than scanning inverted lists, summed over all sets."""
+    """The size up to which enumerating 2-subsets costs less than scanning inverted lists, summed over all sets.
+
+    A subset costs one row. A list of f entries costs 1 + log2(f) an entry, for the row and its share of the sort.
+    """
     step = F.floor(F.log2("n") * 8)
     costs = sets.where("repeated > 0").groupBy(step.alias("step")).agg(F.max("n").alias("n"), F.sum(F.expr("cast(repeated as double) * (repeated - 1) / 2 + 1")).alias("light"), F.sum("scan").alias("heavy"))
     rows = sorted((r.step, r.n, r.light, r.heavy) for r in costs.collect())  # at most a row per eighth of a power of two
