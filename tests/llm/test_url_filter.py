@@ -60,4 +60,6 @@ def test_edges(spark):
 def test_query(spark, sf_dir):
     rows = U.op10_url_filter(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
-    assert {r.kept for r in rows} == {True, False}
+    assert all(r.kept == (r.n_entries == 0) for r in rows)
+    entries = U.feed(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    assert {e.kind for e in entries} == {"domain", "prefix"} and {e.action for e in entries} == {"add", "remove"}

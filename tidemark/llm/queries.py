@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat_format, decontamination, jaccard_join, line_dedup, quality_rules, suffix_dedup, url_filter
+from tidemark.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, line_dedup, quality_rules, suffix_dedup, url_filter
 from tidemark.llm.substring_dedup import op7_substring_dedup
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_quality_rules": quality_rules.op4_quality_rules,
