@@ -23,8 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import chunks
+from tidemark.llm.shared import others
 
 #: Pre-tokens that a worker's cache holds in each of its two generations.
 CACHE = 250_000
@@ -191,6 +193,26 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def tokenized(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """The rows with all their columns but the text, its ids, and whether they decode to the text's bytes."""
+    shared = _share(docs.sparkSession, vocabulary)
+    rows = docs.select("doc_id", "text", others(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared, pattern)
+        for batch in batches:
+            for table in chunks.slices(pa.Table.from_batches([batch])):
+                texts = table.column("text").to_pylist()
+                ids = [codec.encode(x) for x in texts]
+                same = [codec.decode(x) == (t or "").encode() for x, t in zip(ids, texts)]
+                columns = {"doc_id": table.column("doc_id"), "row": table.column("row"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "round_trip": pa.array(same, pa.bool_())}
+                yield from pa.table(columns).to_batches()
+
+    schema = T.StructType().add("doc_id", "long").add(rows.schema["row"]).add("n_tokens", "long").add("ids", "binary").add("round_trip", "boolean")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return rows.mapInArrow(run, schema).select("doc_id", *own, "n_tokens", "ids", "round_trip")
+
+
 def default_vocabulary() -> tuple[str, str]:
     """Path of the rank file and the pattern of the pre-tokens."""
     import public_tokenizers

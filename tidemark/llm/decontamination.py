@@ -22,12 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import chunks, textbytes
+from tidemark.llm.shared import others, restored
 from tidemark.llm.substring_dedup import sha256
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _FOUND = "doc_id long, text string, n_words long, hits array<struct<start:long,end:long>>, items array<long>"
+#: The words of items that one broadcast holds, about.
+BLOCK_WORDS = 200_000
 
 
 class Automaton:
@@ -125,17 +129,18 @@ def _block(items: list[tuple[int | None, str]], min_words: int, min_coverage: fl
     return automaton, size, np.unique(_grams(data, offsets, size)[4])
 
 
-def find_hits(docs: DataFrame, items: DataFrame, min_words: int = 10, min_coverage: float = 1.0, block_words: int = 200_000) -> DataFrame:
-    """doc_id, text, n_words, the hit word intervals and the item ids of each document."""
+def find_hits(docs: DataFrame, items: DataFrame, min_words: int = 10, min_coverage: float = 1.0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, text, n_words, the hit word intervals and the item ids of each document; other columns in `row`."""
     spark = docs.sparkSession
     sized = items.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / (4 * block_words)))
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("hits"), F.expr("cast(array() as array<long>)").alias("items"))
+    out = docs.select("doc_id", "text", others(docs), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("hits"), F.expr("cast(array() as array<long>)").alias("items"))
+    schema = T.StructType.fromDDL(_FOUND).add("row", out.schema["row"].dataType)
     for b in range(blocks):
         part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = [(r[0], r[1]) for r in part.collect()]
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(_block(rows, min_words, min_coverage))), _FOUND)
+        out = out.mapInArrow(_search(spark.sparkContext.broadcast(_block(rows, min_words, min_coverage))), schema)
     return out
 
 
@@ -165,7 +170,7 @@ def _match(table: pa.Table, automaton: Automaton, size: int, known: np.ndarray,
             hits[doc].append({"start": at + end - length, "end": at + end})
             keys[doc].extend(found)
     counts = pa.array(np.diff(first), pa.int64())
-    columns = {"doc_id": table.column("doc_id"), "text": table.column("text"), "n_words": counts, "hits": pa.array([_merge(h) for h in hits], _HITS), "items": pa.array([sorted(set(k)) for k in keys], pa.list_(pa.int64()))}
+    columns = {"doc_id": table.column("doc_id"), "text": table.column("text"), "n_words": counts, "hits": pa.array([_merge(h) for h in hits], _HITS), "items": pa.array([sorted(set(k)) for k in keys], pa.list_(pa.int64())), "row": table.column("row")}
     return pa.table(columns)
 
 
@@ -199,10 +204,17 @@ def remove_hits(found: DataFrame) -> DataFrame:
                     out[i] = _without(out[i].encode(), hits)
             yield from table.add_column(at + 1, "cleaned", pa.array(out, pa.string())).to_batches()
 
-    schema = ", ".join(f"`{n}` {t}" + (", cleaned string" if n == "text" else "") for n, t in found.dtypes)
+    schema = T.StructType()
+    for field in found.schema:
+        schema = schema.add(field).add("cleaned", "string") if field.name == "text" else schema.add(field)
     return found.mapInArrow(cut, schema)
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows, with all their columns, without the spans that match an item."""
+    return restored(remove_hits(find_hits(docs, items)), docs, "cleaned")
+
+
 def _without(raw: bytes, hits: list[dict]) -> str:
     data, offsets = textbytes.flatten(pa.array([raw], pa.binary()))
     starts, ends, _ = textbytes.spans(textbytes.LOWER[data], offsets, textbytes.ALNUM)
@@ -214,7 +226,7 @@ def _without(raw: bytes, hits: list[dict]) -> str:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find_hits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     n_hit = hit_words()
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha256(F.array_join(names, ",")).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -328,5 +328,12 @@ def jaccard_join(docs: DataFrame, group_hashes: int = GROUP_HASHES, how: chunks.
     return rows.join(least, "cluster", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, of the least doc_id of each component. A row without an id stays if no id is
+    linked with it."""
+    kept = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

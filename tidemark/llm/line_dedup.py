@@ -23,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import chunks
 from tidemark.llm.cuckoo import CuckooFilter, Full
+from tidemark.llm.shared import others, restored
 from tidemark.llm.substring_dedup import sha256
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -164,9 +166,9 @@ def lookup(refs: DataFrame, states: DataFrame, shards: int) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept_text of every row."""
+    """doc_id, n_lines, n_dropped, kept_text of every row, and its other columns in the struct `row`."""
     per = dropped.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
-    rows = docs.select("doc_id", "text").join(per, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "gone")
+    rows = docs.select("doc_id", "text", others(docs)).join(per, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "row", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,9 +182,10 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, min_chars: int = MIN_CHARS)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
                 kept_text.append(b"\n".join(kept).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept_text, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept_text, pa.string()), batch.column("row")], names=["doc_id", "n_lines", "n_dropped", "kept_text", "row"])
 
-    return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    schema = T.StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept_text string").add("row", rows.schema["row"].dataType)
+    return rows.mapInArrow(run, schema)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> DataFrame:
@@ -193,8 +196,13 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     return drop_lines(docs, lookup(refs, states, shards), min_chars)
 
 
+def without_lines(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, without the lines that drop."""
+    return restored(line_dedup(docs), docs, "kept_text")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", sha256("kept_text").alias("kept_sha256"))
 
 

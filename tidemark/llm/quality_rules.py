@@ -197,5 +197,20 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: pa.ChunkedArra
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
 
 
+def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: pa.ChunkedArray | None = None) -> DataFrame:
+    """The rows, with all their columns, that pass the base test and every rule."""
+    order = ordered(estimate(sampled(docs) if sample is None else sample, rules))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for table in chunks.slices(pa.Table.from_batches([batch])):
+                texts = Texts(table.column("text"))
+                passed = np.flatnonzero(~base_failed(texts))
+                good = passed[cascade(texts.take(passed), order) < 0]
+                yield from table.take(pa.array(good)).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rejected_by")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,6 +20,17 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def others(docs: DataFrame) -> Column:
+    """Every column but doc_id and text in one struct named `row`, so that no name can clash on the way."""
+    return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("row")
+
+
+def restored(frame: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of `docs` in their order, with the text taken from the named column and n_chars following it."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return frame.select(*((own[c] if c in own else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
     path = f"{folder(frame.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
