@@ -71,19 +71,20 @@ def blobs(hashes: np.ndarray, chunk: int, buckets: int, kind: str = "<u8") -> pa
 def answer(sent: DataFrame, code: Callable[[np.ndarray], np.ndarray], kind: str = "<u8") -> DataFrame:
     """Per blob, a byte for each of its hashes: `code` of the number of chunks that sent the hash; 0 for one chunk."""
 
-    def count(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column("data")]
-        every = np.concatenate(parts)
-        every.sort()
-        at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
-        many = np.diff(at) > 1
-        values, codes = every[at[:-1][many]], code(np.diff(at)[many]).astype(np.uint8)
-        del every
-        return pa.table(
-            {"bucket": table.column("bucket"), "chunk": table.column("chunk"), "data": pa.array([_look(values, codes, p).tobytes() for p in parts], pa.binary())}
-        )
-
-    return sent.groupBy("bucket").applyInArrow(count, BLOBS)
+    return sent.groupBy("bucket").applyInArrow(lambda table: counted(table, code, kind), BLOBS)
+
+
+def counted(table: pa.Table, code: Callable[[np.ndarray], np.ndarray], kind: str = "<u8") -> pa.Table:
+    """`answer` for the blobs of one bucket."""
+    parts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column("data")]
+    every = np.concatenate(parts)
+    every.sort()
+    at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
+    many = np.diff(at) > 1
+    values, codes = every[at[:-1][many]], code(np.diff(at)[many]).astype(np.uint8)
+    del every
+    data = pa.array([_look(values, codes, p).tobytes() for p in parts], pa.binary())
+    return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "data": data})
 
 
 def _look(values: np.ndarray, codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:

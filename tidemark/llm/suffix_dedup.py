@@ -49,7 +49,7 @@ class Segments:
 
 def segments(data: np.ndarray, offsets: np.ndarray, size: int) -> Segments:
     n = int(offsets[-1])
-    gram = max(1, size // 10)
+    gram = max(1, size // 3)
     width = size - gram + 1
     ends = np.repeat(offsets[1:], np.diff(offsets))
     valid = ends - np.arange(n) >= size
@@ -99,50 +99,44 @@ class SuffixArray:
         self.starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         self.text = np.frombuffer(b"".join(strings) + bytes(8), dtype=np.uint8)
         n = int(sizes.sum())
-        self.string = np.repeat(np.arange(len(strings)), sizes)
-        self.left = (self.starts + sizes)[self.string] - np.arange(n)  # bytes to the end of the string
+        self.string = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+        self.left = np.repeat(self.starts + sizes, sizes).astype(np.int32) - np.arange(n, dtype=np.int32)  # bytes to the string's end
         lanes = np.ndarray(shape=(n,), dtype=">u8", buffer=self.text, strides=(1,)).astype(np.uint64)
         short = np.minimum(self.left, 8)
         lanes &= ~textbytes._LOW[8 - short]
-        order = np.lexsort((short, lanes))
-        new = np.concatenate(([True], (lanes[order][1:] != lanes[order][:-1]) | (short[order][1:] != short[order][:-1])))
-        self.levels: list[tuple[int, np.ndarray]] = []
-        rank = self._ranks(order, new)
+        order = np.argsort(lanes, kind="stable").astype(np.int32)
+        sorted_lanes, sorted_short = lanes[order], short[order]
+        if (mixed := np.flatnonzero((sorted_lanes[1:] == sorted_lanes[:-1]) & (sorted_short[1:] < sorted_short[:-1]))).size:
+            order = np.lexsort((short, lanes)).astype(np.int32)  # zero bytes next to ends of strings
+            sorted_lanes, sorted_short = lanes[order], short[order]
+        del lanes, mixed
+        new = np.ones(n, dtype=bool)
+        new[1:] = (sorted_lanes[1:] != sorted_lanes[:-1]) | (sorted_short[1:] != sorted_short[:-1])
+        self.order = order
+        rank = np.empty(n, dtype=np.int32)  # of each suffix: the place at which its group of equals begins
+        rank[order] = _group_starts(new, np.arange(n, dtype=np.int32))
+        self.levels: list[tuple[int, np.ndarray]] = [(8, rank)]
+        places = _in_groups(new)
         size, longest = 8, int(sizes.max(initial=0))
-        self.levels.append((size, rank))
-        while size < longest:
-            order, rank, more = self._double(order, rank, size)
+        while size < longest and len(places):
+            rank = rank.copy()
+            places = self._double(rank, places, size)
             size *= 2
             self.levels.append((size, rank))
-            if not more:
-                break
-        self.order = order
 
-    @staticmethod
-    def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
-        """Each suffix's rank: the place at which its group of equals begins."""
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        return rank
-
-    def _double(self, order: np.ndarray, rank: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Order and ranks by twice as many bytes; only groups of equal and unfinished suffixes are sorted again."""
-        n = len(order)
-        here = rank[order]
-        again = np.concatenate((here[1:] == here[:-1], [False]))
-        again[1:] |= again[:-1].copy()
-        places = np.flatnonzero(again)
-        if not len(places):
-            return order, rank, False
-        sub = order[places]
-        next_ = np.where(self.left[sub] > size, rank[np.minimum(sub + size, n - 1)] + 1, 0)
-        key = rank[sub] * (n + 1) + next_
+    def _double(self, rank: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+        """Sorts the groups of suffixes that were equal in `size` bytes by the next `size`; `rank` and the order change in
+        place. Returns the places of those still equal."""
+        sub = self.order[places]
+        follows = np.where(self.left[sub] > size, self.levels[-1][1][np.minimum(sub + size, len(rank) - 1)] + 1, 0)
+        key = rank[sub].astype(np.int64) * (len(rank) + 1) + follows
         by = np.argsort(key, kind="stable")
-        order = order.copy()
-        order[places] = sub[by]
-        new = np.ones(n, dtype=bool)
-        new[places[1:]] = key[by][1:] != key[by][:-1]
-        return order, self._ranks(order, new), True
+        sub, key = sub[by], key[by]
+        self.order[places] = sub
+        new = np.ones(len(sub), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[sub] = _group_starts(new, places)
+        return places[_in_groups(new)]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at a and b have in common, by the ranks of ever shorter prefixes."""
@@ -181,6 +175,19 @@ class SuffixArray:
                     stack.append((h, at))
 
 
+def _group_starts(new: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each member of sorted groups the place at which its group begins."""
+    first = np.flatnonzero(new)
+    return np.repeat(places[first], np.diff(np.append(first, len(new))))
+
+
+def _in_groups(new: np.ndarray) -> np.ndarray:
+    """The members of groups of two and more."""
+    alone = new.copy()
+    alone[:-1] &= new[1:]
+    return np.flatnonzero(~alone).astype(np.int32)
+
+
 def covered_bytes(array: SuffixArray, least: int) -> np.ndarray:
     """Flags of the bytes of the joined strings that lie in a maximal repeat."""
     n = len(array.order)
@@ -193,7 +200,7 @@ def covered_bytes(array: SuffixArray, least: int) -> np.ndarray:
 
 # --- the Spark job -------------------------------------------------------------------------------------------------
 
-_SPOKEN = "bucket int, chunk int, anchor long, body long, lead boolean, bytes binary"
+_SPOKEN = "kind int, bucket int, chunk int, anchor long, body long, lead boolean, data binary"
 _REPLY = "kind int, bucket int, chunk int, anchor long, body long, data binary"
 _PAIR = np.dtype([("anchor", "<u8"), ("body", "<u8")])
 _COVERED, _SEVERAL, _LEADS, _HOT = 1, 2, 4, 8
@@ -265,27 +272,43 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = No
         take = np.flatnonzero((codes & _SEVERAL > 0) & (codes & _LEADS > 0) & (codes & _HOT == 0))
         bodies = [data[a : a + w - 1 + size].tobytes() for a, w in zip(found.start[one[take]], found.windows[one[take]])]
         chunk = texts.column("chunk")[0].as_py() if texts.num_rows else 0
-        spoken = pa.table({"bucket": pa.array((pairs["anchor"][take] % np.uint64(arrays)).astype(np.int32)), "chunk": pa.array(np.full(len(take), chunk), pa.int32()), "anchor": pa.array(pairs["anchor"][take].view(np.int64)), "body": pa.array(pairs["body"][take].view(np.int64)), "lead": pa.array((codes[take] & _COVERED > 0) | (times[take] > 1)), "bytes": pa.array(bodies, pa.binary())})
-        return spoken
+        hot_windows = np.unique(_hot_windows(data, found, codes[which], size)[0])
+        blobs = chunks.blobs(hot_windows, chunk, arrays)
+        n, m = len(take), blobs.num_rows
+        bucket = (pairs["anchor"][take] % np.uint64(arrays)).astype(np.int32)
+        return pa.table(
+            {
+                "kind": pa.array(np.repeat([1, 2], [n, m]), pa.int32()),
+                "bucket": pa.array(np.concatenate((bucket, blobs.column("bucket").to_numpy())), pa.int32()),
+                "chunk": pa.array(np.full(n + m, chunk), pa.int32()),
+                "anchor": pa.array(np.concatenate((pairs["anchor"][take].view(np.int64), np.zeros(m, np.int64)))),
+                "body": pa.array(np.concatenate((pairs["body"][take].view(np.int64), np.zeros(m, np.int64)))),
+                "lead": pa.array(np.concatenate(((codes[take] & _COVERED > 0) | (times[take] > 1), np.zeros(m, bool)))),
+                "data": pa.array([*bodies, *blobs.column("data").to_pylist()], pa.binary()),
+            }
+        )
 
     def scan(table: pa.Table) -> pa.Table:
-        """Covered bytes of the segments that occur once, from one suffix array per bucket."""
-        array = SuffixArray([x.as_py() for x in table.column("bytes")])
+        """Covered bytes of the segments that occur once, from one suffix array per bucket; and counts of hot windows."""
+        kinds = table.column("kind").to_numpy()
+        hot_rows, table = table.filter(pa.array(kinds == 2)), table.filter(pa.array(kinds == 1))
+        counted = chunks.counted(hot_rows, lambda n: np.minimum(n, 2)) if hot_rows.num_rows else hot_rows
+        none = pa.array(np.zeros(hot_rows.num_rows, np.int64))
+        told = _reply(2, counted.column("bucket"), counted.column("chunk"), none, none, counted.column("data").to_pylist())
+        if not table.num_rows:
+            return told
+        array = SuffixArray([x.as_py() for x in table.column("data")])
         gone = covered_bytes(array, size)
-        ask = np.flatnonzero(~table.column("lead").to_numpy(zero_copy_only=False))
+        ask = np.flatnonzero(~table.column("lead").to_numpy())
         rows, data = [], []
         for i in ask:
             a = int(array.starts[i])
-            lo, hi = textbytes.runs(gone[a : a + len(table.column("bytes")[int(i)].as_buffer())])
+            lo, hi = textbytes.runs(gone[a : a + len(table.column("data")[int(i)].as_buffer())])
             if len(lo):
                 rows.append(i)
                 data.append(np.stack((lo, hi), axis=1).astype("<i4").tobytes())
         picked = table.take(pa.array(rows, pa.int64()))
-        return _reply(1, picked.column("bucket"), picked.column("chunk"), picked.column("anchor"), picked.column("body"), data)
-
-    def send_hot(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        data, _, found, pairs, which, _ = _read(texts, size)
-        return chunks.blobs(np.unique(_hot_windows(data, found, chunks.gather(answers)[which], size)[0]), texts.column("chunk")[0].as_py() if texts.num_rows else 0, buckets)
+        return pa.concat_tables([told, _reply(1, picked.column("bucket"), picked.column("chunk"), picked.column("anchor"), picked.column("body"), data)])
 
     def remove(texts: pa.Table, replies: pa.Table) -> pa.Table:
         data, offsets, found, pairs, which, times = _read(texts, size)
@@ -323,9 +346,8 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = No
     both = placed.groupBy("chunk").cogroup(judged.groupBy("chunk"))
     spoken = both.applyInArrow(speak, _SPOKEN)
     scanned = spoken.groupBy("bucket").applyInArrow(scan, _REPLY)
-    counted = chunks.answer(both.applyInArrow(send_hot, chunks.BLOBS), lambda n: np.minimum(n, 2))
-    plain = lambda frame, kind: frame.select(F.lit(kind).alias("kind"), "bucket", "chunk", F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("body"), "data")
-    replies = plain(judged, 0).union(scanned).union(plain(counted, 2))
+    none = F.lit(0).cast("long")
+    replies = judged.select(F.lit(0).alias("kind"), "bucket", "chunk", none.alias("anchor"), none.alias("body"), "data").union(scanned)
     return placed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(remove, SCHEMA)
 
 
