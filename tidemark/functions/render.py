@@ -29,5 +29,5 @@ def asset_json(column: str) -> Column:
 
 def value_json(column: str | Column) -> Column:
     """A multi-asset value, policy to asset to quantity, as a JSON object with sorted keys."""
-    order = lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))
-    return F.to_json(F.transform_values(order(column), lambda _, assets: order(assets)))
+    order = lambda m: F.map_from_arrays(F.array_sort(F.map_keys(m)), F.transform(F.array_sort(F.map_keys(m)), lambda k: F.element_at(m, k)))
+    return F.to_json(F.transform_values(order(F.col(column) if isinstance(column, str) else column), lambda _, assets: order(assets)))

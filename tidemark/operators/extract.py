@@ -25,20 +25,19 @@ def outputs(txs: DataFrame) -> DataFrame:
 
 
 def inputs(txs: DataFrame) -> DataFrame:
-    """Outputs that the transaction spent: with an invalid script its collateral. One row per output of valid rows."""
+    """Outputs that the transaction spent: with an invalid script its collateral."""
     used = F.when(F.col("tx.script_valid"), F.col("tx.inputs")).otherwise(F.col("tx.collateral_inputs"))
     rows = txs.select("slot_no", "block_hash", F.col("tx.tx_id").alias("spent_at_tx"), F.explode(used).alias("i"))
-    first = F.min_by(F.struct("spent_at_tx", "slot_no", "block_hash"), F.struct("slot_no", "spent_at_tx")).alias("s")
-    return rows.groupBy("i.tx_id", "i.tx_ix").agg(first).select("tx_id", "tx_ix", "s.spent_at_tx", "s.slot_no", "s.block_hash")
+    return rows.select("i.tx_id", "i.tx_ix", "spent_at_tx", "slot_no", "block_hash")
 
 
 def datums(txs: DataFrame) -> DataFrame:
-    """Witness and inline data by hash; of one hash a witness goes before an inline datum, an early row before a late one."""
+    """Witness and inline data of each block by hash; of one hash a witness goes before an inline datum."""
     seen = txs.select("slot_no", "block_hash", F.explode("tx.witness_datums").alias("datum_hash", "datum")).withColumn("kind", F.lit(0))
     inline = txs.select("slot_no", "block_hash", F.explode("tx.outputs").alias("o")).where("o.inline_datum is not null")
     inline = inline.select("slot_no", "block_hash", F.sha2("o.inline_datum", 256).alias("datum_hash"), F.col("o.inline_datum").alias("datum"), F.lit(1).alias("kind"))
-    best = F.min_by(F.struct("datum", "slot_no", "block_hash"), F.struct("slot_no", "kind", "datum")).alias("d")
-    return seen.unionByName(inline).groupBy("datum_hash").agg(best).select("datum_hash", "d.datum", "d.slot_no", "d.block_hash")
+    best = F.min_by("datum", F.struct("kind", "datum")).alias("datum")
+    return seen.unionByName(inline).groupBy("slot_no", "block_hash", "datum_hash").agg(best).select("datum_hash", "datum", "slot_no", "block_hash")
 
 
 def mints(txs: DataFrame) -> DataFrame:

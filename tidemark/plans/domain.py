@@ -12,8 +12,9 @@ from tidemark.operators.preprocess import first_sighting, tracked_assets
 
 def spent_once(spent: DataFrame) -> DataFrame:
     """One spend per output: the earliest."""
-    first = F.min_by(F.struct("spent_at_tx", "slot_no"), F.struct("slot_no", "spent_at_tx")).alias("s")
-    return spent.groupBy("tx_id", "tx_ix").agg(first).select("tx_id", "tx_ix", "s.spent_at_tx", F.col("s.slot_no").alias("slot_no"))
+    rest = [c for c in spent.columns if c not in ("tx_id", "tx_ix")]
+    first = F.min_by(F.struct(*rest), F.struct("slot_no", "spent_at_tx")).alias("s")
+    return spent.groupBy("tx_id", "tx_ix").agg(first).select("tx_id", "tx_ix", *(f"s.{c}" for c in rest))
 
 
 def unspent(utxo: DataFrame, spent: DataFrame, upper: int | None, lower: int | None = None) -> DataFrame:

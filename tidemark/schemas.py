@@ -13,7 +13,10 @@ TX = (
     "mint: array<struct<policy_id: string, asset_name: string, quantity: decimal(38,0)>>, "
     "redeemers: array<struct<ix: int, redeemer_hash: string, redeemer: string>>>"
 )
-BLOCK = f"slot_no bigint, block_hash string, block_no bigint, epoch_no bigint, block_time double, tip_block_no bigint, txs array<{TX}>"
+_BLOCK = {"slot_no": "bigint", "block_hash": "string", "block_no": "bigint", "epoch_no": "bigint", "block_time": "double", "tip_block_no": "bigint", "txs": f"array<{TX}>"}
+BLOCK = ", ".join(f"{n} {t}" for n, t in _BLOCK.items())
+#: A recorded stream: a block for INDEX, a slot to go back to for ROLLBACK.
+STREAM = f"seq bigint, op string, to_slot bigint, block struct<{', '.join(f'{n}: {t}' for n, t in _BLOCK.items())}>"
 
 UTXO = f"address string, tx_index bigint, tx_id string, tx_ix int, datum_hash string, value {VALUE}, script string, script_hash string, slot_no bigint, block_hash string"
 SPENT = "tx_id string, tx_ix int, spent_at_tx string, slot_no bigint, block_hash string"
@@ -22,4 +25,4 @@ BLOCK_INFO = "slot_no bigint, block_hash string, block_no bigint, block_timestam
 MINT = "slot_no bigint, block_hash string, block_no bigint, tx_id string, tx_index bigint, policy_id string, asset_name string, quantity decimal(38,0), redeemer_hash string, redeemer string"
 EPOCH_SDD = "epoch_no bigint, pool_id string, lovelace decimal(38,0), block_no bigint, slot_no bigint, block_hash string"
 EPOCH_NONCE = "epoch_no bigint, nonce string, block_no bigint, slot_no bigint, block_hash string"
-PROGRESS = "batch_id bigint, table_name string, last_sync bigint, last_stable bigint"
+PROGRESS = "generation bigint, batch_id bigint, table_name string, last_sync bigint, last_stable bigint"

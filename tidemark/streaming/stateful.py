@@ -1,0 +1,53 @@
+"""State machines over a stream, one state per chain: the change of epoch, and a running fold."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+
+class FirstOfEpoch(StatefulProcessor):
+    """Lets a row pass when its epoch differs from that of the row before it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "epoch_no bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("slot_no")
+        before = self.last.get()[0] if self.last.exists() else None
+        keep = frame["epoch_no"] != frame["epoch_no"].shift().fillna(-1 if before is None else before)
+        self.last.update((int(frame["epoch_no"].iloc[-1]),))
+        yield frame.loc[keep, ["chain", "slot_no", "epoch_no"]]
+
+    def close(self) -> None:
+        pass
+
+
+class RunningFold(StatefulProcessor):
+    """Adds up values; each row gets the total so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "total bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("slot_no")
+        before = self.total.get()[0] if self.total.exists() else 0
+        frame["total"] = frame["value"].fillna(0).astype("int64").cumsum() + before
+        self.total.update((int(frame["total"].iloc[-1]),))
+        yield frame[["chain", "slot_no", "total"]]
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_epoch(stream: DataFrame) -> DataFrame:
+    """From (chain, slot_no, epoch_no); rows of one chain arrive in order of slots from batch to batch."""
+    return stream.groupBy("chain").transformWithStateInPandas(FirstOfEpoch(), "chain string, slot_no bigint, epoch_no bigint", "Append", "None")
+
+
+def running_fold(stream: DataFrame) -> DataFrame:
+    """From (chain, slot_no, value)."""
+    return stream.groupBy("chain").transformWithStateInPandas(RunningFold(), "chain string, slot_no bigint, total bigint", "Append", "None")
