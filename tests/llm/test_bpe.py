@@ -29,22 +29,58 @@ def test_as_the_library(both):
     parts = ["a", "th", "the ", "aaaa", "é", "日本", "\n", "  ", "\t", "!!", "%%%", "0", "123", "'s", "'ll", "ab" * 9, "\x1c", "​", "🙂"]
     for _ in range(400):
         text = "".join(rng.choice(parts) for _ in range(rng.choice([1, 5, 30, 200])))
-        assert ids(codec.encode(text)) == library.encode_ordinary(text)
-        assert codec.decode(codec.encode(text)) == text.encode()
+        assert ids(codec.encode([text])[0]) == library.encode_ordinary(text)
+        assert codec.decode(codec.encode([text])[0]) == text.encode()
 
 
 def test_long_pre_tokens(both):
     codec, library = both
     for text in ("a" * 5000, "ab" * 3000, "thing" * 2000 + "x" * 999):
-        assert ids(codec.encode(text)) == library.encode_ordinary(text)
-    assert codec.decode(codec.encode("xyz" * 100_000)) == b"xyz" * 100_000
+        assert ids(codec.encode([text])[0]) == library.encode_ordinary(text)
+    assert codec.decode(codec.encode(["xyz" * 100_000])[0]) == b"xyz" * 100_000
 
 
-def test_cache_is_bounded(both):
-    pieces = bpe.Pieces(both[0].pieces.encoder, size=10)
-    for i in range(100):
-        assert pieces[f"w{i}"] == both[0].pieces[f"w{i}"]
-        assert len(pieces) <= 10 and len(pieces.old) <= 10
+def test_batches_of_all_sorts(both):
+    """Many pre-tokens share the queue, and what is remembered is bounded."""
+    codec, library = both
+    small = bpe.Codec(codec.encoder.ranks, PATTERN, remembered=50)
+    rng = random.Random(8)
+    for _ in range(30):
+        texts = [None, ""] + ["".join(rng.choice("aabcé th日!0\n") for _ in range(rng.randrange(60))) for _ in range(20)]
+        for c in (codec, small):
+            assert [ids(x) for x in c.encode(texts)] == [library.encode_ordinary(t or "") for t in texts]
+
+
+def test_order_inside_a_pre_token():
+    """Merges that make pairs of lower ranks, and overlapping pairs, against the plain rule."""
+    rng = random.Random(3)
+    for _ in range(60):
+        tokens = {bytes([b]) for b in range(256)}
+        parts = ["a", "b", "c"]
+        for _ in range(rng.randrange(4, 25)):
+            joined = rng.choice(parts) + rng.choice(parts)
+            parts.append(joined)
+            tokens.add(joined.encode())
+        shuffled = sorted(tokens)
+        rng.shuffle(shuffled)
+        ranks = {t: i for i, t in enumerate(shuffled)}
+        encoder = bpe.Encoder(ranks)
+        pieces = ["".join(rng.choice("abc" if rng.random() < 0.7 else "a") for _ in range(rng.randrange(1, 30))).encode() for _ in range(20)]
+        out, offsets = encoder.encode(pieces)
+        for piece, a, b in zip(pieces, offsets[:-1], offsets[1:]):
+            assert out[a:b].tolist() == plain(piece, ranks)
+
+
+def plain(piece, ranks):
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [bytes([b]) for b in piece]
+    while True:
+        found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
 def test_query(spark, sf_dir, both):
