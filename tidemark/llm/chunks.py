@@ -8,6 +8,7 @@ chunk, and the answer is by rank of the hash, so it does not depend on the order
 
 from __future__ import annotations
 
+import ctypes
 import dataclasses
 import math
 from collections.abc import Callable, Iterator
@@ -17,6 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 BLOBS = "bucket int, chunk int, data binary"
 
 
@@ -71,7 +78,7 @@ def blobs(hashes: np.ndarray, chunk: int, buckets: int, kind: str = "<u8") -> pa
 def answer(sent: DataFrame, code: Callable[[np.ndarray], np.ndarray], kind: str = "<u8") -> DataFrame:
     """Per blob, a byte for each of its hashes: `code` of the number of chunks that sent the hash; 0 for one chunk."""
 
-    return sent.groupBy("bucket").applyInArrow(lambda table: counted(table, code, kind), BLOBS)
+    return sent.groupBy("bucket").applyInArrow(tidy(lambda table: counted(table, code, kind)), BLOBS)
 
 
 def counted(table: pa.Table, code: Callable[[np.ndarray], np.ndarray], kind: str = "<u8") -> pa.Table:
@@ -100,8 +107,9 @@ def gather(answers: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), dtype=np.uint8) for _, x in pairs)])
 
 
-def slices(table: pa.Table, column: str = "text", most: int = 4 << 20) -> Iterator[pa.Table]:
-    """The rows in pieces of about `most` bytes of text, so that arrays over a piece stay small."""
+def slices(table: pa.Table, column: str = "text", most: int = 1 << 20) -> Iterator[pa.Table]:
+    """The rows in pieces of about `most` bytes of text, so that arrays over a piece stay small; memory that the pieces
+    leave free goes back to the system."""
     start, size = 0, 0
     for i, n in enumerate(_sizes(table.column(column))):
         if size and size + n > most:
@@ -110,6 +118,28 @@ def slices(table: pa.Table, column: str = "text", most: int = 4 << 20) -> Iterat
         size += n
     if start < table.num_rows:
         yield table.slice(start)
+    del table
+    give_back()
+
+
+def give_back() -> None:
+    """Python workers live on between tasks: what they no longer use must not add up next to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same function of a group, with give_back() after each."""
+
+    def run(*tables):
+        try:
+            return f(*tables)
+        finally:
+            give_back()
+
+    # Spark counts the arguments to tell whether a function takes the key
+    return {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}[f.__code__.co_argcount]
 
 
 def _sizes(column: pa.ChunkedArray) -> list[int]:

@@ -138,9 +138,9 @@ def candidate_sets(docs: DataFrame, how: chunks.Deal) -> DataFrame:
             rows["shingles"].append(hashes.tobytes() if len(tokens) else None)
         return pa.table(rows, schema=_ARROW_SETS)
 
-    sent = placed.groupBy("chunk").applyInArrow(send, chunks.BLOBS)
+    sent = placed.groupBy("chunk").applyInArrow(chunks.tidy(send), chunks.BLOBS)
     found = chunks.answer(sent, _code, "<u4")
-    return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(pick, _SETS)
+    return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(chunks.tidy(pick), _SETS)
 
 
 _ARROW_SETS = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("repeated", pa.int32()), ("scan", pa.float64()), ("tokens", pa.binary()), ("shingles", pa.binary())])
@@ -307,7 +307,7 @@ def clusters(sets: DataFrame, group_hashes: int = GROUP_HASHES) -> DataFrame:
     packs = max(1, math.ceil((total or 0) / 500_000))
     small = members.join(sizes.where(F.col("size") <= group_hashes).select("label"), "label")
     small = small.select("label", "digest", "shingles", F.pmod(F.xxhash64("label"), F.lit(packs)).alias("pack"))
-    out = small.groupBy("pack").applyInArrow(_verify, "digest binary, cluster binary")
+    out = small.groupBy("pack").applyInArrow(chunks.tidy(_verify), "digest binary, cluster binary")
     if (largest or 0) > group_hashes:
         giant = members.join(sizes.where(F.col("size") > group_hashes).select("label"), "label").select("node", "label", "n", "digest", "shingles")
         labels = _scan_blocks(giant, group_hashes)

@@ -56,13 +56,14 @@ def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hi, lo, owner = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                for key in {line_key(x, min_chars) for x in _lines(text)} - {None}:
-                    hi.append(key[0])
-                    lo.append(key[1])
-                    owner.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hi, lo, owner)] + [pa.array(np.ones(len(hi), np.int64))], names=["hi", "lo", "doc_id", "n"])
+            for table in chunks.slices(pa.Table.from_batches([batch])):
+                hi, lo, owner = [], [], []
+                for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text")):
+                    for key in {line_key(x, min_chars) for x in _lines(text)} - {None}:
+                        hi.append(key[0])
+                        lo.append(key[1])
+                        owner.append(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hi, lo, owner)] + [pa.array(np.ones(len(hi), np.int64))], names=["hi", "lo", "doc_id", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, REFS)
 
@@ -103,7 +104,7 @@ def build(keys: DataFrame) -> DataFrame:
         hi, lo, _ = _arrays(table)
         return _state(key[0].as_py(), table, CuckooFilter.built(hi, lo))
 
-    return keys.groupBy("shard").applyInArrow(one, STATE)
+    return keys.groupBy("shard").applyInArrow(chunks.tidy(one), STATE)
 
 
 def update(states: DataFrame, keys: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def update(states: DataFrame, keys: DataFrame) -> DataFrame:
             filter_ = CuckooFilter.built(hi, lo)
         return _state(key[0].as_py(), new, filter_)
 
-    return states.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(one, STATE)
+    return states.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(chunks.tidy(one), STATE)
 
 
 def _load(table: pa.Table) -> tuple[CuckooFilter, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +163,7 @@ def lookup(refs: DataFrame, states: DataFrame, shards: int) -> DataFrame:
         drop[drop] = doc[drop] < last[found[drop]]
         return asked.filter(pa.array(drop)).select(["doc_id", "hi", "lo"])
 
-    return asked.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(probe, "doc_id long, hi long, lo long")
+    return asked.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(chunks.tidy(probe), "doc_id long, hi long, lo long")
 
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -172,17 +173,19 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, min_chars: int = MIN_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_lines, n_dropped, kept_text = [], [], []
-            for text, gone in zip(batch.column("text"), batch.column("gone").to_pylist()):
-                lines = _lines(text)
-                kept = lines
-                if gone:
-                    keys = {(g["hi"], g["lo"]) for g in gone}
-                    kept = [x for x in lines if line_key(x, min_chars) not in keys]
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(kept))
-                kept_text.append(b"\n".join(kept).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept_text, pa.string()), batch.column("row")], names=["doc_id", "n_lines", "n_dropped", "kept_text", "row"])
+            for table in chunks.slices(pa.Table.from_batches([batch])):
+                n_lines, n_dropped, kept_text = [], [], []
+                for text, gone in zip(table.column("text"), table.column("gone").to_pylist()):
+                    lines = _lines(text)
+                    kept = lines
+                    if gone:
+                        keys = {(g["hi"], g["lo"]) for g in gone}
+                        kept = [x for x in lines if line_key(x, min_chars) not in keys]
+                    n_lines.append(len(lines))
+                    n_dropped.append(len(lines) - len(kept))
+                    kept_text.append(b"\n".join(kept).decode())
+                columns = {"doc_id": table.column("doc_id"), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_text": pa.array(kept_text, pa.string()), "row": table.column("row")}
+                yield from pa.table(columns).to_batches()
 
     schema = T.StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept_text string").add("row", rows.schema["row"].dataType)
     return rows.mapInArrow(run, schema)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, line_dedup, quality_rules, suffix_dedup, url_filter
-from tidemark.llm.substring_dedup import op7_substring_dedup
+from tidemark.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, line_dedup, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -12,7 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_decontamination": decontamination.op6_decontamination,
-    "op7_substring_dedup": op7_substring_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
@@ -20,7 +19,9 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op3_chat_format": chat_format.SQL,
+    "op4_quality_rules": quality_rules.SQL,
     "op6_decontamination": decontamination.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_url_filter": url_filter.SQL,
 }

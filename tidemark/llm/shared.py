@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, as in tests, a temporary folder of a local session."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+from tidemark.sources.shared import new_folder
 
 
 def others(docs: DataFrame) -> Column:
@@ -33,6 +21,6 @@ def restored(frame: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
-    path = f"{folder(frame.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

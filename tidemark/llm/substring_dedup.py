@@ -61,9 +61,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, how: chunks.Deal | None =
             rows["kept_text"].append(b" ".join(kept).decode())
         return pa.table(rows, schema=_ARROW)
 
-    sent = placed.groupBy("chunk").applyInArrow(send, chunks.BLOBS)
+    sent = placed.groupBy("chunk").applyInArrow(chunks.tidy(send), chunks.BLOBS)
     found = chunks.answer(sent, lambda n: np.minimum(n, 2))
-    return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(remove, SCHEMA)
+    return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(chunks.tidy(remove), SCHEMA)
 
 
 _ARROW = pa.schema(
@@ -84,3 +84,13 @@ def sha256(text: str | Column) -> Column:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p : p + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM g SEMI JOIN (SELECT g FROM g GROUP BY g HAVING count(*) > 1) USING (g)),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

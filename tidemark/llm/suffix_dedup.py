@@ -341,14 +341,14 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = No
             rows["kept"].append(data[a:b][~flags].tobytes() if len(lo) else data[a:b].tobytes())
         return pa.table({"doc_id": texts.column("doc_id"), "n_bytes": np.diff(offsets), **rows}, schema=_ARROW)
 
-    sent = placed.groupBy("chunk").applyInArrow(send, chunks.BLOBS)
-    judged = sent.groupBy("bucket").applyInArrow(_judge(hot), chunks.BLOBS)
+    sent = placed.groupBy("chunk").applyInArrow(chunks.tidy(send), chunks.BLOBS)
+    judged = sent.groupBy("bucket").applyInArrow(chunks.tidy(_judge(hot)), chunks.BLOBS)
     both = placed.groupBy("chunk").cogroup(judged.groupBy("chunk"))
-    spoken = both.applyInArrow(speak, _SPOKEN)
-    scanned = spoken.groupBy("bucket").applyInArrow(scan, _REPLY)
+    spoken = both.applyInArrow(chunks.tidy(speak), _SPOKEN)
+    scanned = spoken.groupBy("bucket").applyInArrow(chunks.tidy(scan), _REPLY)
     none = F.lit(0).cast("long")
     replies = judged.select(F.lit(0).alias("kind"), "bucket", "chunk", none.alias("anchor"), none.alias("body"), "data").union(scanned)
-    return placed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(remove, SCHEMA)
+    return placed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(chunks.tidy(remove), SCHEMA)
 
 
 def _hot_windows(data: np.ndarray, found: Segments, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
