@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 
-class IndexError_(Exception):
+class IngestError(Exception):
     """A failure of the write path."""
 
 
-class RollbackBehindHistory(IndexError_):
+class RollbackBehindHistory(IngestError):
     """A rollback to before the oldest position that is still kept."""
 
 
-class ResumingFailed(IndexError_):
+class ResumingFailed(IngestError):
     """The source went back behind the last stable position while it was being drained."""
 
 
-class InvalidTable(IndexError_):
+class InvalidTable(IngestError):
     """A stored table does not have the expected form."""
 
 
-class StopIngest(IndexError_):
+class StopIngest(IngestError):
     """The source asked to stop, or a table of the batch failed."""
 
 

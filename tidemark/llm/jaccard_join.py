@@ -304,7 +304,7 @@ def clusters(sets: DataFrame, group_hashes: int = GROUP_HASHES) -> DataFrame:
     sizes = members.groupBy("label").agg(F.sum("n").alias("size"), F.count("*").alias("many")).where("many > 1")
     sizes = written(sizes, "sizes")
     total, largest = sizes.agg(F.sum(F.when(F.col("size") <= group_hashes, F.col("size"))), F.max("size")).first()
-    packs = max(1, math.ceil((total or 0) / 500_000))
+    packs = max(1, math.ceil((total or 0) / 200_000))
     small = members.join(sizes.where(F.col("size") <= group_hashes).select("label"), "label")
     small = small.select("label", "digest", "shingles", F.pmod(F.xxhash64("label"), F.lit(packs)).alias("pack"))
     out = small.groupBy("pack").applyInArrow(chunks.tidy(_verify), "digest binary, cluster binary")

@@ -44,11 +44,13 @@ def scan(
     `total` is an associative aggregate (F.sum, F.min, F.max), `combine` the same for two columns, null being neutral.
     """
     rows = bucketed(frame, order, buckets).withColumn("_value", value)
-    far = (Window.unboundedPreceding, -1) if not reverse else (1, Window.unboundedFollowing)
-    near = (Window.unboundedPreceding, 0 if inclusive else -1) if not reverse else (0 if inclusive else 1, Window.unboundedFollowing)
+    # frames that end at the row grow in one pass; those that start there would be added up anew for every row, so a
+    # reverse scan sorts the other way
+    way = F.desc if reverse else F.asc
+    near = (Window.unboundedPreceding, 0 if inclusive else -1)
     sums = rows.groupBy(_B).agg(total(F.col("_value")).alias("_sum"))
-    others = sums.select(_B, total(F.col("_sum")).over(Window.orderBy(_B).rowsBetween(*far)).alias("_others"))
-    inside: WindowSpec = Window.partitionBy(_B).orderBy(order, *(ties or [])).rowsBetween(*near)
+    others = sums.select(_B, total(F.col("_sum")).over(Window.orderBy(way(_B)).rowsBetween(Window.unboundedPreceding, -1)).alias("_others"))
+    inside: WindowSpec = Window.partitionBy(_B).orderBy(way(order), *map(way, ties or [])).rowsBetween(*near)
     out = rows.join(F.broadcast(others), _B).withColumn("_own", total(F.col("_value")).over(inside))
     both = F.when(F.col("_own").isNull(), F.col("_others")).when(F.col("_others").isNull(), F.col("_own")).otherwise(combine(F.col("_own"), F.col("_others")))
     return out.withColumn(name, both).drop(_B, "_value", "_own", "_others")
