@@ -299,17 +299,20 @@ def _against(shared):
 
 def clusters(sets: DataFrame, group_hashes: int = GROUP_HASHES) -> DataFrame:
     """(digest, cluster) of the distinct texts that link with another text."""
-    groups = written(candidate_groups(sets, boundary(sets)), "groups")
-    members = sets.where("repeated > 0").select("node", "digest", "n", "shingles").join(groups, "node")
-    sizes = members.groupBy("label").agg(F.sum("n").alias("size"), F.count("*").alias("many")).where("many > 1")
+    groups = candidate_groups(sets, boundary(sets))
+    light = written(sets.where("repeated > 0").select("node", "n").join(groups, "node"), "groups")
+    sizes = light.groupBy("label").agg(F.sum("n").alias("size"), F.count("*").alias("many")).where("many > 1")
     sizes = written(sizes, "sizes")
     total, largest = sizes.agg(F.sum(F.when(F.col("size") <= group_hashes, F.col("size"))), F.max("size")).first()
     packs = max(1, math.ceil((total or 0) / 200_000))
-    small = members.join(sizes.where(F.col("size") <= group_hashes).select("label"), "label")
-    small = small.select("label", "digest", "shingles", F.pmod(F.xxhash64("label"), F.lit(packs)).alias("pack"))
+    # the sets themselves move twice: to their labels, and to their packs
+    members = sets.where("repeated > 0").select("node", "digest", "n", "shingles")
+    chosen = light.join(sizes.where(F.col("size") <= group_hashes).select("label"), "label").select("node", "label").distinct()
+    small = members.join(chosen, "node").select("label", "digest", "shingles", F.pmod(F.xxhash64("label"), F.lit(packs)).alias("pack"))
     out = small.groupBy("pack").applyInArrow(chunks.tidy(_verify), "digest binary, cluster binary")
     if (largest or 0) > group_hashes:
-        giant = members.join(sizes.where(F.col("size") > group_hashes).select("label"), "label").select("node", "label", "n", "digest", "shingles")
+        large = light.join(sizes.where(F.col("size") > group_hashes).select("label"), "label").select("node", "label").distinct()
+        giant = members.join(large, "node").select("node", "label", "n", "digest", "shingles")
         labels = _scan_blocks(giant, group_hashes)
         named = giant.select("node", "digest").join(labels, "node")
         heads = named.groupBy("label").agg(F.min("digest").alias("cluster"))
