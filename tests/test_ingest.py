@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tests.chain import block, output, tx
 from tidemark import errors, schemas
+from tidemark.serving import cli
 from tidemark.serving.rpc import Api, serve
 from tidemark.sources import chain as source
 from tidemark.streaming import stateful, stats
 from tidemark.streaming.cache import ResultCache
-from tidemark.streaming.ingest import Ingest, Settings
+from tidemark.streaming.ingest import Ingest, Settings, configured
 
 MINT = {"policy_id": "p", "asset_name": "t", "quantity": Decimal(-3)}
 
@@ -79,6 +80,8 @@ def test_serving(ingested, spark):
     assert call("getNonceByEpoch", 3)["result"]["nonce"] == "pool" and call("getNonceByEpoch", 4)["result"]["nonce"] is None
     assert call("getCurrentSyncedBlock")["result"] == {"blockNo": 3, "blockTimestamp": 186, "blockHeaderHash": "b9", "slotNo": 9, "epochNo": 1, "nodeTip": {"blockNo": 5}}
     assert call("getAddressCount", "addr")["result"] == 2
+    short = Api(ingest, [], api.extra, short=True)
+    assert short.nonce(4) is None and "epochNo" not in short.stake(5)[0]
     codes = [json.loads(api.call("{"))["error"]["code"], json.loads(api.call("[]"))["error"]["code"], call("no")["error"]["code"]]
     assert codes == [-32700, -32600, -32601]
     bad = [("getUtxosFromAddress", {}), ("getUtxosFromAddress", {"address": "other"}), ("getUtxosFromAddress", {"address": "addr", "createdAtOrAfterSlotNo": 3}), ("getNonceByEpoch", "x"), ("getBurnTokenEvents", {"policyId": "p", "createdAfterTx": "none"})]
@@ -127,6 +130,24 @@ def test_batch_equals_stream(ingested, spark, tmp_path):
         assert sorted(map(str, other.table(t.name).collect())) == sorted(map(str, ingested[0].table(t.name).collect()))
 
 
+def test_tracked_tables(spark, tmp_path):
+    tables = configured(["addr"], [("p", "other")], scripts=False)
+    other = Ingest(spark, str(tmp_path / "tables"), tables, Settings(depth=2))
+    other.process(spark.createDataFrame(rows(), schemas.STREAM), 0)
+    assert {r.address for r in other.table("utxo").collect()} == {"addr"}
+    assert other.table("mint").isEmpty() and not other.table("spent").isEmpty()
+
+
+def test_command_line(spark, tmp_path):
+    write(spark, str(tmp_path / "log"), [rows()])
+    args = cli.parser().parse_args(["--log", f"{tmp_path}/log/*", "--tables", f"{tmp_path}/tables", "--address", "addr", "--asset", "p.t", "--depth", "2", "--start", "2:a2"])
+    assert cli.start_slot(args.start) == 2 and cli.start_slot("genesis") is None and cli.asset("p") == ("p", None) == cli.asset("p.")
+    ingest = cli.run(spark, args)
+    assert {r.slot_no for r in ingest.table("block_info").collect()} == {7, 9}
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["--log", "x"])
+
+
 def test_event_files(spark, tmp_path):
     for name in ("block_just_10_200_ab.cbor", "block_nothing_9_190_.cbor", "other_just_1_2_cd.cbor"):
         (tmp_path / name).write_bytes(name.encode())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.chain import items, model
 from tidemark import errors
-from tidemark.functions import render
+from tidemark.functions import addresses, render
 from tidemark.operators import changelog, generic, ordered, preprocess
 from tidemark.plans import domain
 
@@ -153,3 +153,15 @@ def test_rendering(spark):
     row = spark.sql("select array(named_struct('tx_id', 'a', 'tx_ix', 1), named_struct('tx_id', 'b', 'tx_ix', 0)) refs, map('p', map('z', 2, 'a', 1), '', map('', 5)) value, X'0AFF' raw")
     got = row.select(render.references("refs").alias("r"), render.parse_references(render.references("refs")).alias("p"), render.value_json("value").alias("v"), render.lower_hex("raw").alias("h")).first()
     assert (got.r, [tuple(x) for x in got.p], got.v, got.h) == ("a#1,b#0", [("a", 1), ("b", 0)], '{"":{"":5},"p":{"a":1,"z":2}}', "0aff")
+
+
+def test_addresses(spark):
+    assert addresses.decode("A12UEL5L") == ("a", b"")  # from the published test vectors
+    assert addresses.decode("abcdef1qpzry9x8gf2tvdw0s3jn54khce6mua7lmqqqxw")[0] == "abcdef"
+    for bad in (None, "", "A1G7SGD8", "a12UEL5L", "10a06t8", "1qzzfhee", "x1b4n0q5v", "abc1rzg"):
+        assert addresses.decode(bad) is None
+    raw = [bytes(range(n)) for n in (1, 20, 29, 57)]
+    frame = spark.createDataFrame([(b,) for b in raw] + [(None,)], "raw binary")
+    text = frame.select("raw", addresses.encoder("addr")("raw").alias("text"))
+    back = text.select("raw", "text", addresses.decoder()("text").alias("back")).collect()
+    assert all(r.raw == r.back and (r.text is None or r.text.startswith("addr1")) for r in back) and len(back) == 5

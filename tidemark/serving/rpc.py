@@ -24,10 +24,11 @@ class BadParams(Exception):
 
 
 class Api:
-    """The methods. `extra` has tables that are not part of the ingest: epoch_sdd, epoch_nonce."""
+    """The methods. `extra` has tables that are not part of the ingest: epoch_sdd, epoch_nonce. With `short`, stake comes
+    without its epoch and an unknown nonce is null rather than an object of nulls."""
 
-    def __init__(self, ingest: Ingest, tracked: list[str] | None = None, extra: dict[str, DataFrame] | None = None, depth: int = 2160):
-        self.ingest, self.tracked, self.extra, self.depth = ingest, tracked or [], extra or {}, depth
+    def __init__(self, ingest: Ingest, tracked: list[str] | None = None, extra: dict[str, DataFrame] | None = None, depth: int = 2160, short: bool = False):
+        self.ingest, self.tracked, self.extra, self.depth, self.short = ingest, tracked or [], extra or {}, depth, short
         self.methods: dict[str, Callable] = {
             "echo": lambda p: p,
             "getTargetAddresses": lambda p: self.tracked,
@@ -75,10 +76,13 @@ class Api:
 
     def stake(self, epoch: int) -> list[dict]:
         rows = domain.active_stake(self._extra("epoch_sdd"), _number(epoch)).orderBy("pool_id")
-        return [{"poolId": r.pool_id, "lovelace": r.lovelace, "slotNo": r.slot_no, "blockHeaderHash": r.block_hash, "blockNo": r.block_no, "epochNo": r.epoch_no} for r in rows.collect()]
+        out = [{"poolId": r.pool_id, "lovelace": r.lovelace, "slotNo": r.slot_no, "blockHeaderHash": r.block_hash, "blockNo": r.block_no, "epochNo": r.epoch_no} for r in rows.collect()]
+        return [{k: v for k, v in r.items() if k != "epochNo"} for r in out] if self.short else out
 
-    def nonce(self, epoch: int) -> dict:
+    def nonce(self, epoch: int) -> dict | None:
         r = domain.nonce_of(self._extra("epoch_nonce"), _number(epoch)).first()
+        if r is None and self.short:
+            return None
         keys = {"blockHeaderHash": "block_hash", "blockNo": "block_no", "epochNo": "epoch_no", "slotNo": "slot_no", "nonce": "nonce"}
         return {k: None if r is None else r[v] for k, v in keys.items()}
 

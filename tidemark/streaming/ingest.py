@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tidemark import schemas
 from tidemark.errors import StopIngest
 from tidemark.operators import changelog, extract, generic
-from tidemark.operators.preprocess import first_sighting
+from tidemark.operators.preprocess import first_sighting, tracked_addresses, tracked_assets, without_scripts
 from tidemark.plans.domain import spent_once
 
 
@@ -42,6 +42,23 @@ TABLES = (
     Table("datum", schemas.DATUM, lambda b: extract.datums(extract.transactions(b)), lambda rows: first_sighting(rows, "datum_hash", "datum")),
     Table("mint", schemas.MINT, lambda b: extract.mints(extract.transactions(b))),
 )
+
+
+def configured(addresses: Sequence[str] = (), assets: Sequence[tuple] = (), scripts: bool = True) -> tuple[Table, ...]:
+    """The tables with only the tracked addresses and assets (none listed: all), and with or without scripts."""
+
+    def outputs(blocks: DataFrame) -> DataFrame:
+        rows = tracked_addresses(extract.outputs(extract.transactions(blocks)), list(addresses))
+        return rows if scripts else without_scripts(rows, "script", "script_hash")
+
+    def mints(blocks: DataFrame) -> DataFrame:
+        rows = extract.mints(extract.transactions(blocks))
+        return tracked_assets(rows, list(assets)) if assets else rows
+
+    own = {"utxo": outputs, "mint": mints}
+    return tuple(dataclasses.replace(t, rows=own.get(t.name, t.rows)) for t in TABLES)
+
+
 _POSITIONS = "seq bigint, slot_no bigint, block_no bigint, tip_block_no bigint"
 
 
