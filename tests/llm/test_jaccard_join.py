@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from tidemark.llm.jaccard_join import jaccard_join, op5_jaccard_join
+from tidemark.llm.jaccard_join import jaccard_join, op5_jaccard_join, representatives
 
 
 def brute(rows):
@@ -62,5 +62,14 @@ def test_edges(spark):
     assert got(jaccard_join(frame)) == brute(rows)
 
 
+def test_representatives(spark):
+    a = "one two three four five six seven eight nine ten"
+    rows = [(3, a, "x"), (2, a + " eleven", "y"), (5, a, "z"), (7, "quite another text than those", "w"), (None, a, "n"), (None, "of its own, with no id", "m"), (8, None, "e"), (9, "", "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, leads string")
+    out = representatives(frame)
+    assert out.columns == frame.columns
+    assert sorted(r.leads for r in out.collect()) == ["e", "e", "m", "n", "w", "y"]
+
+
 def test_empty(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -332,10 +332,13 @@ def jaccard_join(docs: DataFrame, group_hashes: int = GROUP_HASHES, how: chunks.
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, of the least doc_id of each component. A row without an id stays if no id is
-    linked with it."""
-    kept = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows, with all their columns, of the least doc_id of each component.
+
+    Rows of one doc_id stay or go together, and they stay if one of them leads; rows without an id count as one id, which
+    leads where no id is linked. What goes is the shorter list to join with."""
+    leads = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("leads")
+    gone = jaccard_join(docs).groupBy(F.col("doc_id").alias("_gone")).agg(leads).where("not leads").select("_gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
