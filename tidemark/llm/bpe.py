@@ -32,9 +32,9 @@ from tidemark.llm import chunks
 from tidemark.llm.shared import others
 
 #: Pre-tokens that a worker remembers; beyond it starts anew with the next batch.
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 #: Bytes of text in a batch.
-BATCH = 3 << 20
+BATCH = 2 << 20
 
 
 class RankQueue:
