@@ -60,6 +60,20 @@ def test_cleaned(spark):
     assert out[2, None] is None and out[9, ROWS[9][1]] == ROWS[9][1]
 
 
+ONE_WORD = [(1, "the"), (2, "a b"), (3, "one two three four five six seven eight nine ten eleven"), (4, "end")]
+NEIGHBOURS = [(1, "of the"), (2, "the start, a"), (3, None), (4, "b end"), (5, "end"), (6, "one two three four five the"), (7, "six seven eight nine ten eleven the"), (8, ""), (9, "the end of the"), (10, "none")]
+
+
+@pytest.mark.parametrize("block_words", [200_000, 3])
+def test_one_word_items_stay_inside_a_document(spark, block_words):
+    docs = spark.createDataFrame(NEIGHBOURS, "doc_id long, text string").coalesce(1)
+    found = D.find_hits(docs, spark.createDataFrame(ONE_WORD, "item_id long, text string"), block_words=block_words)
+    rows = D.remove_hits(found).collect()
+    out = [(r.doc_id, r.n_words, sum(s.end - s.start for s in D_merge(r.hits)), len(r["items"]), hashlib.sha256(",".join(sorted(map(str, r["items"]))).encode()).hexdigest()) for r in rows]
+    assert sorted(out) == sorted(brute(NEIGHBOURS, ONE_WORD))
+    assert {r.doc_id: r.cleaned for r in rows} == {1: "of ", 2: " start, a", 3: None, 4: "b ", 5: "", 6: "one two three four five ", 7: "six seven eight nine ten eleven ", 8: "", 9: " of ", 10: "none"}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")

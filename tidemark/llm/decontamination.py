@@ -160,6 +160,11 @@ def _match(table: pa.Table, automaton: Automaton, size: int, known: np.ndarray,
     low, starts, ends, first, grams = _grams(data, offsets, size)
     member = (known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams) & (grams != 0) if len(known) else np.zeros(len(grams), bool)
     lo, hi = textbytes.runs(member)
+    # a run ends with its document: grams of one word leave no gap between documents
+    borders = np.unique(first[1:-1])
+    inner = borders[(borders > 0) & (borders < len(member))]
+    inner = inner[member[inner - 1] & member[inner]]
+    lo, hi = np.union1d(lo, inner), np.union1d(hi, inner)
     wide = hi - lo >= least - size + 1
     hits = table.column("hits").to_pylist()
     keys = table.column("items").to_pylist()
