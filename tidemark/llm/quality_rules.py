@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, textbytes
+from tidemark.llm import chunks, textbytes, toxicity
 
 SYMBOLS = b"#*$%&|<>"
-#: Insults that mark toxic text.
+#: English insults that mark toxic text; other languages have the stems of `toxicity`.
 FLAGGED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: Documents that the sample has on average.
 SAMPLE = 512
@@ -104,11 +104,25 @@ class Texts:
 
     @cached_property
     def n_flagged(self) -> np.ndarray:
-        low = textbytes.LOWER[self.data]
-        starts, ends, first = textbytes.spans(low, self.offsets, textbytes.ALNUM)
+        low, starts, ends, first = self.plain_words
         return self.count(np.isin(textbytes.word_hashes(low, starts, ends), _FLAGGED_HASHES), first)
 
 
+    @cached_property
+    def plain_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        low = textbytes.LOWER[self.data]
+        return low, *textbytes.spans(low, self.offsets, textbytes.ALNUM)
+
+    def n_begun_by(self, stems: dict[int, np.ndarray]) -> np.ndarray:
+        """Words per text that begin with a stem; hashes of the stems by their size in bytes."""
+        low, starts, ends, first = self.plain_words
+        flags = np.zeros(len(starts), dtype=bool)
+        for size, hashes in stems.items():
+            long = np.flatnonzero(ends - starts >= size)
+            flags[long] |= np.isin(textbytes.word_hashes(low, starts[long], starts[long] + size), hashes)
+        return self.count(flags, first)
+
+
 def _hashed(words: Sequence[str]) -> np.ndarray:
     data, offsets = textbytes.flatten(pa.array(words, pa.string()))
     return textbytes.word_hashes(data, offsets[:-1], offsets[1:])
@@ -129,7 +143,8 @@ def base_failed(t: Texts) -> np.ndarray:
     return (t.n_words < 10) | (100 * t.n_repeat_words > 20 * t.n_words)
 
 
-RULES = (
+#: The rules that SQL states.
+SQL_RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 15 * t.n_words)),
     Rule("capitals", lambda t: 10 * t.n_upper > 3 * t.n_letters),
@@ -138,6 +153,26 @@ RULES = (
 )
 
 
+def toxic_stems(model: dict[str, toxicity.Stems]) -> Rule:
+    sized = [({n: _hashed([s for s in m.stems if len(s.encode()) == n]) for n in {len(s.encode()) for s in m.stems}}, m.share) for m in model.values()]
+
+    def rejects(t: Texts) -> np.ndarray:
+        out, n = np.zeros(len(t), dtype=bool), np.diff(t.plain_words[3])
+        for stems, share in sized:
+            out |= t.n_begun_by(stems) > share * n
+        return out
+
+    return Rule("toxic_stems", rejects)
+
+
+RULES = (*SQL_RULES, toxic_stems(toxicity.STEMS))
+
+
+def rules_for(docs: DataFrame, labels: DataFrame) -> tuple[Rule, ...]:
+    """RULES with the toxic stems that the labelled documents (they need a `lang`) show."""
+    return (*SQL_RULES, toxic_stems(toxicity.fitted(toxicity.sample(docs, labels))))
+
+
 def estimate(sample: pa.ChunkedArray | pa.Array, rules: Sequence[Rule]) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share of texts rejected) over the sample, each rule from cold features."""
     out = []
@@ -213,7 +248,8 @@ def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: pa.ChunkedArray
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rejected_by")
+    """By the rules of its SQL, which has no toxic stems; the pipeline applies all RULES."""
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), SQL_RULES).drop("rejected_by")
 
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
