@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +10,9 @@ from tidemark.plans import fixtures as fx
 from tidemark.plans.catalogue import DEPTH, query
 from tidemark.sources import chain
 from tidemark.sources.shared import new_folder
-from tidemark.streaming import stateful
+from tidemark.streaming import ranges
 from tidemark.streaming.ingest import TABLES, Ingest, Settings
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
 
 def recorded(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
     """The event chain with its rollbacks as a recorded log of so many files in order of arrival; its folder."""
@@ -39,32 +34,17 @@ def stream_ingest_availablenow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.table("block_info").select("slot_no", "block_no")
 
 
-@contextmanager
-def _state_store(spark: SparkSession):
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.set(_PROVIDER, before)
-
-
-def _through(spark: SparkSession, sf_dir: str, step, *columns) -> DataFrame:
-    """A stateful step over the chain's blocks as a stream of files, written to a folder and read back."""
-    source, out = new_folder(spark, "blocks"), new_folder(spark, "state")
-    rows = fx.blocks(spark, sf_dir).select(F.lit("main").alias("chain"), *columns)
-    rows.repartitionByRange(4, "slot_no").write.parquet(source)
-    with _state_store(spark):
-        stream = spark.readStream.schema(rows.schema).parquet(source)
-        step(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}/_state").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+def _through(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The chain's blocks as a stream of files, range by range: what it left of the rows, and its state."""
+    rows = fx.blocks(spark, sf_dir).select("slot_no", "epoch_no", F.col("user_id").alias("value"))
+    return ranges.run(spark, ranges.recorded(spark, rows))
 
 
 @query("SELECT slot_no, epoch_no FROM (SELECT *, lag(epoch_no) OVER (ORDER BY slot_no) AS p FROM blocks) WHERE p IS NULL OR p <> epoch_no", "blocks")
 def stream_epoch_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through(spark, sf_dir, stateful.first_of_epoch, "slot_no", "epoch_no").select("slot_no", "epoch_no")
+    return ranges.first_of_epoch(*_through(spark, sf_dir))
 
 
 @query("SELECT slot_no, CAST(sum(user_id) OVER (ORDER BY slot_no) AS BIGINT) AS total FROM blocks", "blocks")
 def stream_running_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through(spark, sf_dir, stateful.running_fold, "slot_no", F.col("user_id").alias("value")).select("slot_no", "total")
+    return ranges.running_fold(*_through(spark, sf_dir))

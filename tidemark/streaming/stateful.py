@@ -1,4 +1,7 @@
-"""State machines over a stream, one state per chain: the change of epoch, and a running fold."""
+"""State machines over a stream, one state per chain: the change of epoch, and a running fold.
+
+All rows that one chain has in a batch meet in one task. `ranges` does the same for a chain of any length.
+"""
 
 from __future__ import annotations
 
