@@ -3,6 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 
+import duckdb
+
+from tests.oracle import rows_of_frame, rows_of_sql
 from tidemark.llm import chat_format as C
 
 
@@ -47,3 +50,19 @@ def test_query(spark, sf_dir):
         loss = "".join(t for _, role, t in turns if role == "assistant")
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest()
         assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_lone_marks_are_escaped_as_in_the_sql(spark):
+    marks = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[ROLE=", "[/ROLE]", "<\\s>", "plain"]
+    rows = [(10 * c + i, t, ("user", "assistant", "system", "tool")[(c + t) % 4], f"see {m} here" if t == i else "ok") for c, m in enumerate(marks) for i in range(2) for t in range(2)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = check(frame, rows)
+    assert {c for c, r in out.items() if not r.escaped} == {90, 91}
+    assert out[0].formatted == "[INST] see [\\INST] here [/INST]<s> ok </s>"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    names, want = rows_of_sql(con, C.SQL)
+    own = rows_of_frame(C.digests(C.format_chats(frame)))[1]
+    at = names.index("conv_id")
+    assert own == [r for r in want if r[at] != "-1"]

@@ -1,8 +1,8 @@
 """Chat formatting by grammar round trip, with Spark SQL functions only.
 
-A conversation is rendered turn by turn, parsed again with a deterministic grammar, and the recovered turns are
-compared with the source. Where they differ, conflicting content is escaped and the round trip is made again; the
-column `identical` tells that the last round gave the source back.
+A conversation is rendered turn by turn with the control strings inside its texts escaped - lone ones too, that the
+grammar would read back as they are - and parsed again with a deterministic grammar; the column `identical` tells that
+the recovered turns are the source.
 
 Grammar, with one space between marks and content:
 
@@ -72,15 +72,13 @@ def _round_trip(frame: DataFrame, formatted: Column) -> DataFrame:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """Per conversation: conv_id, formatted, recovered (turns read back), loss_spans (code points of the assistants' texts
-    in `formatted`, from start to before end), escaped (whether a second round was needed) and identical."""
+    in `formatted`, from start to before end), escaped (whether a text holds a control string) and identical."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     source = F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    plain = F.array_join(F.transform("source", lambda t: _render(t["role"], t["text"])), "")
     safe = F.array_join(F.transform("source", lambda t: _render(t["role"], escape(t["text"]))), "")
-    first = _round_trip(grouped.select("conv_id", source.alias("source")), plain)
-    again = F.when(F.col("identical"), F.col("formatted")).otherwise(safe)
-    out = _round_trip(first.select("conv_id", "source", (~F.col("identical")).alias("escaped"), again.alias("formatted")), F.col("formatted"))
+    hit = F.exists("source", lambda t: t["text"].rlike(ESCAPE))
+    out = _round_trip(grouped.select("conv_id", source.alias("source")).withColumn("escaped", hit), safe)
     before, after = (len(x) for x in _MARKS["assistant"])
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
 
