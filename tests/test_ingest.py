@@ -8,14 +8,15 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tests.chain import block, output, tx
+from tests.chain import block, items, model, output, tx
 from tidemark import errors, schemas
 from tidemark.serving import cli
 from tidemark.serving.rpc import Api, serve
 from tidemark.sources import chain as source
+from tidemark.sources import event_store
 from tidemark.streaming import stateful, stats
 from tidemark.streaming.cache import ResultCache
-from tidemark.streaming.ingest import Ingest, Settings, configured
+from tidemark.streaming.ingest import TABLES, Ingest, Settings, configured, for_each
 
 MINT = {"policy_id": "p", "asset_name": "t", "quantity": Decimal(-3)}
 
@@ -98,7 +99,7 @@ def test_serving(ingested, spark):
 def test_a_batch_that_runs_again_changes_nothing(ingested, spark):
     ingest, _ = ingested
     before = ingest.table("utxo").count()
-    ingest.process(spark.createDataFrame(rows()[3:], schemas.STREAM), 2)
+    ingest.process(spark.createDataFrame(rows()[3:], schemas.STREAM), 2, next(iter(ingest.state().sources)))
     assert ingest.table("utxo").count() == before
 
 
@@ -111,15 +112,82 @@ def test_rollback_behind_what_is_stable(ingested, spark):
     assert ingest.point() == (9, 7)
 
 
-def test_compaction(ingested):
-    ingest, _ = ingested
-    names = [t.name for t in ingest.tables]
-    before = {n: sorted(map(str, ingest.table(n).collect())) for n in names}
-    ingest.compact()
-    assert ingest._committed() == (1, {2})
-    assert {n: sorted(map(str, ingest.table(n).collect())) for n in names} == before
-    assert ingest.point() == (9, 7)
-    ingest.compact()
+def test_a_block_that_comes_back_in_one_batch(spark, tmp_path):
+    """Indexed, rolled back and indexed again with the same hash: its rows are there once."""
+    one, two = block(1, 1, 2, [tx("t1", [output("a", 1)])]), block(2, 2, 2, [tx("t2", [output("a", 1)], [("t1", 0)], witness_datums={"h": "w"}, mint=[MINT])])
+    log = [(0, "INDEX", None, one), (1, "INDEX", None, two), (2, "ROLLBACK", 1, None), (3, "INDEX", None, two)]
+    other = Ingest(spark, str(tmp_path / "tables"), settings=Settings(depth=2))
+    other.process(spark.createDataFrame(log, schemas.STREAM), 0)
+    assert {t.name: other.table(t.name).count() for t in other.tables} == {"block_info": 2, "utxo": 2, "spent": 1, "datum": 1, "mint": 1}
+    assert sorted(r.slot_no for r in other.table("block_info").collect()) == [1, 2] == sorted(r.slot_no for r in other.positions().collect())
+
+
+def test_random_chains_in_batches(spark, tmp_path):
+    """However the log is cut into batches, the tables hold what a plain model keeps."""
+    log = items(5, 120, depth=6)
+    blocks = {seq: block(slot, slot, slot + 1, []) for seq, op, slot, _ in log if op == "INDEX"}
+    rows_ = [(seq, op, to, blocks.get(seq)) for seq, op, slot, to in log]
+    ingest = Ingest(spark, str(tmp_path / "tables"), TABLES[:1], Settings(depth=40))
+    for i, at in enumerate(range(0, 120, 30)):
+        ingest.process(spark.createDataFrame(rows_[at : at + 30], schemas.STREAM), i)
+        chain_ = model(log[: at + 30])
+        assert sorted(r.seq for r in ingest.positions().collect()) == [s for s, _ in chain_]
+        assert ingest.point()[0] == chain_[-1][1]
+
+
+def test_hot_cold_layout_and_pruning(spark, tmp_path):
+    ingest = Ingest(spark, str(tmp_path / "tables"), settings=Settings(depth=2))
+    for i, part in enumerate((rows()[:1], rows()[1:3], rows()[3:])):
+        ingest.process(spark.createDataFrame(part, schemas.STREAM), i)
+    hot, cold = ingest.hot_and_cold("block_info")
+    assert [r.slot_no for r in hot.collect()] == [9] and sorted(r.slot_no for r in cold.collect()) == [2, 7]
+    laid = ingest.exported("utxo", str(tmp_path / "laid"), 2)
+    assert laid.count() == ingest.table("utxo").count()
+    with pytest.raises(ValueError):
+        ingest.prune(9)
+    ingest.prune(2)
+    assert sorted(r.slot_no for r in ingest.table("block_info").collect()) == [7, 9]
+    assert spark.read.schema(schemas.BLOCK_INFO).parquet(str(tmp_path / "tables" / "block_info" / "batch_id=0")).isEmpty()
+    with pytest.raises(errors.NotStoredAnymore):
+        ingest.table("utxo", as_of=1)
+    assert ingest.table("block_info", as_of=7).count() == 1
+    again = Ingest(spark, ingest.root, settings=Settings(depth=2))
+    assert again.state() == ingest.state() and again.point() == (9, 7)
+    with pytest.raises(errors.IngestError):
+        again.process(spark.createDataFrame([(9, "ROLLBACK", 1, None)], schemas.STREAM), 3)
+
+
+def test_reopen_and_reset(spark, tmp_path):
+    """A restart goes back to what is final, and a new source sends what comes after."""
+    ingest = Ingest(spark, str(tmp_path / "tables"), settings=Settings(depth=2))
+    ingest.process(spark.createDataFrame(rows(), schemas.STREAM), 0, "first")
+    again = Ingest(spark, ingest.root, settings=Settings(depth=2))
+    assert again.reopen() == 7 and again.point() == (7, 7)
+    assert sorted(r.slot_no for r in again.table("block_info").collect()) == [2, 7]
+    more = [(20, "INDEX", None, block(8, 3, 5, [], "c")), (21, "INDEX", None, block(12, 4, 6, [], "c"))]
+    again.process(spark.createDataFrame(more, schemas.STREAM), 0, "second")
+    assert sorted((r.slot_no, r.block_hash) for r in again.table("block_info").collect()) == [(2, "a2"), (7, "b7"), (8, "c8"), (12, "c12")]
+    again.reset()
+    assert again.point() == (None, None) and again.table("utxo").isEmpty()
+    again.process(spark.createDataFrame(rows(), schemas.STREAM), 0, "first")
+    assert again.point() == (9, 7) and again.table("block_info").count() == 3
+
+
+def test_actions_and_statistics(spark, tmp_path):
+    seen: list[int] = []
+    files = str(tmp_path / "seen")
+
+    def touch(r) -> None:
+        with open(f"{files}-{r.slot_no}", "w"):
+            pass
+
+    s = stats.SyncStats()
+    settings = Settings(depth=2, actions=(lambda blocks: seen.append(blocks.count()), for_each(touch)), stats=s, prune_every=5)
+    ingest = Ingest(spark, str(tmp_path / "tables"), settings=settings)
+    ingest.process(spark.createDataFrame(rows(), schemas.STREAM), 0)
+    assert seen == [4] and {p.name for p in tmp_path.glob("seen-*")} == {"seen-2", "seen-6", "seen-7", "seen-9"}
+    assert s.total == {"blocks": 4, "rollbacks": 1} and s.report()["percent"] == 60
+    assert ingest.state().pruned == 7
 
 
 def test_batch_equals_stream(ingested, spark, tmp_path):
@@ -141,9 +209,12 @@ def test_tracked_tables(spark, tmp_path):
 def test_command_line(spark, tmp_path):
     write(spark, str(tmp_path / "log"), [rows()])
     args = cli.parser().parse_args(["--log", f"{tmp_path}/log/*", "--tables", f"{tmp_path}/tables", "--address", "addr", "--asset", "p.t", "--depth", "2", "--start", "2:a2"])
-    assert cli.start_slot(args.start) == 2 and cli.start_slot("genesis") is None and cli.asset("p") == ("p", None) == cli.asset("p.")
+    assert cli.start_point(args.start) == (2, "a2") and cli.start_point("genesis") == (None, None) and cli.block_range("2-5") == (2, 5) and cli.asset("p") == ("p", None) == cli.asset("p.")
     ingest = cli.run(spark, args)
     assert {r.slot_no for r in ingest.table("block_info").collect()} == {7, 9}
+    assert "blocks_total 3" in stats.metrics_text(ingest.settings.stats)
+    with pytest.raises(errors.NoIntersection):
+        cli.run(spark, cli.parser().parse_args(["--log", f"{tmp_path}/log/*", "--tables", f"{tmp_path}/none", "--start", "6:a6"]))
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["--log", "x"])
 
@@ -158,6 +229,25 @@ def test_event_files(spark, tmp_path):
         source.event_files(spark, str(tmp_path), "block").collect()
 
 
+def test_event_store(spark, tmp_path):
+    folder = str(tmp_path / "files")
+    event_store.write_events(spark.createDataFrame([(i, i * 10, f"a{i}", b"x" * i if i % 2 else None) for i in range(1, 9)], "block_no bigint, slot_no bigint, block_hash string, content binary"), folder, "block")
+    slots = lambda: [(r.slot_no, r.has_event, len(r.content or b"")) for r in source.event_files(spark, folder, "block").collect()]
+    assert slots() == [(i * 10, i % 2 == 1, i * (i % 2)) for i in range(1, 9)]
+    assert event_store.resumed(spark, folder, "block", 60).count() == 6
+    event_store.keep_newest(source.event_files(spark, folder, "block"), 2, 50)
+    assert [s for s, *_ in slots()] == [40, 50, 60]
+    event_store.roll_back(source.event_files(spark, folder, "block"), None)
+    assert slots() == []
+
+
+def test_block_ranges(spark, tmp_path):
+    log = spark.createDataFrame(rows(), schemas.STREAM)
+    event_store.write_range(log, 2, 3, str(tmp_path / "r"))
+    read = lambda name: sorted(r.block_hash for r in spark.read.parquet(str(tmp_path / "r" / name)).collect())
+    assert read("blocks") == ["b7", "b9"] and read("before") == ["a2"]
+
+
 def test_eras(spark):
     eras = spark.createDataFrame([(0, 0, 1000, 10, 20), (100, 10, 3000, 50, 1)], "first_slot bigint, first_epoch bigint, first_time bigint, epoch_slots bigint, slot_seconds bigint")
     out = source.with_epoch_and_time(spark.createDataFrame([(5,), (99,), (100,), (210,)], "slot_no bigint"), eras)
@@ -168,12 +258,14 @@ def test_chain_source(spark, tmp_path):
     lines = [{"seq": i, "op": "INDEX", "slot_no": i, "block_no": i} for i in range(5)] + [{"seq": 5, "op": "ROLLBACK", "to_slot": 3}]
     (tmp_path / "0.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
     spark.dataSource.register(source.ChainSource)
-    stream = spark.readStream.format("chain").option("startingLine", 2).load(str(tmp_path))
+    stream = spark.readStream.format("chain").option("startingLine", 2).option("window", 2).load(str(tmp_path))
     query = stream.writeStream.format("memory").queryName("chain_rows").trigger(processingTime="0 seconds").start()
     query.processAllAvailable()
+    (tmp_path / "1.jsonl").write_text(json.dumps({"seq": 6, "op": "INDEX", "slot_no": 4, "block_no": 4}) + "\n{")  # the last line is not whole yet
+    query.processAllAvailable()
     query.stop()
-    assert sorted(r.seq for r in spark.table("chain_rows").collect()) == [2, 3, 4, 5]
-    assert source.forward_only(spark.table("chain_rows")).count() == 3
+    assert sorted(r.seq for r in spark.table("chain_rows").collect()) == [2, 3, 4, 5, 6]
+    assert source.forward_only(spark.table("chain_rows")).count() == 4
 
 
 def test_retries():

@@ -15,6 +15,10 @@ class ResumingFailed(IngestError):
     """The source went back behind the last stable position while it was being drained."""
 
 
+class NoIntersection(IngestError):
+    """The source does not have the block from which it is to start."""
+
+
 class InvalidTable(IngestError):
     """A stored table does not have the expected form."""
 

@@ -21,9 +21,20 @@ def lower_hex(column: str | Column) -> Column:
     return F.lower(F.hex(column))
 
 
+def quoted(text: str | Column) -> Column:
+    """A JSON string: quotes, backslashes and control characters are escaped."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract(F.to_json(F.struct(text.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
+
+
+def datum_json(column: str | Column) -> Column:
+    """A datum's detailed JSON in one form: no white space, keys in order; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(column))
+
+
 def asset_json(column: str) -> Column:
     """[(asset_name, q)] as a JSON object in the list's order."""
-    pairs = F.transform(column, lambda a: F.concat(F.lit('"'), a["asset_name"], F.lit('":'), a["q"].cast("string")))
+    pairs = F.transform(column, lambda a: F.concat(quoted(a["asset_name"]), F.lit(":"), a["q"].cast("string")))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 

@@ -17,11 +17,22 @@ def as_known_at(log: DataFrame, seq: int) -> DataFrame:
     return log.where(F.col("seq") <= seq)
 
 
-def valid_rows(log: DataFrame, buckets: int | None = None) -> DataFrame:
-    """The INDEX rows of the canonical chain."""
+def as_log(forward: DataFrame, back: DataFrame) -> DataFrame:
+    """Positions (seq, slot_no and more) and rollbacks (seq, to_slot) as one log."""
+    index = forward.withColumns({"op": F.lit("INDEX"), "to_slot": F.lit(None).cast("bigint")})
+    return index.unionByName(back.withColumn("op", F.lit("ROLLBACK")), allowMissingColumns=True)
+
+
+def judged(log: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The log with `valid`, true for the INDEX rows of the canonical chain."""
     back = F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1)))
     least = suffix_min(log, "seq", back, "_least", buckets=buckets)
-    return least.where((F.col("op") == "INDEX") & (F.col("_least").isNull() | (F.col("_least") >= F.col("slot_no")))).drop("_least")
+    return least.withColumn("valid", (F.col("op") == "INDEX") & (F.col("_least").isNull() | (F.col("_least") >= F.col("slot_no")))).drop("_least")
+
+
+def valid_rows(log: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The INDEX rows of the canonical chain."""
+    return judged(log, buckets).where("valid").drop("valid")
 
 
 def rolled_back(rows: DataFrame, to_slot: int | None) -> DataFrame:
@@ -57,10 +68,13 @@ def resumed(log: DataFrame, last_stable: int | None) -> DataFrame:
 
 def check_rollbacks(log: DataFrame, last_stable: int | None) -> None:
     """Fails if the source goes back behind what is final. A rollback to the stable position itself is fine."""
-    if last_stable is not None:
-        behind = log.where((F.col("op") == "ROLLBACK") & (F.coalesce("to_slot", F.lit(-1)) < last_stable))
-        if not behind.isEmpty():
-            raise ResumingFailed(f"a rollback goes behind the stable slot {last_stable}")
+    check_target(log.where("op = 'ROLLBACK'").agg(F.min(F.coalesce("to_slot", F.lit(-1)))).first()[0], last_stable)
+
+
+def check_target(least: int | None, last_stable: int | None) -> None:
+    """The same for the least slot that rollbacks go to."""
+    if last_stable is not None and least is not None and least < last_stable:
+        raise ResumingFailed(f"a rollback goes behind the stable slot {last_stable}")
 
 
 def distance(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scans over a total order without a global window.
 
-The order's range is cut into at most BUCKETS ranges of equal width. Each bucket is summed on its own; the sums - one
+The order's range is cut at approximate quantiles into at most BUCKETS ranges of like numbers of rows, wherever they lie
+dense. Each bucket is summed on its own; the sums - one
 row a bucket, so at most BUCKETS - are scanned in one small window and broadcast back; inside a bucket a window
 partitioned by it does the rest. No task sees more than a bucket's rows, whatever the length of the log.
 """
@@ -19,12 +20,17 @@ _B = "_bucket"
 
 def bucketed(frame: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
     """The rows with `_bucket`, ascending with `order` (a whole number; null comes first)."""
-    low, high, many = frame.agg(F.min(order), F.max(order), F.count("*")).first()
-    if low is None:
+    buckets = buckets or max(1, min(BUCKETS, frame.count() // 100_000))
+    cuts = [i / buckets for i in range(1, buckets)]
+    edges = sorted(set(frame.agg(F.percentile_approx(order, cuts, 10 * buckets)).first()[0] or [])) if cuts else []
+    if not edges:
         return frame.withColumn(_B, F.lit(0).cast("bigint"))
-    buckets = buckets or max(1, min(BUCKETS, many // 100_000))
-    width = max(1, -(-(int(high) - int(low) + 1) // buckets))
-    return frame.withColumn(_B, F.coalesce(F.floor((F.col(order) - F.lit(int(low))) / F.lit(width)).cast("bigint"), F.lit(-1).cast("bigint")))
+    # how many edges lie at or before the row, by halving
+    listed = F.array(*map(F.lit, edges)) if len(edges) < 2 else F.lit(edges)
+    steps = F.lit([1 << i for i in reversed(range(len(edges).bit_length()))])
+    after = lambda at, step: (at + step <= len(edges)) & (F.get(listed, at + step - 1) <= F.col(order))
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(after(at, step), at + step).otherwise(at))
+    return frame.withColumn(_B, F.when(F.col(order).isNull(), F.lit(-1)).otherwise(place).cast("bigint"))
 
 
 def scan(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.errors import RollbackBehindHistory, SlotBoundsInvalid
-from tidemark.operators.ordered import previous, running_sum
+from tidemark.operators.ordered import previous, running_sum, scan
 
 
 def map_event(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -21,6 +23,18 @@ def first_of_epoch(rows: DataFrame) -> DataFrame:
     return out.where(F.col("_before").isNull() | (F.col("_before") != F.col("epoch_no"))).drop("_before")
 
 
+def expanded(log: DataFrame, steps: Column, width: int) -> DataFrame:
+    """Each row becomes the rows of an array of structs, `width` at most, control rows included; `seq` keeps the order."""
+    rows = log.select("seq", F.posexplode(steps).alias("_i", "_s"))
+    return rows.select((F.col("seq") * width + F.col("_i")).alias("seq"), "_s.*")
+
+
+def fold(rows: DataFrame, total: Callable[[Column], Column], value: Column, combine: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """Any fold that is an associative aggregate, such as F.max, with `combine` for two of its results; a null value carries
+    the one before."""
+    return scan(rows, "slot_no", name, total, value, combine)
+
+
 def running_fold(rows: DataFrame, value: Column, name: str = "total") -> DataFrame:
     """The fold's value after each row; a null value carries the one before."""
     return running_sum(rows, "slot_no", F.coalesce(value, F.lit(0)), name)

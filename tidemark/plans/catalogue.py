@@ -16,8 +16,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: Fixed parameters of the queries: a slot and an address of the order chain, a slot of the event chain, security depth.
-SLOT, ADDRESS, AT, DEPTH = 1000, 3, 800, 50
+#: Fixed parameters of the queries: two slots and an address of the order chain, a slot and a policy of the event chain,
+#: security depth.
+SLOT, EARLY, ADDRESS, AT, POLICY, DEPTH = 1000, 19, 3, 800, 8, 50
 
 
 def query(sql: str | None, *tables: str):
@@ -121,9 +122,9 @@ def spends_by_transaction(spark, sf):
 # --- data
 
 
-@query(f"SELECT datum_hash, datum FROM datum WHERE slot_no = {SLOT}", "datum")
+@query(f"SELECT datum_hash, datum FROM datum WHERE slot_no = {EARLY}", "datum")
 def datum_at_slot(spark, sf):
-    return generic.event_at(fx.datum(spark, sf), SLOT).select("datum_hash", "datum")
+    return generic.event_at(fx.datum(spark, sf), EARLY).select("datum_hash", "datum")
 
 
 @query(f"SELECT slot_no, datum_hash, datum FROM datum WHERE slot_no <= {SLOT}", "datum")
@@ -200,17 +201,17 @@ def mint_by_assets(spark, sf):
     return preprocess.tracked_assets(fx.mint(spark, sf), [(3, None), (5, "error")]).select("slot_no", "policy_id", "asset_name", "quantity")
 
 
-@query(f"SELECT slot_no, block_no, tx_index, abs(quantity) AS burn_amount FROM mint WHERE policy_id = 3 AND quantity < 0 AND slot_no <= {AT} AND slot_no >= (SELECT min(slot_no) FROM mint WHERE policy_id = 3)", "mint")
+@query(f"SELECT slot_no, block_no, tx_index, abs(quantity) AS burn_amount FROM mint WHERE policy_id = {POLICY} AND quantity < 0 AND slot_no <= {AT} AND slot_no >= (SELECT min(slot_no) FROM mint WHERE policy_id = {POLICY})", "mint")
 def burn_by_policy_bounds(spark, sf):
     rows = fx.mint(spark, sf)
-    first = rows.where("policy_id = 3").agg(F.min("tx_id")).first()[0]
-    out = domain.asset_events(rows, 3, None, "burn", AT, first, AT)
+    first = rows.where(F.col("policy_id") == POLICY).agg(F.min("tx_id")).first()[0]
+    out = domain.asset_events(rows, POLICY, None, "burn", AT, first, AT)
     return out.select("slot_no", "block_no", "tx_index", F.abs("quantity").alias("burn_amount"))
 
 
-@query(f"SELECT slot_no, abs(quantity) AS burn_amount, block_no <= {AT} - {DEPTH} AS is_stable FROM mint WHERE policy_id = 3 AND quantity < 0 AND slot_no <= {AT}", "mint")
+@query(f"SELECT slot_no, abs(quantity) AS burn_amount, block_no <= {AT} - {DEPTH} AS is_stable FROM mint WHERE policy_id = {POLICY} AND quantity < 0 AND slot_no <= {AT}", "mint")
 def burn_with_depth_stability(spark, sf):
-    out = domain.asset_events(fx.mint(spark, sf), 3, None, "burn", AT, None, AT)
+    out = domain.asset_events(fx.mint(spark, sf), POLICY, None, "burn", AT, None, AT)
     out = domain.with_depth_stability(out, fx.blocks(spark, sf), AT, DEPTH)
     return out.select("slot_no", F.abs("quantity").alias("burn_amount"), "is_stable")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import catalogue, streams  # noqa: F401  streams registers its own
+from tidemark.plans import catalogue, chainlog, streams  # noqa: F401  these register their own
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,14 +10,17 @@ import signal
 
 from pyspark.sql import SparkSession
 
+from tidemark.operators import preprocess
 from tidemark.serving.rpc import Api, serve
-from tidemark.sources import chain
+from tidemark.sources import chain, event_store
 from tidemark.streaming.ingest import Ingest, Settings, configured
+from tidemark.streaming.stats import SyncStats, log_backend, metrics_text
 
 
-def start_slot(text: str) -> int | None:
+def start_point(text: str) -> tuple[int | None, str | None]:
     """'genesis', or 'slot:hash'."""
-    return None if text == "genesis" else int(text.partition(":")[0])
+    slot, _, block_hash = text.partition(":")
+    return (None, None) if text == "genesis" else (int(slot), block_hash or None)
 
 
 def asset(text: str) -> tuple[str, str | None]:
@@ -26,6 +29,12 @@ def asset(text: str) -> tuple[str, str | None]:
     return policy, name or None
 
 
+def block_range(text: str) -> tuple[int, int]:
+    """'from-to', in block numbers."""
+    low, _, high = text.partition("-")
+    return preprocess.block_range(int(low), int(high))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark")
     p.add_argument("--log", required=True, help="folder of the recorded log")
@@ -37,6 +46,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-scripts", action="store_true")
     p.add_argument("--depth", type=int, default=2160, help="blocks below the tip at which one is final")
     p.add_argument("--retry-seconds", type=float, default=1800.0, help="how long to retry a source that is away")
+    p.add_argument("--prune-every", type=int, help="slots between prunings of what is final; none if not given")
+    p.add_argument("--blocks", type=block_range, action="append", default=[], help="from-to: write these blocks to --snapshots instead")
+    p.add_argument("--snapshots", help="folder of the block ranges")
     p.add_argument("--port", type=int, help="serve after the ingest")
     return p
 
@@ -44,24 +56,32 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace) -> Ingest:
     """Ingests what is there; a restart goes on after the last batch."""
     tables = configured(list(dict.fromkeys(args.address)), list(dict.fromkeys(args.asset)), not args.no_scripts)
-    ingest = Ingest(spark, args.tables, tables, Settings(depth=args.depth))
+    ingest = Ingest(spark, args.tables, tables, Settings(depth=args.depth, prune_every=args.prune_every, stats=SyncStats(log_backend)))
+    slot, block_hash = start_point(args.start)
+    chain.check_start(chain.read_log(spark, args.log), slot, block_hash)
 
     def attempt() -> None:
-        log = chain.starting_at(chain.stream_log(spark, args.log, args.files_per_batch), start_slot(args.start))
+        log = chain.starting_at(chain.stream_log(spark, args.log, args.files_per_batch), slot)
         query = ingest.start(log, f"{args.tables.rstrip('/')}/_checkpoint")
         signal.signal(signal.SIGTERM, lambda *_: query.stop())
         query.awaitTermination()
 
     chain.retried(attempt, longest=args.retry_seconds)
+    ingest.settings.stats.report()
     return ingest
 
 
 def main() -> None:
     args = parser().parse_args()
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
+    if args.blocks:
+        for low, high in args.blocks:
+            event_store.write_range(chain.read_log(spark, args.log), low, high, f"{args.snapshots}/{low}-{high}")
+        return
     ingest = run(spark, args)
     if args.port is not None:
-        serve(Api(ingest, args.address, depth=args.depth), args.port, params={"depth": args.depth}).serve_forever()
+        metrics = lambda: metrics_text(ingest.settings.stats)
+        serve(Api(ingest, args.address, depth=args.depth), args.port, metrics, {"depth": args.depth}).serve_forever()
 
 
 if __name__ == "__main__":

@@ -98,7 +98,8 @@ class Api:
     def address_count(self, address: str) -> int:
         if not isinstance(address, str):
             raise BadParams("an address is a string")
-        return self.ingest.table("utxo").where(F.col("address") == address).count()
+        sync, _ = self.ingest.point()
+        return 0 if sync is None else self.ingest.table("utxo", sync).where(F.col("address") == address).count()
 
     def _extra(self, name: str) -> DataFrame:
         if name not in self.extra:

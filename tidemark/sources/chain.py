@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import dataclasses
 import glob
+import itertools
 import json
 import os
 import time
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from tidemark import schemas
-from tidemark.errors import InvalidTable
+from tidemark.errors import InvalidTable, NoIntersection
+from tidemark.operators.changelog import valid_rows
 
 T_ = TypeVar("T_")
 
@@ -38,6 +42,16 @@ def starting_at(log: DataFrame, slot: int | None) -> DataFrame:
     return log if slot is None else log.where((F.col("op") != "INDEX") | (F.col("block.slot_no") > slot))
 
 
+def check_start(log: DataFrame, slot: int | None, block_hash: str | None) -> None:
+    """Fails unless the log's canonical chain has the block to start from; genesis always is there."""
+    if slot is None:
+        return
+    flat = log.select("seq", "op", F.col("block.slot_no").alias("slot_no"), F.col("block.block_hash").alias("block_hash"), "to_slot")
+    found = valid_rows(flat).where((F.col("slot_no") == slot) & (F.lit(not block_hash) | (F.col("block_hash") == block_hash)))
+    if found.isEmpty():
+        raise NoIntersection(f"the source has no block {block_hash} at slot {slot}")
+
+
 def with_epoch_and_time(rows: DataFrame, eras: DataFrame) -> DataFrame:
     """Adds epoch_no and block_time by the era that holds the slot.
 
@@ -64,39 +78,54 @@ NAME = r"([A-Za-z]+)_(just|nothing)_(\d+)_(\d+)_([0-9a-f]*)\.[A-Za-z0-9]+$"
 
 
 def event_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    """The event files of a folder in block order, with their content; a name that cannot be read is an error."""
+    """The event files of a folder in block order, with their content, null if there was nothing; a name that cannot be read is an error."""
     files = spark.read.format("binaryFile").load(folder).where(F.regexp_extract("path", r"([^/]*)$", 1).startswith(prefix + "_"))
     part = lambda n: F.regexp_extract("path", NAME, n)
     bad = F.raise_error(F.concat(F.lit("bad event file name: "), "path")).cast("bigint")
     block = F.when(part(1) != "", part(3).cast("bigint")).otherwise(bad)
-    rows = files.select(block.alias("block_no"), part(4).try_cast("bigint").alias("slot_no"), part(5).alias("block_hash"), (part(2) == "just").alias("has_event"), "content")
+    rows = files.select(block.alias("block_no"), part(4).try_cast("bigint").alias("slot_no"), part(5).alias("block_hash"), (part(2) == "just").alias("has_event"), F.when(part(2) == "just", F.col("content")).alias("content"), "path")
     return rows.orderBy("block_no")
 
 
-class ChainReader(SimpleDataSourceStreamReader):
-    """JSON lines in numbered files; the offset is the number of lines read."""
+@dataclasses.dataclass
+class Lines(InputPartition):
+    """The lines of one file from `low` up to `high`."""
 
-    def __init__(self, folder: str, start: int):
-        self.folder, self.start = folder, start
+    path: str
+    low: int
+    high: int
 
-    def _lines(self) -> Iterator[str]:
-        for path in sorted(glob.glob(os.path.join(self.folder, "*.jsonl"))):
-            with open(path) as file:
-                yield from file
 
-    def initialOffset(self) -> dict:
-        return {"line": self.start}
+class ChainReader(DataSourceStreamReader):
+    """JSON lines in numbered files. The offset has, per file, the lines that were taken, so files may grow and come; tasks
+    read `window` lines of a file each, and the driver counts lines only."""
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = list(self._rows(start["line"], None))
-        return iter(rows), {"line": start["line"] + len(rows)}
+    def __init__(self, folder: str, start: int, window: int):
+        self.folder, self.start, self.window = folder, start, window
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(start["line"], end["line"])
+    def latestOffset(self) -> dict:
+        """Whole lines of each file, in the order of names."""
+        out = {}
+        for path in sorted(glob.glob(os.path.join(self.folder, "*.jsonl"))):
+            with open(path, "rb") as file:
+                out[os.path.basename(path)] = sum(part.count(b"\n") for part in iter(lambda: file.read(1 << 20), b""))
+        return out
 
-    def _rows(self, low: int, high: int | None) -> Iterator[tuple]:
-        for i, line in enumerate(self._lines()):
-            if i >= low and (high is None or i < high):
+    def initialOffset(self) -> dict:
+        out, left = {}, self.start
+        for name, lines in self.latestOffset().items():
+            out[name] = min(lines, left)
+            left -= out[name]
+        if left:
+            raise NoIntersection(f"the source has fewer than {self.start} lines")
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[Lines]:
+        return [Lines(os.path.join(self.folder, name), low, min(low + self.window, high)) for name, high in end.items() for low in range(start.get(name, 0), high, self.window)]
+
+    def read(self, partition: Lines) -> Iterator[tuple]:
+        with open(partition.path, encoding="utf-8") as file:
+            for line in itertools.islice(file, partition.low, partition.high):
                 x = json.loads(line)
                 yield x["seq"], x["op"], x.get("slot_no"), x.get("block_no"), x.get("to_slot")
 
@@ -105,7 +134,8 @@ class ChainReader(SimpleDataSourceStreamReader):
 
 
 class ChainSource(DataSource):
-    """spark.dataSource.register(ChainSource); spark.readStream.format("chain").option("startingLine", n).load(folder)."""
+    """spark.dataSource.register(ChainSource); spark.readStream.format("chain").option("startingLine", n).load(folder), with
+    option("window", n) for the lines of a task."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,18 +144,23 @@ class ChainSource(DataSource):
     def schema(self) -> str:
         return "seq bigint, op string, slot_no bigint, block_no bigint, to_slot bigint"
 
-    def simpleStreamReader(self, schema) -> ChainReader:
-        return ChainReader(self.options["path"], int(self.options.get("startingLine", "0")))
+    def streamReader(self, schema) -> ChainReader:
+        return ChainReader(self.options["path"], int(self.options.get("startingLine", "0")), int(self.options.get("window", "100000")))
+
+
+def away(error: Exception) -> bool:
+    """Whether a source could not be reached; a failed stream wraps what happened."""
+    return isinstance(error, ConnectionError) or (isinstance(error, StreamingQueryException) and any(x in str(error) for x in ("ConnectionError", "ConnectionRefused", "ConnectionReset", "java.net.")))
 
 
-def retried(action: Callable[[], T_], first_wait: float = 1.0, longest: float = 1800.0, sleep: Callable[[float], None] = time.sleep, on: type[Exception] = ConnectionError) -> T_:
-    """Tries again with doubled waits until they add up to `longest` seconds."""
+def retried(action: Callable[[], T_], first_wait: float = 1.0, longest: float = 1800.0, sleep: Callable[[float], None] = time.sleep, when: Callable[[Exception], bool] = away) -> T_:
+    """Tries again with doubled waits, while the source is away, until they add up to `longest` seconds."""
     wait, waited = first_wait, 0.0
     while True:
         try:
             return action()
-        except on:
-            if waited >= longest:
+        except Exception as e:
+            if waited >= longest or not when(e):
                 raise
             pause = min(wait, longest - waited)
             sleep(pause)

@@ -1,46 +1,51 @@
 """Ingest: a stream of change-log rows becomes tables that are read at a position.
 
-One streaming query feeds all tables. A micro-batch writes each table's rows and the batch's rollbacks to a folder named
-after the batch - a batch that runs again overwrites its own folders - and one progress row comes last: what has no
-progress row does not exist for readers. So several tables move in lock-step, and a failure leaves none of them ahead.
-
-Compaction writes a new generation of all folders and commits it with a progress row of its own; until then readers see
-the old one.
+One streaming query feeds all tables. A micro-batch appends each table's rows, keyed by `seq`, to a folder of the batch - a
+batch that runs again overwrites its own - and one progress row comes last: what has no progress row does not exist for
+readers. So several tables move in lock-step, and a failure leaves none of them ahead.
+
+What a rollback takes back is worked out once, batch by batch: the batch's rows meet the volatile rows before it (valid
+and not yet final, so `depth` blocks about), the `seq` of those that lose are appended to a table of dead rows, and the
+new volatile rows are kept for the next batch. A batch therefore costs its own rows and `depth` blocks, whatever the
+length of the chain, and reading is an anti join with the dead rows, which are few.
 """
 
 from __future__ import annotations
 
 import dataclasses
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas
-from tidemark.errors import StopIngest
+from tidemark.errors import NotStoredAnymore, StopIngest
 from tidemark.operators import changelog, extract, generic
-from tidemark.operators.preprocess import first_sighting, tracked_addresses, tracked_assets, without_scripts
+from tidemark.operators.preprocess import check_pruned, first_sighting, tracked_addresses, tracked_assets, without_scripts
 from tidemark.plans.domain import spent_once
+from tidemark.streaming.stats import SyncStats
 
 
 @dataclasses.dataclass(frozen=True)
 class Table:
-    """A table of the index: its schema, how rows come out of blocks (they keep slot_no and block_hash), and what makes
-    one row of several valid ones when the table is read."""
+    """A table of the index: its schema, how rows come out of blocks (they keep slot_no, block_hash and seq), and what makes
+    one row of several valid ones when the table is read. `keys` are what lookups go by."""
 
     name: str
     schema: str
     rows: Callable[[DataFrame], DataFrame]
     reduced: Callable[[DataFrame], DataFrame] = lambda rows: rows
+    keys: tuple[str, ...] = ("slot_no",)
 
 
 TABLES = (
     Table("block_info", schemas.BLOCK_INFO, extract.block_info),
-    Table("utxo", schemas.UTXO, lambda b: extract.outputs(extract.transactions(b))),
-    Table("spent", schemas.SPENT, lambda b: extract.inputs(extract.transactions(b)), spent_once),
-    Table("datum", schemas.DATUM, lambda b: extract.datums(extract.transactions(b)), lambda rows: first_sighting(rows, "datum_hash", "datum")),
-    Table("mint", schemas.MINT, lambda b: extract.mints(extract.transactions(b))),
+    Table("utxo", schemas.UTXO, lambda b: extract.outputs(extract.transactions(b)), keys=("address", "slot_no")),
+    Table("spent", schemas.SPENT, lambda b: extract.inputs(extract.transactions(b)), spent_once, ("tx_id", "tx_ix")),
+    Table("datum", schemas.DATUM, lambda b: extract.datums(extract.transactions(b)), lambda rows: first_sighting(rows, "datum_hash", "datum"), ("datum_hash",)),
+    Table("mint", schemas.MINT, lambda b: extract.mints(extract.transactions(b)), keys=("policy_id", "slot_no")),
 )
 
 
@@ -60,139 +65,217 @@ def configured(addresses: Sequence[str] = (), assets: Sequence[tuple] = (), scri
 
 
 _POSITIONS = "seq bigint, slot_no bigint, block_no bigint, tip_block_no bigint"
+_DEAD = "seq bigint"
 
 
 @dataclasses.dataclass
 class Settings:
-    """Read again at every batch, so it can be changed while the stream runs."""
+    """Read again at every batch, so it can be changed while the stream runs.
+
+    `actions` get the blocks of each batch once its tables are committed. `prune_every` prunes to the stable point whenever
+    it has moved on by so many slots."""
 
     depth: int = 2160
     on_caught_up: Callable[[int], None] | None = None
     caught_up_distance: int = 100
     caught_up: bool = False
+    actions: tuple[Callable[[DataFrame], None], ...] = ()
+    prune_every: int | None = None
+    stats: SyncStats | None = None
+
+
+@dataclasses.dataclass
+class State:
+    """What the last progress row says: the last batch, the last batch of each source, and the positions."""
+
+    batch: int = -1
+    sources: dict[str, int] = dataclasses.field(default_factory=dict)
+    last: int | None = None
+    stable: int | None = None
+    pruned: int | None = None
 
 
 class Ingest:
-    """Writes and reads the tables below one folder."""
+    """Writes and reads the tables below one folder. One writer at a time; it keeps its state between batches."""
 
     def __init__(self, spark: SparkSession, root: str, tables: Sequence[Table] = TABLES, settings: Settings | None = None):
         self.spark, self.root, self.tables = spark, root.rstrip("/"), tuple(tables)
         self.settings = settings or Settings()
+        self._state: State | None = None
 
     # --- writing
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """The body of foreachBatch: rows of (seq, op, to_slot, block)."""
+    def process(self, batch: DataFrame, batch_id: int, source: str = "") -> None:
+        """The body of foreachBatch: rows of (seq, op, to_slot, block); batch ids ascend within a source."""
+        state = self._state = self._state or self.state()
+        if batch_id <= state.sources.get(source, -1):
+            return  # a restart runs the last batch again
         batch = batch.persist()
         try:
-            self._process(batch, batch_id)
+            self._process(state, batch, batch_id, source)
+        except BaseException:
+            self._state = None  # what is written says how far it came
+            raise
         finally:
             batch.unpersist()
 
-    def _process(self, batch: DataFrame, batch_id: int) -> None:
-        generation, committed = self._committed()
-        if batch_id in committed:
-            return  # a restart runs the last batch again
-        before = self.progress().where(F.col("generation") == generation)
-        stable = before.agg(F.max("last_stable")).first()[0]
-        if not batch.where("op = 'STOP'").isEmpty():
+    def _process(self, state: State, batch: DataFrame, batch_id: int, source: str) -> None:
+        is_ = lambda op: F.count_if(F.col("op") == op)
+        back = F.min(F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1))))
+        seen = batch.agg(is_("STOP").alias("stops"), is_("INDEX").alias("blocks"), is_("ROLLBACK").alias("rollbacks"), back.alias("back")).first()
+        if seen.stops:
             raise StopIngest("the source asked to stop")
-        changelog.check_rollbacks(batch.select("op", "to_slot"), stable)
+        if seen.rollbacks:
+            changelog.check_target(seen.back, state.stable)
+            check_pruned(state.pruned, seen.back)
+        new = state.batch + 1
         flat = batch.where("op = 'INDEX'").select("seq", "block.*")
-        place = flat.select(F.col("slot_no").alias("_slot"), F.col("block_hash").alias("_hash"), "seq")
-        same = (F.col("slot_no") == F.col("_slot")) & F.col("block_hash").eqNullSafe(F.col("_hash"))
-        for table in self.tables:
-            names = [f.name for f in T.StructType.fromDDL(table.schema)]
-            table.rows(flat).join(place, same).select(*names, "seq").write.mode("overwrite").parquet(self._path(generation, table.name, batch_id))
-        flat.select("seq", "slot_no", "block_no", "tip_block_no").write.mode("overwrite").parquet(self._path(generation, "_positions", batch_id))
-        batch.where("op = 'ROLLBACK'").select("seq", "to_slot").write.mode("overwrite").parquet(self._path(generation, "_rollbacks", batch_id))
-        valid = changelog.valid_rows(self._log(generation, {*committed, batch_id}))
-        last = valid.agg(F.max("slot_no")).first()[0]
-        edge = changelog.stable_point(valid, self.settings.depth).first()[0]
-        stable = max((x for x in (stable, edge) if x is not None), default=None)
-        self._commit(generation, batch_id, last, stable)
-        self._near_tip(valid, last)
-
-    def _path(self, generation: int, name: str, batch_id: int) -> str:
-        return f"{self.root}/generation={generation}/{name}/batch_id={batch_id}"
-
-    def _commit(self, generation: int, batch_id: int, last: int | None, stable: int | None) -> None:
-        rows = [(generation, batch_id, t.name, last, stable) for t in self.tables]
-        self.spark.createDataFrame(rows, schemas.PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_progress/commit={generation}-{batch_id}")
-
-    def _near_tip(self, valid: DataFrame, last: int | None) -> None:
-        s = self.settings
-        if s.on_caught_up and not s.caught_up and last is not None:
+        own = flat.select("seq", "slot_no", "block_no", "tip_block_no")
+        before = self._read(f"_volatile/batch_id={state.batch}", _POSITIONS)
+        log = changelog.as_log(before.unionByName(own), batch.where("op = 'ROLLBACK'").select("seq", "to_slot"))
+        # without a rollback all rows are valid, and there is nothing to scan
+        judged = changelog.judged(log, buckets=1) if seen.rollbacks else log.withColumn("valid", F.lit(True))
+        judged = judged.where("op = 'INDEX'").select("seq", "slot_no", "block_no", "tip_block_no", "valid").persist()
+        try:
+            valid = judged.where("valid")
+            last = valid.agg(F.max("slot_no")).first()[0]
+            edge = changelog.stable_point(valid, self.settings.depth).first()[0]
+            stable = max((x for x in (state.stable, edge) if x is not None), default=None)
+            work = [(f"{t.name}/batch_id={new}", lambda t=t: t.rows(flat).select(*_names(t.schema), "seq")) for t in self.tables]
+            work.append((f"_positions/batch_id={new}", lambda: own))
+            work.append((f"_dead/batch_id={new}", lambda: judged.where("not valid").select("seq")))
+            # the stable row itself stays: it is where a rollback may go back to
+            work.append((f"_volatile/batch_id={new}", lambda: valid.drop("valid").where(F.lit(stable is None) | (F.col("slot_no") >= F.lit(stable))).coalesce(1)))
+            with ThreadPoolExecutor(len(work)) as pool:
+                list(pool.map(lambda w: w[1]().write.mode("overwrite").parquet(f"{self.root}/{w[0]}"), work))
+            state.batch, state.last, state.stable = new, last, stable
+            self._commit(state, batch_id, source)
+            self._after(flat, valid, seen)
+        finally:
+            judged.unpersist()
+
+    def _commit(self, state: State, batch_id: int, source: str) -> None:
+        rows = [(state.batch, source, batch_id, t.name, state.last, state.stable, state.pruned) for t in self.tables]
+        self.spark.createDataFrame(rows, schemas.PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_progress/commit={state.batch}-{state.pruned or 0}")
+        state.sources[source] = batch_id
+
+    def _after(self, flat: DataFrame, valid: DataFrame, seen) -> None:
+        s, state = self.settings, self._state
+        if s.stats is not None:
+            at = valid.agg(F.max("block_no"), F.max("tip_block_no")).first()
+            s.stats.seen(seen.blocks, seen.rollbacks, at[0], at[1])
+        if s.on_caught_up and not s.caught_up and state.last is not None:
             near = changelog.distance(valid).agg(F.min("distance")).first()[0]
             if near is not None and near <= s.caught_up_distance:
                 s.caught_up = True
-                s.on_caught_up(last)
+                s.on_caught_up(state.last)
+        for action in s.actions:
+            action(flat)
+        if s.prune_every is not None and state.stable is not None and state.stable - (state.pruned or 0) >= s.prune_every:
+            self.prune(state.stable)
 
     def start(self, log: DataFrame, checkpoint: str, available_now: bool = True):
-        writer = log.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+        """Runs a stream into the tables. A new checkpoint is a new source: its batches come after those that are there."""
+        source = checkpoint.rstrip("/")
+        writer = log.writeStream.foreachBatch(lambda batch, i: self.process(batch, i, source)).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
+    def reopen(self) -> int | None:
+        """Goes back to the last stable position, which a source that starts anew sends from, and returns it: what came after
+        may lie on a fork that is gone. `changelog.resumed` gives what is left of a log."""
+        state = self._state = self.state()
+        if state.batch >= 0:
+            newest = self._read("_positions", _POSITIONS).agg(F.max("seq")).first()[0]
+            back = self.spark.createDataFrame([((newest or 0) + 1, "ROLLBACK", state.stable, None)], schemas.STREAM)
+            self.process(back, state.sources.get("reopen", -1) + 1, "reopen")
+        return state.stable
+
+    def reset(self) -> None:
+        """Back to genesis: all tables are empty, whatever was final; what a source sends next starts anew."""
+        for name in ["_progress", *(t.name for t in self.tables), "_positions", "_dead", "_volatile"]:
+            none = self.spark.createDataFrame([], "seq bigint, part string")
+            none.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{name}")  # leaves no file
+        self._state = None
+
+    def prune(self, slot: int) -> None:
+        """Forgets all up to a final slot. Batches that lie behind it as a whole are emptied; of others the rows no longer show."""
+        state = self._state = self._state or self.state()
+        if state.stable is None or slot > state.stable:
+            raise ValueError(f"slot {slot} is not final yet")
+        if state.pruned is not None and slot <= state.pruned:
+            return
+        state.pruned = slot
+        self._commit(state, *max(((b, s) for s, b in state.sources.items())))
+        newest = self._read("_positions", _POSITIONS + ", batch_id bigint").groupBy("batch_id").agg(F.max("slot_no").alias("slot_no"))
+        for r in newest.where((F.col("slot_no") <= slot) & (F.col("batch_id") < state.batch)).collect():  # one row a batch
+            for t in self.tables:
+                self.spark.createDataFrame([], t.schema + ", seq bigint").write.mode("overwrite").parquet(f"{self.root}/{t.name}/batch_id={r.batch_id}")
+            self.spark.createDataFrame([], _POSITIONS).write.mode("overwrite").parquet(f"{self.root}/_positions/batch_id={r.batch_id}")
+
     # --- reading
 
     def _read(self, path: str, schema: str) -> DataFrame:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
         exists = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-        return self.spark.read.schema(schema).parquet(path) if exists else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{path}") if exists else self.spark.createDataFrame([], schema)
 
     def progress(self) -> DataFrame:
-        return self._read(f"{self.root}/_progress", schemas.PROGRESS)
-
-    def _committed(self) -> tuple[int, set[int]]:
-        """The current generation and its batches; compaction keeps them few."""
-        rows = self.progress().select("generation", "batch_id").distinct().collect()
-        newest = max((r[0] for r in rows), default=0)
-        return newest, {r[1] for r in rows if r[0] == newest}
-
-    def _of(self, generation: int, name: str, schema: str, batches: set[int]) -> DataFrame:
-        rows = self._read(f"{self.root}/generation={generation}/{name}", schema + ", batch_id bigint")
-        return rows.where(F.col("batch_id").isin(sorted(batches))).drop("batch_id")
-
-    def _log(self, generation: int, batches: set[int]) -> DataFrame:
-        none = F.lit(None).cast("bigint")
-        forward = self._of(generation, "_positions", _POSITIONS, batches)
-        back = self._of(generation, "_rollbacks", "seq bigint, to_slot bigint", batches)
-        return forward.select("seq", F.lit("INDEX").alias("op"), "slot_no", "block_no", "tip_block_no", none.alias("to_slot")).unionByName(
-            back.select("seq", F.lit("ROLLBACK").alias("op"), none.alias("slot_no"), none.alias("block_no"), none.alias("tip_block_no"), "to_slot")
-        )
-
-    def positions(self) -> DataFrame:
-        """The valid positions."""
-        return changelog.valid_rows(self._log(*self._committed()))
+        return self._read("_progress", schemas.PROGRESS)
+
+    def state(self) -> State:
+        """The state that the progress rows tell."""
+        rows = self.progress()
+        newest = F.max_by(F.struct("last_sync", "last_stable"), "batch_id").alias("at")
+        at = rows.agg(F.max("batch_id").alias("batch"), newest, F.max("pruned").alias("pruned")).first()
+        if at.batch is None:
+            return State()
+        sources = {r.source: r.source_batch for r in rows.groupBy("source").agg(F.max("source_batch").alias("source_batch")).collect()}  # one row a source
+        return State(at.batch, sources, at["at"].last_sync, at["at"].last_stable, at.pruned)
 
     def point(self) -> tuple[int | None, int | None]:
         """The position at which all tables can be read together, and the last stable one."""
-        generation, batches = self._committed()
-        newest = self.progress().where((F.col("generation") == generation) & (F.col("batch_id") == max(batches, default=-1)))
+        rows = self.progress()
+        newest = rows.groupBy("table_name").agg(F.max_by(F.struct("last_sync", "last_stable"), "batch_id").alias("at")).select("table_name", "at.*")
         row = generic.consistent_point(newest, *(t.name for t in self.tables)).first()
         return row["last_sync"], row["last_stable"]
 
+    def _valid(self, name: str, schema: str, state: State) -> DataFrame:
+        rows = self._read(name, schema + ", batch_id bigint").where(F.col("batch_id") <= state.batch)
+        rows = rows if state.pruned is None else rows.where(F.col("slot_no") > state.pruned)
+        dead = self._read("_dead", _DEAD + ", batch_id bigint").where(F.col("batch_id") <= state.batch).select("seq")
+        return rows.drop("batch_id").join(dead, "seq", "left_anti")
+
+    def positions(self) -> DataFrame:
+        """The valid positions."""
+        return self._valid("_positions", _POSITIONS, self.state())
+
     def table(self, name: str, as_of: int | None = None, partial: bool = False) -> DataFrame:
         """The valid rows of a table, at a position or at the latest; with `is_stable`."""
-        spec = next(t for t in self.tables if t.name == name)
-        last, stable = self.point()
-        rows = generic.until(self._valid(spec, *self._committed()).drop("seq"), as_of)
-        out = changelog.with_stability(spec.reduced(rows), stable)
-        return generic.synced_only(lambda: out, as_of, last, partial)
-
-    def _valid(self, spec: Table, generation: int, batches: set[int]) -> DataFrame:
-        valid = changelog.valid_rows(self._log(generation, batches)).select("seq")
-        return self._of(generation, spec.name, spec.schema + ", seq bigint", batches).join(valid, "seq", "left_semi")
-
-    def compact(self) -> None:
-        """Folds all batches into one of valid rows: what was rolled back is gone, and so are the rollbacks. Between
-        batches only."""
-        generation, batches = self._committed()
-        if len(batches) < 2:
-            return
-        into, new = max(batches), generation + 1
-        changelog.valid_rows(self._log(generation, batches)).select("seq", "slot_no", "block_no", "tip_block_no").write.mode("overwrite").parquet(self._path(new, "_positions", into))
-        for t in self.tables:
-            self._valid(t, generation, batches).write.mode("overwrite").parquet(self._path(new, t.name, into))
-        self._commit(new, into, *self.point())
-        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/generation={generation}")
-        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        spec, state = next(t for t in self.tables if t.name == name), self.state()
+        if as_of is not None and state.pruned is not None and as_of < state.pruned:
+            raise NotStoredAnymore(f"asked for slot {as_of}, pruned up to {state.pruned}")
+        rows = generic.until(self._valid(name, spec.schema + ", seq bigint", state).drop("seq"), as_of)
+        out = changelog.with_stability(spec.reduced(rows), state.stable)
+        return generic.synced_only(lambda: out, as_of, state.last, partial)
+
+    def hot_and_cold(self, name: str) -> tuple[DataFrame, DataFrame]:
+        """The rows that a rollback may still take back, and those that are final."""
+        spec, state = next(t for t in self.tables if t.name == name), self.state()
+        rows = self._valid(name, spec.schema + ", seq bigint", state).drop("seq")
+        return generic.hot_and_cold(rows, -1 if state.stable is None else state.stable)
+
+    def exported(self, name: str, path: str, parts: int = 64) -> DataFrame:
+        """The table's valid rows laid out for lookups: dealt by ranges of its keys and sorted inside each file, so that a
+        lookup's filter skips all but a few row groups."""
+        keys = next(t for t in self.tables if t.name == name).keys
+        self.table(name).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def _names(schema: str) -> list[str]:
+    return [f.name for f in T.StructType.fromDDL(schema)]
+
+
+def for_each(f: Callable) -> Callable[[DataFrame], None]:
+    """An action that calls f with every block of a batch, on the executors."""
+    return lambda blocks: blocks.foreach(f)

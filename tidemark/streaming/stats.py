@@ -12,7 +12,8 @@ logger = logging.getLogger("tidemark")
 
 
 class SyncStats:
-    """Counts blocks and rollbacks between reports; `report` hands them to every backend and starts anew."""
+    """Counts blocks and rollbacks between reports; `report` hands them to every backend and starts anew. How far the tables
+    and the tip are may be told in slots or, as Ingest does, in blocks."""
 
     def __init__(self, *backends: Callable[[dict], None], clock: Callable[[], float] = time.monotonic):
         self.backends, self.clock = backends, clock
@@ -51,7 +52,7 @@ def line(stats: dict) -> str:
         state = "Almost synced" if p < 100 else "Synced"
     else:
         state = f"Synchronising. {p:.2f} %"
-    return f"{state} at slot {stats['sync_slot']} of {stats['tip_slot']}: {stats['blocks']} blocks ({stats['blocks_per_second']:.0f} blocks/s), {stats['rollbacks']} rollbacks since the last report"
+    return f"{state} at {stats['sync_slot']} of {stats['tip_slot']}: {stats['blocks']} blocks ({stats['blocks_per_second']:.0f} blocks/s), {stats['rollbacks']} rollbacks since the last report"
 
 
 def log_backend(stats: dict) -> None:
