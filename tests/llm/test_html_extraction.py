@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ import pytest
 from tidemark.llm import html_extraction as H
 from tidemark.llm import page_generator as G
 from tidemark.llm.block_labeller import Labeller, padded
-from tidemark.llm.html_blocks import blocks
+from tidemark.llm.html_blocks import blocks, vectors
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +30,26 @@ def test_blocks():
     assert [b.text for b in blocks("plain")] == ["plain"]
 
 
+def test_unclosed():
+    """What no `>` follows is text; an unclosed comment or script takes the rest of the page."""
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<p>a<b <p") == ["a<b <p"]
+    assert texts("<p>a<!-- b > c") == texts("<p>a<!-- b c") == texts("<p>a<script>b > c") == ["a"]
+    assert texts("<p>a</p>b <!-- c") == ["a", "b"]
+    assert texts("<p>a<script b") == ["a<script b"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<script " * 130_000, "<!-- " * 200_000, "<a '\">" * 150_000, "<div>x" * 100_000, "<x>" * 100_000 + "</y>" * 100_000, "<ul><li><ul>" + "<x>" * 50_000 + "<li></li>" * 50_000],
+    ids=["open tags", "open scripts", "open comments", "odd quotes", "nested", "nothing to close", "deep lists"],
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    vectors(blocks(page))
+    assert time.process_time() - began < 15  # the square would take hours
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = Labeller(hidden=3, inputs=5)
@@ -82,7 +103,7 @@ def test_query(spark, sf_dir, model):
 def test_edges(spark, model):
     text = "A long enough sentence, with several words in it, for an article."
     page = f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Title</h1><p>{text}</p><p>{text}</p></article><footer>&copy; me</footer></body></html>"
-    rows = [(1, "u", None), (2, None, ""), (3, "u", page), (3, "u", page), (None, "u", page), (4, "u", "<nav>x</nav>"), (5, "u", page.replace("</p></article>", "</p>" + f"<p>{text}</p>" * 2000 + "</article>"))]
+    rows = [(1, "u", None), (2, None, ""), (3, "u", page), (3, "u", page), (None, "u", page), (4, "u", "<nav>x</nav>"), (6, "u", "<div>x" * 20_000), (5, "u", page.replace("</p></article>", "</p>" + f"<p>{text}</p>" * 2000 + "</article>"))]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
     out = sorted((tuple(r) for r in H.extract(frame, model).collect()), key=str)
     assert len(out) == len(rows)

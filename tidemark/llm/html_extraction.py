@@ -7,7 +7,8 @@ The model is trained on `TRAINING_PAGES` generated pages (the documented bound)
 the same weights; nothing of the input is sampled. The driver broadcasts the weights; each page is labelled on its own.
 
 Defined results: null and empty pages, and pages without an article, give the empty text; rows are read one by one, so
-repeated rows and ids give repeated results; an empty table gives an empty one; other columns are ignored.
+repeated rows and ids give repeated results; an empty table gives an empty one; other columns are ignored. A page is read
+in time and memory in proportion to its length, whatever it nests or leaves open.
 """
 
 from __future__ import annotations
