@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from datetime import date, timedelta
 
 from tidemark.llm import url_filter as U
@@ -57,6 +58,17 @@ def test_edges(spark):
     assert U.active_entries(left.limit(0), right).collect() == []
 
 
+def test_long_urls(spark):
+    """100,000 segments or labels cost what the list's few sizes ask for; a bracketed address is a host."""
+    d = date(2024, 5, 1)
+    entries = [("prefix", "a.com/y/y/y", "add", d), ("domain", "b.c", "add", d), ("domain", "[::1]", "add", d), ("prefix", "a.com", "add", d)]
+    captures = [(1, "http://a.com/" + "y/" * 100_000, d), (2, "http://" + "b." * 100_000 + "c/x", d), (3, "http://[::1]:80/x", d), (4, "http://[::1", d), (5, "http://a.com", d)]
+    began = time.monotonic()
+    out = {i: m for i, _, _, m in got(U.active_entries(*frames(spark, captures, entries)))}
+    assert time.monotonic() - began < 60
+    assert out == {1: [("prefix", "a.com/y/y/y", d)], 2: [("domain", "b.c", d)], 3: [("domain", "[::1]", d)], 4: [], 5: []}
+
+
 def test_query(spark, sf_dir):
     rows = U.op10_url_filter(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()

@@ -7,11 +7,13 @@ path up to a whole segment.
 
 Every capture looks up its own keys (its host's suffixes, its path's prefixes), so the join is by equality on
 (kind, pattern) with one row per pattern on the list's side; captures are salted and that row is repeated per salt, so
-a host that a third of all captures share is spread over SALTS tasks.
+a host that a third of all captures share is spread over SALTS tasks. Only keys of as many labels or segments as some
+pattern of the list has are made, so a URL of 100,000 segments costs no more than its length times those few sizes.
 
 Defined results: a null or unparsable URL has no host and matches nothing; a null fetch date matches nothing; on one
 date a 'remove' counts after an 'add'; repeated entries count once; entries with a null field and unknown actions are
-ignored; an empty list keeps every capture; repeated captures are judged one by one.
+ignored; an empty list keeps every capture; repeated captures are judged one by one; an empty table of captures gives an
+empty one; other columns, whatever their names, are ignored. The host of a bracketed address is the address in its brackets.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SALTS = 16
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)"
 
 
@@ -43,24 +45,37 @@ def intervals(entries: DataFrame) -> DataFrame:
     return closed.groupBy("kind", "pattern").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("since"), "until"))).alias("spans"))
 
 
-def keys(url: str | Column = "url") -> Column:
-    """The (kind, pattern) pairs that can match a URL."""
+def sizes(listed: DataFrame) -> Column:
+    """The distinct (kind, labels or segments) of the patterns, as one scalar subquery. Patterns of n different sizes have
+    n * n / 2 characters at least, so even a list of 10 GB has under 150,000."""
+    parts = F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\."))).otherwise(F.size(F.split("pattern", "/")) - 1)
+    return listed.select(F.struct("kind", parts.alias("n")).alias("s")).agg(F.array_sort(F.collect_set("s"))).scalar()
+
+
+def keys(url: str | Column, known: Column) -> Column:
+    """The (kind, pattern) pairs that can match a URL, of the sizes in `known`."""
     name = host(url)
     labels = F.split(name, r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
     parts = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1), "/"), lambda p: p != "")
+
+    def of(kind: str, many: Column, pattern) -> Column:
+        own = F.filter(known, lambda s: (s["kind"] == kind) & (s["n"] > 0) & (s["n"] <= many))
+        return F.transform(own, lambda s: F.struct(F.lit(kind).alias("kind"), pattern(s["n"]).alias("pattern")))
+
+    domains = of("domain", F.size(labels), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    prefixes = of("prefix", F.size(parts), lambda n: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
     none = F.expr("cast(array() as array<struct<kind:string,pattern:string>>)")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(name, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("pattern")))
-    return F.when(name == "", none).otherwise(F.concat(domains, F.when(F.size(parts) > 0, prefixes).otherwise(none)))
+    return F.when(name == "", none).otherwise(F.concat(domains, prefixes))
 
 
 def active_entries(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """A row per capture: its columns id, url, fetched_at, and `matches`, the active entries' (kind, pattern, since)."""
     own = ["id", "url", "fetched_at"]
     salt = F.pmod(F.xxhash64("id", "fetched_at"), F.lit(SALTS)).alias("salt")
-    asked = captures.select(*own, salt, F.explode(keys()).alias("k")).select(*own, "salt", "k.kind", "k.pattern")
-    listed = intervals(entries).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    listed = intervals(entries)
+    sized = captures.select(*own, salt, sizes(listed).alias("known"))
+    asked = sized.select(*own, "salt", F.explode(keys("url", F.col("known"))).alias("k")).select(*own, "salt", "k.kind", "k.pattern")
+    listed = listed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
     hit = F.filter("spans", lambda s: (s["since"] <= F.col("fetched_at")) & (s["until"].isNull() | (s["until"] > F.col("fetched_at"))))
     found = asked.join(listed, ["kind", "pattern", "salt"]).select(*own, "kind", "pattern", F.get(hit, F.lit(0))["since"].alias("since")).where("since is not null")
     per = found.groupBy(*(F.col(c).alias(f"of_{c}") for c in own)).agg(F.array_sort(F.collect_set(F.struct("kind", "pattern", "since"))).alias("matches"))
@@ -104,7 +119,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MD5 = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 SQL = rf"""
 WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS f,
-                  lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS h,
+                  lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@]+)', 1)) AS h,
                   list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts,
                   string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)', 1), '/')[1] AS part FROM pages),
 hosts AS (SELECT h AS pattern, {_MD5.format("h")} AS c FROM (SELECT DISTINCT h FROM p WHERE h <> '')),
