@@ -40,6 +40,15 @@ def test_edges(spark):
     rows = [(1, f"{a}\nx\n {a.upper()}\t"), (2, a), (3, f"{a}\r\n{b}"), (4, None), (5, ""), (5, b), (5, b), (None, f"{b}\n{a}"), (6, "short\n" * 4), (7, "short"), (8, "short"), (9, "é" * 19), (10, "é" * 19), (11, "é" * 19)]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, shard int, hi int")
     assert got(L.line_dedup(frame, shards=3)) == sorted(brute(rows), key=str)
+    assert got(L.line_dedup(frame, shards=3, filter_bytes=0)) == sorted(brute(rows), key=str)
+
+
+def test_very_long_texts(spark):
+    """A line and a document beyond any of the table's, and a line that nearly all documents hold."""
+    long = "word " * 400_000
+    rows = [(i, f"{long if i < 4 else ''}\nshared by all of the documents\nown line of document number {i}") for i in range(40)]
+    rows += [(100, "\n".join(f"line number {i} of a long text" for i in range(100_000))), (101, "\n" * 100_000)]
+    assert got(L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shards=5)) == sorted(brute(rows), key=str)
 
 
 def test_empty(spark):
@@ -55,10 +64,21 @@ def test_insert_and_delete(spark):
     old, new = make(range(10)), make(range(10, 16))
     gone, left = old[3:8], old[:3] + old[8:] + new
     refs = L.line_refs(frame(old))
-    states = L.build(L.active(L.totals(refs), 2))
-    refs = L.merge_refs(refs, L.line_refs(frame(new)), L.line_refs(frame(gone)))
-    states = L.update(states, L.active(L.totals(refs), 2))
-    assert got(L.drop_lines(frame(left), L.lookup(refs, states, 2))) == sorted(brute(left), key=str)
+    exact = L.totals(refs)
+    before = L.active(exact, 2)
+    states = L.build(before)
+    come, went = L.line_refs(frame(new)), L.line_refs(frame(gone))
+    refs = L.merge_refs(refs, come, went)
+    exact = L.changed_totals(exact, refs, come.unionByName(went))
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, L.totals(refs).collect()))
+    after = L.active(exact, 2)
+    states = L.update(states, after)
+    assert got(L.drop_lines(frame(left), L.lookup(L.probed(refs, states, 2), after))) == sorted(brute(left), key=str)
+    filters = L.broadcast_filters(states, 2)
+    assert got(L.drop_lines(frame(left), L.lookup(L.line_refs(frame(left), filters=filters), after))) == sorted(brute(left), key=str)
+    was, now = dict((r[0], r) for r in brute(old)), dict((r[0], r) for r in brute(left))
+    changed = {i for i in was.keys() & now.keys() if was[i] != now[i]}
+    assert changed and changed <= {r.doc_id for r in L.affected(refs, before, after).collect()}
     for row in states.collect():
         filter_ = CuckooFilter.load(row["filter"])
         hi, lo = (np.frombuffer(row[c], dtype=np.int64) for c in ("hi", "lo"))

@@ -43,7 +43,11 @@ class CuckooFilter:
         return self.table.tobytes()
 
     def _places(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        last = np.uint64(len(self.table) - 1)
+        return self.places(hi, lo, np.uint64(len(self.table) - 1))
+
+    @staticmethod
+    def places(hi: np.ndarray, lo: np.ndarray, last: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints and both buckets of keys, in filters whose last buckets are `last`."""
         prints = ((lo.astype(np.uint64) >> np.uint64(48)) % np.uint64(0xFFFF) + np.uint64(1)).astype(np.uint16)
         first = mix(hi.astype(np.uint64)) & last
         return prints, first, first ^ (mix(prints.astype(np.uint64)) & last)
@@ -86,3 +90,19 @@ class CuckooFilter:
                     break
             else:
                 raise KeyError("the key is not in the filter")
+
+
+class FilterSet:
+    """The filters of all shards, probed at once; a key's shard is its first half modulo their number."""
+
+    def __init__(self, filters: list[CuckooFilter]):
+        sizes = np.array([len(f.table) for f in filters], dtype=np.int64)
+        self.table = np.concatenate([f.table for f in filters])
+        self.start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        self.last = (sizes - 1).astype(np.uint64)
+
+    def contains(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        shard = hi % len(self.last)
+        prints, one, two = CuckooFilter.places(hi, lo, self.last[shard])
+        start = self.start[shard]
+        return (self.table[start + one.astype(np.int64)] == prints[:, None]).any(axis=1) | (self.table[start + two.astype(np.int64)] == prints[:, None]).any(axis=1)

@@ -3,9 +3,11 @@
 A line's key is the line with [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased, held as a 128-bit hash.
 The exact table has one row per key with the number of documents that hold it and the largest doc_id; the references
 behind it, one per document and key, can be added and taken away. A key is active once `min_docs` documents hold it.
-Each shard has a cuckoo filter of its active keys: a lookup goes to the filter first and only what it lets pass goes
-to the shard's exact table. When documents come or go, keys that cross the limit are inserted into the filter or
-deleted from it, and decisions are as if the index had been built anew.
+Each shard has a cuckoo filter of its active keys. A lookup goes to the filters first - in the task that reads the
+document while all filters fit FILTER_BYTES, else in the key's shard - and only what they let pass travels to the exact
+table, keys that many documents hold in parts. When documents come or go, only their keys are counted again, keys that
+cross the limit are inserted into the filter or deleted from it, and `affected` names the documents whose text changes;
+decisions are as if the index had been built anew.
 
 Decision: an active key loses all its lines but those in the largest doc_id that holds it.
 
@@ -21,20 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import chunks
-from tidemark.llm.cuckoo import CuckooFilter, Full
-from tidemark.llm.shared import others, restored
+from tidemark.llm.cuckoo import CuckooFilter, FilterSet, Full
+from tidemark.llm.shared import hot_keys, others, restored, spread_join, written
 from tidemark.llm.substring_dedup import sha256
 
 MIN_CHARS, MIN_DOCS = 20, 3
 REFS = "hi long, lo long, doc_id long, n long"
 STATE = "shard int, filter binary, hi binary, lo binary, last binary"
-#: Lookups of one shard are dealt to so many tasks, so that a line that many documents share is no hot spot.
-SALTS = 8
+#: Filters of at most so many bytes are broadcast, about 25 million active keys; beyond that each shard probes its own.
+FILTER_BYTES = 64 << 20
+#: In that case the lookups of one shard are dealt to so many tasks.
+SALTS = 64
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -51,8 +56,8 @@ def _lines(text) -> list[bytes]:
     return (b"" if raw is None else raw.to_pybytes()).split(b"\n")
 
 
-def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One reference (n = 1) for each row and distinct key in it."""
+def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS, filters: Broadcast | None = None) -> DataFrame:
+    """One reference (n = 1) for each row and distinct key in it; of keys that the filters let pass, if there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +68,10 @@ def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                         hi.append(key[0])
                         lo.append(key[1])
                         owner.append(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hi, lo, owner)] + [pa.array(np.ones(len(hi), np.int64))], names=["hi", "lo", "doc_id", "n"])
+                refs = pa.table({"hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "doc_id": pa.array(owner, pa.int64()), "n": pa.array(np.ones(len(hi), np.int64))})
+                if filters is not None:
+                    refs = refs.filter(pa.array(filters.value.contains(refs.column("hi").to_numpy(), refs.column("lo").to_numpy())))
+                yield from refs.to_batches()
 
     return docs.select("doc_id", "text").mapInArrow(run, REFS)
 
@@ -83,8 +91,22 @@ def totals(refs: DataFrame) -> DataFrame:
     return refs.groupBy("hi", "lo").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("last"))
 
 
+def changed_totals(exact: DataFrame, refs: DataFrame, changes: DataFrame) -> DataFrame:
+    """The exact table after the references became `refs`; only keys of `changes` (the references that came or went) are
+    counted again."""
+    keys = changes.select("hi", "lo").distinct()
+    return exact.join(keys, ["hi", "lo"], "left_anti").unionByName(totals(refs.join(keys, ["hi", "lo"], "left_semi")))
+
+
 def active(exact: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
-    return exact.where(F.col("n_docs") >= min_docs).select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), "hi", "lo", "last")
+    return exact.where(F.col("n_docs") >= min_docs).select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), "hi", "lo", "last", "n_docs")
+
+
+def affected(refs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The doc_ids with a line that drops or stays otherwise once the active keys `before` became `after`."""
+    old, new = (k.select("hi", "lo", F.struct("last").alias(name)) for k, name in ((before, "old"), (after, "new")))
+    keys = old.join(new, ["hi", "lo"], "full").where(~F.col("old").eqNullSafe(F.col("new"))).select("hi", "lo")
+    return refs.join(keys, ["hi", "lo"], "left_semi").select("doc_id").distinct()
 
 
 def _state(shard: int, keys: pa.Table, filter_: CuckooFilter) -> pa.Table:
@@ -134,36 +156,38 @@ def _load(table: pa.Table) -> tuple[CuckooFilter, np.ndarray, np.ndarray, np.nda
     return CuckooFilter.load(row["filter"]), *(np.frombuffer(row[c], dtype=np.int64) for c in ("hi", "lo", "last"))
 
 
-def lookup(refs: DataFrame, states: DataFrame, shards: int) -> DataFrame:
-    """The (doc_id, hi, lo) whose lines drop."""
+def broadcast_filters(states: DataFrame, shards: int, most: int = FILTER_BYTES) -> Broadcast | None:
+    """All filters in one broadcast, if they have at most `most` bytes."""
+    size = states.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
+    if size > most:
+        return None
+    found = {r.shard: CuckooFilter.load(r.filter) for r in states.select("shard", "filter").collect()}
+    return states.sparkSession.sparkContext.broadcast(FilterSet([found.get(i, CuckooFilter.sized(0)) for i in range(shards)]))
+
+
+def probed(refs: DataFrame, states: DataFrame, shards: int) -> DataFrame:
+    """The references that the filters let pass, each probed in its shard."""
     salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(SALTS)).cast("int").alias("salt")
-    asked = refs.select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), salt, "hi", "lo", "doc_id")
-    spread = states.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    asked = refs.select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), salt, "hi", "lo", "doc_id", "n")
+    spread = states.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
     def probe(asked: pa.Table, state: pa.Table) -> pa.Table:
+        out = asked.select(["hi", "lo", "doc_id", "n"])
         if not state.num_rows or not asked.num_rows:
-            return asked.slice(0, 0).select(["doc_id", "hi", "lo"])
-        filter_, hi, lo, last = _load(state)
-        h, l_ = asked.column("hi").to_numpy(), asked.column("lo").to_numpy()
-        maybe = np.flatnonzero(filter_.contains(h, l_))
-        asked, h, l_ = asked.take(pa.array(maybe)), h[maybe], l_[maybe]
-        at = np.searchsorted(hi, h)
-        found = np.full(len(h), -1)
-        while True:  # keys that share their first half lie side by side
-            here = (at < len(hi)) & (found < 0)
-            here[here] = hi[at[here]] == h[here]
-            if not here.any():
-                break
-            same = here.copy()
-            same[here] = lo[at[here]] == l_[here]
-            found[same] = at[same]
-            at[here & ~same] += 1
-        doc = asked.column("doc_id").fill_null(_NO_ID).to_numpy()
-        drop = found >= 0
-        drop[drop] = doc[drop] < last[found[drop]]
-        return asked.filter(pa.array(drop)).select(["doc_id", "hi", "lo"])
-
-    return asked.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(chunks.tidy(probe), "doc_id long, hi long, lo long")
+            return out.slice(0, 0)
+        filter_ = CuckooFilter.load(state.column("filter")[0].as_py())
+        return out.filter(pa.array(filter_.contains(out.column("hi").to_numpy(), out.column("lo").to_numpy())))
+
+    return asked.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(chunks.tidy(probe), REFS)
+
+
+def lookup(passed: DataFrame, exact: DataFrame) -> DataFrame:
+    """The (doc_id, hi, lo) whose lines drop, of references that the filters let pass, by the exact table's active keys."""
+    key = F.struct("hi", "lo").alias("key")
+    keys = exact.select(key, "last", "n_docs")
+    hot = hot_keys(keys, "key", "n_docs", keys.agg(F.sum("n_docs")).first()[0])
+    found = spread_join(passed.select("doc_id", key), keys.select("key", "last"), "key", hot, "inner")
+    return found.where(F.col("last").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))).select("doc_id", "key.hi", "key.lo")
 
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -191,12 +215,14 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, min_chars: int = MIN_CHARS)
     return rows.mapInArrow(run, schema)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Build the index over the documents and apply its decisions to them."""
     shards = shards or chunks.deal(docs).buckets
-    refs = line_refs(docs, min_chars)
-    states = build(active(totals(refs), shards, min_docs))
-    return drop_lines(docs, lookup(refs, states, shards), min_chars)
+    exact = written(active(totals(line_refs(docs, min_chars)), shards, min_docs), "active_lines")
+    states = written(build(exact), "line_filters")
+    filters = broadcast_filters(states, shards, filter_bytes)
+    passed = line_refs(docs, min_chars, filters) if filters is not None else probed(line_refs(docs, min_chars), states, shards)
+    return drop_lines(docs, lookup(passed, exact), min_chars)
 
 
 def without_lines(docs: DataFrame) -> DataFrame:

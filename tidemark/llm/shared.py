@@ -19,6 +19,26 @@ def restored(frame: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return frame.select(*((own[c] if c in own else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
+#: Hot keys of a join are dealt into parts of this share of the rows; fewer than this many keys can be hot.
+PIECES = 4096
+
+
+def hot_keys(counted: DataFrame, key: str, count: str, total: int | None) -> DataFrame:
+    """The keys that more than one in PIECES of `total` rows have, with the number of parts to deal each into."""
+    share = F.col(count) * PIECES / F.lit(max(total or 0, 1))
+    return counted.where(share > 1).select(key, F.ceil(share).cast("int").alias("_parts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "left") -> DataFrame:
+    """A join with a right side of unique keys, in which no task gets more than one part of a hot key (or of null). `hot`
+    comes from hot_keys, so it has under PIECES rows and is broadcast."""
+    parts = F.when(F.col(key).isNull(), F.lit(PIECES)).otherwise(F.coalesce("_parts", F.lit(1)))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("_salt", every).drop("_parts")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
     path = new_folder(frame.sparkSession, name)
