@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from tidemark.llm.chunks import Deal
 from tidemark.llm.jaccard_join import jaccard_join, op5_jaccard_join, representatives
 
 
@@ -39,6 +40,8 @@ def got(frame):
 def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert got(op5_jaccard_join(spark, sf_dir)) == brute(rows)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert got(jaccard_join(docs, how=Deal(37, 11, 8))) == brute(rows)
 
 
 @pytest.mark.parametrize("limit", [4_000_000, 40])

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from tidemark.llm.chunks import Deal, dealt
 from tidemark.llm.substring_dedup import op7_substring_dedup, sha256, substring_dedup
 
 
@@ -27,6 +28,7 @@ def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = sorted((tuple(r) for r in op7_substring_dedup(spark, sf_dir).collect()), key=str)
     assert out == sorted(brute(rows, 35), key=str)
+    assert got(substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), how=Deal(37, 11, 8))) == out
 
 
 @pytest.mark.parametrize("window", [1, 2, 3])
@@ -36,5 +38,14 @@ def test_edges(spark, window):
     assert got(substring_dedup(frame, window)) == sorted(brute(rows, window), key=str)
 
 
+def test_many_rows_without_an_id(spark):
+    """They are dealt over the chunks by their texts."""
+    rows = [(None, f"w{i} " + "shared words of all " * (i % 3)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    how = Deal(16, 4, 4)
+    assert dealt(frame, how, "doc_id", "text").select("chunk").distinct().count() == 16
+    assert got(substring_dedup(frame, 3, how)) == sorted(brute(rows, 3), key=str)
+
+
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string"), 3).collect() == []

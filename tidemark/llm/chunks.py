@@ -1,9 +1,10 @@
 """Dealing texts out in chunks, and counting 64-bit hashes across chunks.
 
-Documents are dealt by a hash of doc_id into chunks of a bounded number of bytes. A chunk sends, per hash bucket,
-one blob with its distinct hashes in ascending order, so a hash that a third of all texts share arrives once per
-chunk and not once per text. The bucket answers each blob with one code per hash. Rows with one doc_id meet in one
-chunk, and the answer is by rank of the hash, so it does not depend on the order in which Spark delivers rows.
+Documents are dealt by a hash of doc_id and text into chunks of a bounded number of bytes, so that many rows without an
+id, or with one id, are spread too. A chunk sends, per hash bucket, one blob with its distinct hashes in ascending order,
+so a hash that a third of all texts share arrives once per chunk and not once per text. The bucket answers each blob with
+one code per hash, by rank of the hash, so the answer does not depend on the order in which Spark delivers rows. Buckets
+are dealt into as many parts as the texts, so what a task reads does not grow with the input.
 """
 
 from __future__ import annotations
@@ -37,17 +38,18 @@ class Deal:
 
 
 def deal(docs: DataFrame, text: str = "text", chunk_bytes: int = 3 << 20, bucket_bytes: int = 8 << 20) -> Deal:
-    """One pass over the text column adds up its bytes. Chunks grow (up to 64 MB) once there would be over 16,384."""
+    """One pass over the text column adds up its bytes. Chunks and buckets grow (up to 64 MB) once there would be over 16,384."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     size = min(max(chunk_bytes, total // 16384), 64 << 20)
     chunks = max(1, math.ceil(total / size))
+    bucket = min(max(bucket_bytes, total // 16384), 64 << 20)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (64 << 20)))
-    return Deal(chunks, max(1, math.ceil(total / bucket_bytes)), parts)
+    return Deal(chunks, max(1, math.ceil(total / bucket)), parts)
 
 
 def dealt(docs: DataFrame, how: Deal, *columns: str) -> DataFrame:
     """The rows with their chunk; every later step on chunks reuses this one exchange of the texts."""
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(how.chunks)).cast("int").alias("chunk")
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(how.chunks)).cast("int").alias("chunk")
     return docs.select(*columns, chunk).repartition(how.parts, "chunk")
 
 
@@ -75,10 +77,10 @@ def blobs(hashes: np.ndarray, chunk: int, buckets: int, kind: str = "<u8") -> pa
     )
 
 
-def answer(sent: DataFrame, code: Callable[[np.ndarray], np.ndarray], kind: str = "<u8") -> DataFrame:
+def answer(sent: DataFrame, how: Deal, code: Callable[[np.ndarray], np.ndarray], kind: str = "<u8") -> DataFrame:
     """Per blob, a byte for each of its hashes: `code` of the number of chunks that sent the hash; 0 for one chunk."""
 
-    return sent.groupBy("bucket").applyInArrow(tidy(lambda table: counted(table, code, kind)), BLOBS)
+    return sent.repartition(how.parts, "bucket").groupBy("bucket").applyInArrow(tidy(lambda table: counted(table, code, kind)), BLOBS)
 
 
 def counted(table: pa.Table, code: Callable[[np.ndarray], np.ndarray], kind: str = "<u8") -> pa.Table:

@@ -15,7 +15,8 @@ Two documents link when 100 * intersection >= 75 * union. Steps:
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; fewer than five words make one shingle of the
 whole sequence; null, empty and blank texts have no set, are linked with nothing and are their own component; rows
-with one doc_id and different texts are judged apart; a null doc_id never is a component's least id if there is another.
+with one doc_id and different texts are judged apart; a null doc_id never is a component's least id if there is another;
+repeated rows are linked with each other; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chunks, textbytes
 from tidemark.llm.components import components
-from tidemark.llm.shared import written
+from tidemark.llm.shared import hot_keys, spread_join, written
 
 WORDS = 5
 #: Hashes of the sets that one task of step 5 may hold.
@@ -139,7 +140,7 @@ def candidate_sets(docs: DataFrame, how: chunks.Deal) -> DataFrame:
         return pa.table(rows, schema=_ARROW_SETS)
 
     sent = placed.groupBy("chunk").applyInArrow(chunks.tidy(send), chunks.BLOBS)
-    found = chunks.answer(sent, _code, "<u4")
+    found = chunks.answer(sent, how, _code, "<u4")
     return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(chunks.tidy(pick), _SETS)
 
 
@@ -309,7 +310,8 @@ def clusters(sets: DataFrame, group_hashes: int = GROUP_HASHES) -> DataFrame:
     members = sets.where("repeated > 0").select("node", "digest", "n", "shingles")
     chosen = light.join(sizes.where(F.col("size") <= group_hashes).select("label"), "label").select("node", "label").distinct()
     small = members.join(chosen, "node").select("label", "digest", "shingles", F.pmod(F.xxhash64("label"), F.lit(packs)).alias("pack"))
-    out = small.groupBy("pack").applyInArrow(chunks.tidy(_verify), "digest binary, cluster binary")
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(packs / 32))
+    out = small.repartition(parts, "pack").groupBy("pack").applyInArrow(chunks.tidy(_verify), "digest binary, cluster binary")
     if (largest or 0) > group_hashes:
         large = light.join(sizes.where(F.col("size") > group_hashes).select("label"), "label").select("node", "label").distinct()
         giant = members.join(large, "node").select("node", "label", "n", "digest", "shingles")
@@ -323,12 +325,17 @@ def clusters(sets: DataFrame, group_hashes: int = GROUP_HASHES) -> DataFrame:
 def jaccard_join(docs: DataFrame, group_hashes: int = GROUP_HASHES, how: chunks.Deal | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included)."""
     sets = written(candidate_sets(docs, how or chunks.deal(docs)), "sets")
-    found = sets.select("digest", "n").join(clusters(sets, group_hashes), "digest", "left")
-    found = written(found.select("digest", "n", F.coalesce("cluster", "digest").alias("cluster")), "clusters")
-    rows = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")).join(found, "digest", "left")
-    rows = written(rows.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("n") > 0, F.col("cluster")).alias("cluster")), "rows")
-    least = rows.where("cluster is not null").groupBy("cluster").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "cluster", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    rows = written(docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")), "rows")
+    # one row per text from here on: its documents, their least id, its set's size and its cluster
+    texts = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("many"), F.min("doc_id").alias("own"))
+    found = sets.select("digest", "n").join(clusters(sets, group_hashes), "digest", "left").where("n > 0")
+    texts = written(texts.join(found.select("digest", "n", F.coalesce("cluster", "digest").alias("cluster")), "digest"), "texts")
+    groups = written(texts.groupBy("cluster").agg(F.min("own").alias("least"), F.count("*").alias("texts"), F.sum("many").alias("documents")), "clusters")
+    n_texts, n_rows = groups.agg(F.sum("texts"), F.sum("documents")).first()
+    hot = hot_keys(groups, "cluster", "texts", n_texts)
+    named = spread_join(texts.select("digest", "n", "cluster"), groups.select("cluster", "least"), "cluster", hot).select("digest", "n", "least")
+    out = spread_join(rows, named, "digest", hot_keys(texts, "digest", "many", n_rows))
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, how: chunks.Deal | None =
         return pa.table(rows, schema=_ARROW)
 
     sent = placed.groupBy("chunk").applyInArrow(chunks.tidy(send), chunks.BLOBS)
-    found = chunks.answer(sent, lambda n: np.minimum(n, 2))
+    found = chunks.answer(sent, how, lambda n: np.minimum(n, 2))
     return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(chunks.tidy(remove), SCHEMA)
 
 
