@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tidemark.llm import suffix_dedup as S
+from tidemark.llm.chunks import Deal
 
 
 def brute(rows, size):
@@ -25,6 +26,7 @@ def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert got(S.suffix_dedup(docs)) == sorted(brute(rows, S.SIZE), key=str)
+    assert got(S.suffix_dedup(docs, how=Deal(37, 11, 8))) == sorted(brute(rows, S.SIZE), key=str)
     assert S.op2_suffix_dedup(spark, sf_dir).count() == len(rows)
 
 

@@ -85,7 +85,8 @@ def _block(data: np.ndarray, s: int, e: int, size: int, gram: int, width: int) -
     anchor = at[first]
     stop = first + many - 1 + size
     whole = (sums[stop] - sums[first]) * down[first]
-    return first + s, many, grams[anchor], textbytes.mix(whole ^ textbytes.mix((many << 32 | anchor - first).astype(np.uint64)))
+    # least hashes are small: mixed once more they spread evenly over the buckets
+    return first + s, many, textbytes.mix(grams[anchor]), textbytes.mix(whole ^ textbytes.mix((many << 32 | anchor - first).astype(np.uint64)))
 
 
 # --- the enhanced suffix array -------------------------------------------------------------------------------------
@@ -342,10 +343,10 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = No
         return pa.table({"doc_id": texts.column("doc_id"), "n_bytes": np.diff(offsets), **rows}, schema=_ARROW)
 
     sent = placed.groupBy("chunk").applyInArrow(chunks.tidy(send), chunks.BLOBS)
-    judged = sent.groupBy("bucket").applyInArrow(chunks.tidy(_judge(hot)), chunks.BLOBS)
+    judged = sent.repartition(how.parts, "bucket").groupBy("bucket").applyInArrow(chunks.tidy(_judge(hot)), chunks.BLOBS)
     both = placed.groupBy("chunk").cogroup(judged.groupBy("chunk"))
     spoken = both.applyInArrow(chunks.tidy(speak), _SPOKEN)
-    scanned = spoken.groupBy("bucket").applyInArrow(chunks.tidy(scan), _REPLY)
+    scanned = spoken.repartition(how.parts, "bucket").groupBy("bucket").applyInArrow(chunks.tidy(scan), _REPLY)
     none = F.lit(0).cast("long")
     replies = judged.select(F.lit(0).alias("kind"), "bucket", "chunk", none.alias("anchor"), none.alias("body"), "data").union(scanned)
     return placed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(chunks.tidy(remove), SCHEMA)
