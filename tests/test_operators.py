@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +166,26 @@ def test_addresses(spark):
     text = frame.select("raw", addresses.encoder("addr")("raw").alias("text"))
     back = text.select("raw", "text", addresses.decoder()("text").alias("back")).collect()
     assert all(r.raw == r.back and (r.text is None or r.text.startswith("addr1")) for r in back) and len(back) == 5
+
+
+def test_buckets_hold_like_numbers_of_rows(spark):
+    """One far outlier, a dense stretch, repeated values and nulls."""
+    values = [10**12, None, None, *range(1000), *[500] * 50]
+    out = ordered.bucketed(spark.createDataFrame([(v,) for v in values], "x long"), "x", 8)
+    rows = sorted((r._bucket, -1 if r.x is None else r.x) for r in out.collect())
+    assert [x for _, x in rows] == sorted(-1 if v is None else v for v in values)
+    assert max(Counter(b for b, _ in rows).values()) < 260 and {b for b, x in rows if x == -1} == {-1}
+    assert len({b for b, x in rows if x == 500}) == 1
+
+
+def test_folds_and_control_rows(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([3, None, 5, 1, 9])], "slot_no long, v int")
+    assert [r.most for r in preprocess.fold(rows, F.max, F.col("v"), F.greatest, "most").orderBy("slot_no").collect()] == [3, 3, 5, 5, 9]
+    log = spark.createDataFrame([(1, "a"), (2, "b")], "seq long, k string")
+    steps = F.when(F.col("k") == "b", F.array(F.struct("k"), F.struct(F.lit("stop").alias("k")))).otherwise(F.array(F.struct("k")))
+    assert sorted(map(tuple, preprocess.expanded(log, steps, 2).collect())) == [(2, "a"), (4, "b"), (5, "stop")]
+
+
+def test_datum_json(spark):
+    frame = spark.createDataFrame([('{ "constructor":0, "fields":[{"int": 1},{"bytes":"00ff"}]}',), ("no json",), (None,)], "d string")
+    assert [r[0] for r in frame.select(render.datum_json("d")).collect()] == ['{"constructor":0,"fields":[{"int":1},{"bytes":"00ff"}]}', None, None]

@@ -43,7 +43,7 @@ def unspent_as_of(spark, sf):
 def utxo_unspent_by_address(spark, sf):
     spent = fx.spent(spark, sf)
     rows = domain.unspent(fx.utxo(spark, sf).where(F.col("address") == ADDRESS), spent, SLOT)
-    later = domain.spent_once(spent).withColumnRenamed("slot_no", "spent_slot")
+    later = domain.spent_once(domain.spends_of(spent, rows)).withColumnRenamed("slot_no", "spent_slot")
     return rows.join(later, ["tx_id", "tx_ix"], "left").select("tx_id", "tx_ix", "slot_no", "value", "spent_at_tx", "spent_slot")
 
 

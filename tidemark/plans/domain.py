@@ -17,6 +17,11 @@ def spent_once(spent: DataFrame) -> DataFrame:
     return spent.groupBy("tx_id", "tx_ix").agg(first).select("tx_id", "tx_ix", *(f"s.{c}" for c in rest))
 
 
+def spends_of(spent: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The spends of these outputs only, so that nothing is grouped that is not asked for."""
+    return spent.join(outputs.select("tx_id", "tx_ix"), ["tx_id", "tx_ix"], "left_semi")
+
+
 def unspent(utxo: DataFrame, spent: DataFrame, upper: int | None, lower: int | None = None) -> DataFrame:
     """Outputs created at or before `upper` (and at or after `lower`) that no transaction had spent by then.
 
@@ -35,7 +40,7 @@ def unspent_details(utxo: DataFrame, spent: DataFrame, datum: DataFrame, blocks:
     keys = rows.select("tx_id").distinct()
     used = spent.withColumnRenamed("spent_at_tx", "by").join(keys.withColumnRenamed("tx_id", "by"), "by")
     used = used.groupBy("by").agg(F.sort_array(F.collect_set(F.struct("tx_id", "tx_ix"))).alias("tx_inputs")).withColumnRenamed("by", "tx_id")
-    later = spent_once(spent).select("tx_id", "tx_ix", "spent_at_tx", F.col("slot_no").alias("spent_slot"))
+    later = spent_once(spends_of(spent, rows)).select("tx_id", "tx_ix", "spent_at_tx", F.col("slot_no").alias("spent_slot"))
     info = blocks.select("slot_no", "block_no", "epoch_no", "block_timestamp")
     at_spend = info.select(F.col("slot_no").alias("spent_slot"), F.col("block_no").alias("spent_block_no"))
     out = rows.join(later, ["tx_id", "tx_ix"], "left").join(datum.select("datum_hash", "datum"), "datum_hash", "left")

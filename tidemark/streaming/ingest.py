@@ -134,7 +134,7 @@ class Ingest:
         before = self._read(f"_volatile/batch_id={state.batch}", _POSITIONS)
         log = changelog.as_log(before.unionByName(own), batch.where("op = 'ROLLBACK'").select("seq", "to_slot"))
         # without a rollback all rows are valid, and there is nothing to scan
-        judged = changelog.judged(log, buckets=1) if seen.rollbacks else log.withColumn("valid", F.lit(True))
+        judged = changelog.judged(log, max(1, seen.blocks // 100_000)) if seen.rollbacks else log.withColumn("valid", F.lit(True))
         judged = judged.where("op = 'INDEX'").select("seq", "slot_no", "block_no", "tip_block_no", "valid").persist()
         try:
             valid = judged.where("valid")
