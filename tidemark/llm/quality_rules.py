@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are estimated on a sample; rules then run in order of rejection per cost, each only
-over the documents that every earlier rule let pass. The verdict is the conjunction of all rules, so the order changes
-the work and not the result.
+Each rule's cost and selectivity are estimated on a sample, among the texts that passed the base test and every rule
+placed before it, with the features that those have worked out already; the rule with most rejections per cost comes
+next. Rules then run in that order, each only over the documents that every earlier rule let pass. The verdict is the
+conjunction of all rules, so the order changes the work and not the result.
 
 Words are [^\\x20\\x09-\\x0D]+. Defined results: null and empty texts have no words, fail the base test and are not
-kept; rows are judged one by one, so repeated rows and ids give repeated results; an empty table gives an empty one.
+kept; rows are judged one by one, so repeated rows and ids give repeated results; an empty table gives an empty one;
+`judge` ignores other columns, whatever their names, and `keep` hands them on.
 """
 
 from __future__ import annotations
@@ -41,15 +43,31 @@ _LETTER[0x61:0x7B] = True
 class Texts:
     """A batch of texts with features that are worked out when first asked for."""
 
+    #: What is known per text goes along with the texts that are taken.
+    COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_flagged")
+
     def __init__(self, column: pa.ChunkedArray | pa.Array):
         self.column = column
-        self.data, self.offsets = textbytes.flatten(column)
 
     def __len__(self) -> int:
-        return len(self.offsets) - 1
+        return len(self.column)
 
     def take(self, rows: np.ndarray) -> Texts:
-        return Texts(self.column.take(pa.array(rows)))
+        out = Texts(self.column.take(pa.array(rows)))
+        out.__dict__.update((c, self.__dict__[c][rows]) for c in self.COUNTS if c in self.__dict__)
+        return out
+
+    @cached_property
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        return textbytes.flatten(self.column)
+
+    @property
+    def data(self) -> np.ndarray:
+        return self.flat[0]
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return self.flat[1]
 
     def count(self, flags: np.ndarray, cuts: np.ndarray | None = None) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
@@ -77,13 +95,22 @@ class Texts:
         return self.count(_SYMBOL[self.body])
 
     @cached_property
-    def n_dup_lines(self) -> np.ndarray:
-        out = np.zeros(len(self), dtype=np.int64)
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lines with a word, and those of them that are equal to an earlier one."""
+        out = np.zeros((2, len(self)), dtype=np.int64)
         raw = self.body.tobytes()
         for i, (a, b) in enumerate(zip(self.offsets[:-1], self.offsets[1:])):
             lines = [x for x in raw[a:b].split(b"\n") if x.strip()]
-            out[i] = len(lines) - len(set(lines))
-        return out
+            out[:, i] = len(lines), len(lines) - len(set(lines))
+        return out[0], out[1]
+
+    @cached_property
+    def n_lines(self) -> np.ndarray:
+        return self.lines[0]
+
+    @cached_property
+    def n_dup_lines(self) -> np.ndarray:
+        return self.lines[1]
 
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
@@ -107,7 +134,6 @@ class Texts:
         low, starts, ends, first = self.plain_words
         return self.count(np.isin(textbytes.word_hashes(low, starts, ends), _FLAGGED_HASHES), first)
 
-
     @cached_property
     def plain_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         low = textbytes.LOWER[self.data]
@@ -148,11 +174,24 @@ SQL_RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 15 * t.n_words)),
     Rule("capitals", lambda t: 10 * t.n_upper > 3 * t.n_letters),
-    Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * t.n_words),
+    Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * t.n_lines),
     Rule("flagged_words", lambda t: 250 * t.n_flagged > t.n_words),
 )
 
 
+def frequent_stems(found: dict[str, tuple[str, ...]]) -> Rule:
+    """By toxicity.frequent, as SQL states it."""
+    sized = [{n: _hashed([s for s in stems if len(s.encode()) == n]) for n in {len(s.encode()) for s in stems}} for stems in found.values()]
+
+    def rejects(t: Texts) -> np.ndarray:
+        out, n = np.zeros(len(t), dtype=bool), np.diff(t.plain_words[3])
+        for stems in sized:
+            out |= toxicity.PER_WORDS * t.n_begun_by(stems) > n
+        return out
+
+    return Rule("frequent_stems", rejects)
+
+
 def toxic_stems(model: dict[str, toxicity.Stems]) -> Rule:
     sized = [({n: _hashed([s for s in m.stems if len(s.encode()) == n]) for n in {len(s.encode()) for s in m.stems}}, m.share) for m in model.values()]
 
@@ -173,19 +212,33 @@ def rules_for(docs: DataFrame, labels: DataFrame) -> tuple[Rule, ...]:
     return (*SQL_RULES, toxic_stems(toxicity.fitted(toxicity.sample(docs, labels))))
 
 
-def estimate(sample: pa.ChunkedArray | pa.Array, rules: Sequence[Rule]) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share of texts rejected) over the sample, each rule from cold features."""
+def estimate(texts: Texts, rules: Sequence[Rule]) -> list[tuple[Rule, float, np.ndarray]]:
+    """(rule, seconds, flags of the texts it rejects), each rule with no more features than `texts` has."""
     out = []
     for rule in rules:
-        texts, began = Texts(sample), time.perf_counter()
-        share = float(np.mean(rule.rejects(texts))) if len(texts) else 0.0
-        out.append((rule, max(time.perf_counter() - began, 1e-9), share))
+        own, began = texts.take(np.arange(len(texts))), time.perf_counter()
+        flags = rule.rejects(own)
+        out.append((rule, max(time.perf_counter() - began, 1e-9), flags))
     return out
 
 
-def ordered(estimates: Sequence[tuple[Rule, float, float]]) -> list[Rule]:
-    """By rejection per cost, the best first."""
-    return [rule for rule, seconds, share in sorted(estimates, key=lambda x: (-x[2] / x[1], x[1], x[0].name))]
+def best(estimates: Sequence[tuple[Rule, float, np.ndarray]]) -> tuple[Rule, float, np.ndarray]:
+    """The most rejections per cost; of equals the cheapest."""
+    return min(estimates, key=lambda x: (-int(x[2].sum()) / x[1], x[1], x[0].name))
+
+
+def ordered(sample: pa.ChunkedArray | pa.Array, rules: Sequence[Rule]) -> list[Rule]:
+    """The rules in the order in which they are to run; what the sample leaves at the end goes by cost alone."""
+    texts = Texts(sample)
+    texts = texts.take(np.flatnonzero(~base_failed(texts)))
+    left, out = list(rules), []
+    while left:
+        rule, _, flags = best(estimate(texts, left))
+        rule.rejects(texts)  # the features that it needs are known from here on
+        texts = texts.take(np.flatnonzero(~flags))
+        left.remove(rule)
+        out.append(rule)
+    return out
 
 
 def cascade(texts: Texts, rules: Sequence[Rule]) -> np.ndarray:
@@ -214,17 +267,17 @@ def sampled(docs: DataFrame, size: int = SAMPLE) -> pa.ChunkedArray:
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: pa.ChunkedArray | None = None) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, kept, and the rule that rejected it (it depends on the order)."""
-    order = ordered(estimate(sampled(docs) if sample is None else sample, rules))
+    order = ordered(sampled(docs) if sample is None else sample, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for table in chunks.slices(pa.Table.from_batches([batch])):
                 texts = Texts(table.column("text"))
                 failed = base_failed(texts)
+                columns = {c: getattr(texts, c) for c in STATS}
                 passed = np.flatnonzero(~failed)
                 verdict = np.full(len(texts), -1)
                 verdict[passed] = cascade(texts.take(passed), order)
-                columns = {c: getattr(texts, c) for c in STATS}
                 names = ["base" if f else order[v].name if v >= 0 else None for f, v in zip(failed, verdict)]
                 out = {"doc_id": table.column("doc_id"), **columns, "base_failed": failed, "kept": ~failed & (verdict < 0), "rejected_by": pa.array(names, pa.string())}
                 yield from pa.table(out).to_batches()
@@ -234,7 +287,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: pa.ChunkedArra
 
 def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: pa.ChunkedArray | None = None) -> DataFrame:
     """The rows, with all their columns, that pass the base test and every rule."""
-    order = ordered(estimate(sampled(docs) if sample is None else sample, rules))
+    order = ordered(sampled(docs) if sample is None else sample, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,8 +301,9 @@ def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: pa.ChunkedArray
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the rules of its SQL, which has no toxic stems; the pipeline applies all RULES."""
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), SQL_RULES).drop("rejected_by")
+    """By the rules that SQL states, with the stems that are frequent in the table's toxic documents."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judge(docs, (*SQL_RULES, frequent_stems(toxicity.frequent(docs, labels)))).drop("rejected_by")
 
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -257,16 +311,16 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _PLAIN = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _LINES = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
 SQL = rf"""
-WITH d AS (SELECT doc_id, text, {_W} AS w, {_LINES} AS l, {_PLAIN} AS plain FROM documents),
+WITH d AS (SELECT doc_id, lang, text, {_W} AS w, {_LINES} AS l, {_PLAIN} AS plain FROM documents),{toxicity.FREQUENT_SQL},
 g AS (SELECT doc_id, p, w[p : p + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM g JOIN (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)) GROUP BY doc_id),
 s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
              length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS letters,
-             len(list_filter(plain, lambda x: x IN {FLAGGED})) AS flagged
+             len(list_filter(plain, lambda x: x IN {FLAGGED})) AS flagged, len(l) AS n_lines, doc_id IN (SELECT doc_id FROM toxic) AS is_toxic
       FROM d LEFT JOIN hit USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * upper <= 3 * letters AND 10 * n_dup_lines <= 3 * n_words AND 250 * flagged <= n_words AS kept
+       NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * upper <= 3 * letters AND 10 * n_dup_lines <= 3 * n_lines AND 250 * flagged <= n_words AND NOT is_toxic AS kept
 FROM b
 """

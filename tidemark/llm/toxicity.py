@@ -8,7 +8,9 @@ of FLAGGED's rule: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+, with A-Z lower-cased.
 
 Tables differ in their toxic words, so a table's own labels are read: about PER_CLASS toxic and PER_CLASS other documents,
 chosen by a hash of doc_id over all labels, CHARS characters of each, go to the driver - a bound whatever the size of the
-table. A language with fewer than LEAST toxic documents in that sample, or whose stems part it badly, keeps STEMS, which
+table. `frequent` is a plainer fit that SQL can state, over whole texts of as many documents, with one cut for all.
+
+A language with fewer than LEAST toxic documents in that sample, or whose stems part it badly, keeps STEMS, which
 was fitted on the labelled documents of sf0.1 with an even doc_id; a language in neither has no rule.
 """
 
@@ -66,6 +68,49 @@ def fit(docs: Sequence[tuple[str | None, int]]) -> Stems | None:
     return Stems(stems, cut) if stems and parted >= 0.5 else None
 
 
+#: `frequent`: a stem of so many characters that SEEN per cent of a language's toxic documents hold, with MORE times the share
+#: of their words. A text is toxic if those of one language make up over 1 / PER_WORDS of its words.
+STEM, SEEN, MORE, PER_WORDS = (4, 8), 15, 20, 100
+
+
+def frequent(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[str, ...]]:
+    """The stems of each language, from PER_CLASS toxic and PER_CLASS other labelled documents at most, the first in the order
+    of md5(doc_id). The driver gets the stems only: at most 100 / SEEN times those of a mean document."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = (F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"))
+    zero, one = (known.where(F.col("toxic") == t).orderBy(*order).limit(PER_CLASS) for t in (0, 1))
+    plain = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    read = docs.select("doc_id", "lang", "text").join(F.broadcast(zero.union(one)), "doc_id").where("text is not null").select("doc_id", "lang", "toxic", plain.alias("w"))
+    words = read.select("doc_id", "lang", "toxic", F.size("w").alias("n"), F.explode("w").alias("y")).groupBy("doc_id", "lang", "toxic", "n", "y").agg(F.count("*").alias("k"))
+    sized = words.select("*", F.explode(F.sequence(*map(F.lit, STEM))).alias("l")).where(F.length("y") >= F.col("l"))
+    own = sized.groupBy("doc_id", "lang", "toxic", "n", F.expr("substring(y, 1, l)").alias("stem")).agg(F.sum("k").alias("k"))
+    share = F.floor(F.col("k") * 1_000_000 / F.col("n")).cast("long")
+    many = words.select("doc_id", "lang", "toxic").distinct().groupBy("lang").agg(F.count_if(F.col("toxic") == 1).alias("nt"), F.count_if(F.col("toxic") == 0).alias("nc"))
+    sums = own.groupBy("lang", "stem").agg(
+        F.count_if(F.col("toxic") == 1).alias("held"),
+        F.sum(F.when(F.col("toxic") == 1, share).otherwise(0)).alias("bad"),
+        F.sum(F.when(F.col("toxic") == 0, share).otherwise(0)).alias("good"),
+    )
+    found = sums.join(F.broadcast(many), "lang").where(  # a row per language
+        (F.col("nt") >= LEAST) & (F.col("nc") >= LEAST) & (100 * F.col("held") >= SEEN * F.col("nt")) & (F.col("bad") * F.col("nc") >= MORE * F.col("good") * F.col("nt"))
+    )
+    return {r.lang: tuple(r.stems) for r in found.groupBy("lang").agg(F.sort_array(F.collect_list("stem")).alias("stems")).collect()}
+
+
+#: `frequent` and its verdicts in DuckDB's SQL, over d (doc_id, lang, plain); `toxic` has the ids.
+FREQUENT_SQL = f"""
+pick AS (SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id::VARCHAR), doc_id) AS r
+         FROM (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IN (0, 1) GROUP BY doc_id)) WHERE r <= {PER_CLASS}),
+dw AS (SELECT doc_id, lang, len(plain) AS n, y, count(*) AS k FROM (SELECT doc_id, lang, plain, unnest(plain) AS y FROM d) GROUP BY ALL),
+cut AS (SELECT *, substring(y, 1, l) AS stem FROM dw, (SELECT unnest(range({STEM[0]}, {STEM[1]} + 1)) AS l) WHERE length(y) >= l),
+own AS (SELECT doc_id, lang, toxic, stem, CAST(floor(sum(k) * 1000000 / n) AS BIGINT) AS share FROM cut JOIN pick USING (doc_id) GROUP BY doc_id, lang, toxic, n, stem),
+many AS (SELECT lang, count(*) FILTER (toxic = 1) AS nt, count(*) FILTER (toxic = 0) AS nc FROM (SELECT DISTINCT doc_id, lang, toxic FROM dw JOIN pick USING (doc_id)) GROUP BY lang),
+stems AS (SELECT lang, stem FROM own JOIN many USING (lang) GROUP BY lang, stem, nt, nc
+          HAVING nt >= {LEAST} AND nc >= {LEAST} AND 100 * count(*) FILTER (toxic = 1) >= {SEEN} * nt
+             AND coalesce(sum(share) FILTER (toxic = 1), 0) * nc >= {MORE} * coalesce(sum(share) FILTER (toxic = 0), 0) * nt),
+toxic AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, n, of, sum(k) AS h FROM (SELECT DISTINCT doc_id, n, y, k, stems.lang AS of FROM cut JOIN stems USING (stem)) GROUP BY doc_id, n, of) WHERE {PER_WORDS} * h > n)"""
+
+
 def _cut(points: list[tuple[float, int]], many: Counter) -> tuple[float, float]:
     """The share between two values that best parts toxic from other documents, and how well: 1 is fully."""
     points = sorted(points)
