@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op3_chat_format": chat_format.SQL,
     "op4_quality_rules": quality_rules.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op6_decontamination": decontamination.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,

@@ -369,3 +369,20 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Texts as hexadecimal digits, cut into pieces so that a window is found without reading the whole text again.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, o, substr(h, 2 * o + 1, 1822) AS h, least(512, n - o) AS m FROM (SELECT doc_id, h, len(h) // 2 - 399 AS n, unnest(range(0, len(h) // 2 - 399, 512)) AS o FROM d)),
+w AS (SELECT doc_id, o + q AS p, md5(substr(h, 2 * q + 1, 800)) AS k FROM (SELECT doc_id, o, h, unnest(range(0, m)) AS q FROM b)),
+g AS (SELECT doc_id, p, p - 400 > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -401) AS starts FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+i AS (SELECT doc_id, count(*) FILTER (starts) OVER (PARTITION BY doc_id ORDER BY p) AS i, p FROM g),
+spans AS (SELECT doc_id, i, min(p) AS a, max(p) + 400 AS b, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM i GROUP BY doc_id, i),
+cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM spans GROUP BY doc_id),
+keep AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM (
+         SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+         UNION ALL SELECT doc_id, max(b), 1000000000 FROM spans GROUP BY doc_id) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN spans > 0 THEN coalesce(k, '') ELSE h END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN keep USING (doc_id)
+"""
