@@ -2,6 +2,12 @@
 
 Each stage works on all rows that the one before it kept; its result is written as Parquet in the shared folder and
 read again, so a lost executor costs no earlier stage.
+
+Defined results: null, empty and very short texts fail the quality rules and go; texts are never cut short, however long;
+of exactly repeated rows all pass the rules, and near copies then leave the rows of one doc_id (repeats of one row have
+one doc_id and stay together); rows without a doc_id count as one id; an empty table gives an empty one; columns beyond
+those of documents are handed on until the tokens. After decontamination the words on both sides of a cut become
+neighbours, and that text is not matched again.
 """
 
 from __future__ import annotations
