@@ -74,6 +74,16 @@ def test_one_word_items_stay_inside_a_document(spark, block_words):
     assert {r.doc_id: r.cleaned for r in rows} == {1: "of ", 2: " start, a", 3: None, 4: "b ", 5: "", 6: "one two three four five ", 7: "six seven eight nine ten eleven ", 8: "", 9: " of ", 10: "none"}
 
 
+def test_very_long_text(spark, monkeypatch):
+    """A text of 400,000 words with a window at its end, and more blocks of items than one stage searches."""
+    monkeypatch.setattr(D, "BLOCKS", 2)
+    items = [(i, " ".join(f"item{i}word{j}" for j in range(12))) for i in range(9)]
+    rows = [(1, "filler " * 400_000 + items[4][1]), (2, " ".join(x for _, x in items)), (2, "clean")]
+    found = D.find_hits(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, hits string"), spark.createDataFrame(items, "item_id long, text string"), block_words=40)
+    out = sorted((r.doc_id, r.n_words, sum(s.end - s.start for s in D_merge(r.hits)), sorted(r["items"])) for r in found.collect())
+    assert out == [(1, 400_012, 12, [4]), (2, 1, 0, []), (2, 108, 108, list(range(9)))]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")

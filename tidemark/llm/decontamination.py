@@ -6,11 +6,14 @@ length reaches the item's limit: `min_words` words, or `min_coverage` of an item
 such a match are hit.
 
 Before the automaton, a vectorised test drops runs of words in which no short gram belongs to an item: no match that
-counts can lie there. Items are taken to the driver in blocks of at most `block_words` words (the documented bound of
-each broadcast); more items mean more blocks, which pass over the documents one after another in the same stage.
+counts can lie there. Items are taken to the driver in blocks of about `block_words` words (the bound of each
+broadcast). Up to BLOCKS of them pass over the documents in one stage; then what was found is written, their broadcasts
+are given up and the next BLOCKS follow, so a worker never holds more than BLOCKS * block_words words of items.
 
 Defined results: null and empty texts have no words; items without words are ignored; an item without an id can hit
-but is not listed; repeated items or ids are listed once; an empty table on either side gives no hits.
+but is not listed; repeated items or ids are listed once; an empty table on either side gives no hits; repeated rows and ids
+of documents are judged row by row; other columns, whatever their names, are handed on in `row`. Of a document that is
+cleaned, the words on both sides of a cut become neighbours and are not matched again.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import chunks, textbytes
-from tidemark.llm.shared import others, restored
+from tidemark.llm.shared import others, restored, written
 from tidemark.llm.substring_dedup import sha256
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _FOUND = "doc_id long, text string, n_words long, hits array<struct<start:long,end:long>>, items array<long>"
 #: The words of items that one broadcast holds, about.
 BLOCK_WORDS = 200_000
+#: The blocks that are searched in one stage.
+BLOCKS = 8
 
 
 class Automaton:
@@ -137,10 +142,16 @@ def find_hits(docs: DataFrame, items: DataFrame, min_words: int = 10, min_covera
     blocks = max(1, math.ceil(total / (4 * block_words)))
     out = docs.select("doc_id", "text", others(docs), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("hits"), F.expr("cast(array() as array<long>)").alias("items"))
     schema = T.StructType.fromDDL(_FOUND).add("row", out.schema["row"].dataType)
+    shared: list = []
     for b in range(blocks):
+        if len(shared) == BLOCKS:
+            out = written(out, "hits")
+            while shared:
+                shared.pop().unpersist()
         part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = [(r[0], r[1]) for r in part.collect()]
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(_block(rows, min_words, min_coverage))), schema)
+        shared.append(spark.sparkContext.broadcast(_block(rows, min_words, min_coverage)))
+        out = out.mapInArrow(_search(shared[-1]), schema)
     return out
 
 
