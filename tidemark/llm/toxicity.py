@@ -24,6 +24,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import written
+
 LENGTHS = range(3, 11)
 SPREAD, RATIO, KEPT = 0.4, 10.0, 0.85
 PER_CLASS, CHARS, LEAST = 2000, 20_000, 10
@@ -80,7 +82,9 @@ def frequent(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[str, ...]]:
     order = (F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"))
     zero, one = (known.where(F.col("toxic") == t).orderBy(*order).limit(PER_CLASS) for t in (0, 1))
     plain = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
-    read = docs.select("doc_id", "lang", "text").join(F.broadcast(zero.union(one)), "doc_id").where("text is not null").select("doc_id", "lang", "toxic", plain.alias("w"))
+    # written first: a filter on the words would else be pushed below the join, to every document
+    read = written(docs.select("doc_id", "lang", "text").join(F.broadcast(zero.union(one)), "doc_id").where("text is not null"), "labelled")
+    read = read.select("doc_id", "lang", "toxic", plain.alias("w"))
     words = read.select("doc_id", "lang", "toxic", F.size("w").alias("n"), F.explode("w").alias("y")).groupBy("doc_id", "lang", "toxic", "n", "y").agg(F.count("*").alias("k"))
     sized = words.select("*", F.explode(F.sequence(*map(F.lit, STEM))).alias("l")).where(F.length("y") >= F.col("l"))
     own = sized.groupBy("doc_id", "lang", "toxic", "n", F.expr("substring(y, 1, l)").alias("stem")).agg(F.sum("k").alias("k"))
