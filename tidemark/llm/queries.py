@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, line_dedup, quality_rules, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_simhash_dedup": simhash.op11_simhash_dedup,
 }
 
 SQL: dict[str, str] = {
