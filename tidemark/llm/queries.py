@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm import bpe, chat_format, decontamination, hard_negatives, html_extraction, jaccard_join, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_simhash_dedup": simhash.op11_simhash_dedup,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ SQL: dict[str, str] = {
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_url_filter": url_filter.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
