@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat_format, decontamination, hard_negatives, html_extraction, jaccard_join, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm import bpe, chat_format, decontamination, hard_negatives, html_extraction, jaccard_join, line_dedup, prefix_trie, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_simhash_dedup": simhash.op11_simhash_dedup,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -29,4 +30,5 @@ SQL: dict[str, str] = {
     "op9_line_dedup": line_dedup.SQL,
     "op10_url_filter": url_filter.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
