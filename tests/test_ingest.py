@@ -14,9 +14,9 @@ from tidemark.serving import cli
 from tidemark.serving.rpc import Api, serve
 from tidemark.sources import chain as source
 from tidemark.sources import event_store
-from tidemark.streaming import stateful, stats
+from tidemark.streaming import layout, stateful, stats
 from tidemark.streaming.cache import ResultCache
-from tidemark.streaming.ingest import TABLES, Ingest, Settings, configured, for_each
+from tidemark.streaming.ingest import TABLES, Ingest, Settings, configured, epoch_tables, for_each
 
 MINT = {"policy_id": "p", "asset_name": "t", "quantity": Decimal(-3)}
 
@@ -135,28 +135,132 @@ def test_random_chains_in_batches(spark, tmp_path):
         assert ingest.point()[0] == chain_[-1][1]
 
 
-def test_hot_cold_layout_and_pruning(spark, tmp_path):
-    ingest = Ingest(spark, str(tmp_path / "tables"), settings=Settings(depth=2))
+def test_hot_cold_and_pruning(spark, tmp_path):
+    ingest = Ingest(spark, str(tmp_path / "tables"), settings=Settings(depth=2, flush_every=3))
     for i, part in enumerate((rows()[:1], rows()[1:3], rows()[3:])):
         ingest.process(spark.createDataFrame(part, schemas.STREAM), i)
+    state = ingest.state()
+    assert len(state.hot) == 1 and [(r.low, r.high) for r in state.cold] == [(2, 7)]
     hot, cold = ingest.hot_and_cold("block_info")
     assert [r.slot_no for r in hot.collect()] == [9] and sorted(r.slot_no for r in cold.collect()) == [2, 7]
-    laid = ingest.exported("utxo", str(tmp_path / "laid"), 2)
-    assert laid.count() == ingest.table("utxo").count()
     with pytest.raises(ValueError):
         ingest.prune(9)
     ingest.prune(2)
     assert sorted(r.slot_no for r in ingest.table("block_info").collect()) == [7, 9]
-    assert spark.read.schema(schemas.BLOCK_INFO).parquet(str(tmp_path / "tables" / "block_info" / "batch_id=0")).isEmpty()
     with pytest.raises(errors.NotStoredAnymore):
         ingest.table("utxo", as_of=1)
     assert ingest.table("block_info", as_of=7).count() == 1
     again = Ingest(spark, ingest.root, settings=Settings(depth=2))
     assert again.state() == ingest.state() and again.point() == (9, 7)
+    ingest.prune(7)
+    assert ingest.state().cold == [] and [r.slot_no for r in ingest.table("block_info").collect()] == [9]
     with pytest.raises(errors.IngestError):
         again.process(spark.createDataFrame([(9, "ROLLBACK", 1, None)], schemas.STREAM), 3)
 
 
+def chain_of(slots, outputs=0, depth_of=lambda slot: slot, fork="a"):
+    """Blocks of one slot each, with a transaction if there are outputs."""
+    made = lambda s: [tx(f"t{s}", [output(f"addr{(s * 7 + i) % 50}", s + i) for i in range(outputs)])] if outputs else []
+    return [(s, "INDEX", None, block(s, s, depth_of(s), made(s), fork)) for s in slots]
+
+
+def test_the_same_log_again_after_a_restart(spark, tmp_path):
+    """What was not final is dropped and comes again with the same numbers; nothing is lost and nothing is there twice."""
+    seen = lambda i: sorted((r.slot_no, r.block_hash) for r in i.table("block_info").collect())
+    ingest = Ingest(spark, str(tmp_path / "tables"), TABLES[:2], Settings(depth=2))
+    ingest.process(spark.createDataFrame(chain_of(range(1, 8), 1), schemas.STREAM), 0, "first")
+    again = Ingest(spark, ingest.root, TABLES[:2], Settings(depth=2))
+    assert again.reopen() == 4 and [s for s, _ in seen(again)] == [1, 2, 3, 4] and again.state().incarnation == 1
+    again.process(spark.createDataFrame(chain_of(range(5, 9), 1), schemas.STREAM), 0, "second")
+    assert [s for s, _ in seen(again)] == list(range(1, 9)) and again.table("utxo").count() == 8
+    # the whole log, with a fork that was rolled back to before what is final now
+    whole = chain_of(range(1, 6), 1) + [(6, "ROLLBACK", 3, None)] + [(s + 3, "INDEX", None, block(s, s, s, [], "c")) for s in range(4, 10)]
+    third = Ingest(spark, ingest.root, TABLES[:2], Settings(depth=2))
+    assert third.reopen() == 5
+    third.process(spark.createDataFrame(whole, schemas.STREAM), 0, "third")
+    assert seen(third) == [(s, f"a{s}") for s in range(1, 6)] + [(s, f"c{s}") for s in range(6, 10)]
+    # new rows are judged strictly
+    with pytest.raises(errors.ResumingFailed):
+        third.process(spark.createDataFrame([(50, "ROLLBACK", 2, None)], schemas.STREAM), 1, "third")
+
+
+def test_files_stay_few(spark, tmp_path):
+    """Hot rows are flushed and runs merged, so files follow the logarithm of the batches; rows are those of a plain model."""
+    top = tmp_path / "tables"
+    settings = Settings(depth=3, flush_every=2, merge=2, file_rows=20)
+    ingest = Ingest(spark, str(top), TABLES[:2], settings)
+    log, most = [], 0
+    for i in range(14):
+        log += chain_of([i + 1], 2) if i % 7 != 3 else [(i + 1, "ROLLBACK", i - 1, None)]
+        ingest.process(spark.createDataFrame(log[-1:], schemas.STREAM), i)
+        most = max(most, len(ingest.state().cold) + len(ingest.state().hot))
+    expected = [s for _, s in model([(seq, op, b and b["slot_no"], to) for seq, op, to, b in log])]
+    assert sorted(r.slot_no for r in ingest.table("block_info").collect()) == expected == sorted(r.slot_no for r in ingest.positions().collect())
+    assert sorted(r.slot_no for r in ingest.table("utxo").collect()) == sorted(2 * expected)
+    assert most <= 3 + 5 and len(list(top.glob("_state/*"))) == 2
+    state = ingest.state()
+    named = {*state.hot, *(r.name for r in state.cold)} | {part for g in state.gone for part in g.replace("segment=", "").split("/")}
+    assert {p.relative_to(top).parts[1].removeprefix("segment=") for p in top.glob("block_info/**/*.parquet")} <= named
+    assert ingest.lookup("utxo", "addr7").count() == ingest.table("utxo").where("address = 'addr7'").count() > 0
+    assert ingest.lookup("utxo", "addr7", 5, 15).count() == ingest.table("utxo").where("address = 'addr7' and slot_no between 5 and 15").count()
+    assert all(ingest.of_transaction("utxo", f"t{s}").count() == 2 * (s in expected) for s in (1, 4, 9, 14))
+
+
+def test_lookups_read_few_files(spark, tmp_path, monkeypatch):
+    ingest = Ingest(spark, str(tmp_path / "tables"), TABLES[:2], Settings(depth=1, flush_every=1, merge=2, file_rows=30))
+    for i in range(2):
+        ingest.process(spark.createDataFrame(chain_of(range(i * 150 + 1, i * 150 + 151), 14), schemas.STREAM), i)
+    (run,) = ingest.state().cold
+    laid = len(list((tmp_path / "tables" / "utxo" / f"segment={run.name}").glob("**/*.parquet")))
+    assert laid > 120 and run.level == 1
+    chosen = []
+    for name in ("files_of_key", "files_of_value"):
+        real = getattr(layout, name)
+        monkeypatch.setattr(layout, name, lambda *a, f=real: chosen.append(f(*a)) or chosen[-1])
+    every = ingest.table("utxo")
+    assert ingest.lookup("utxo", "addr9", 100, 140).count() == every.where("address = 'addr9' and slot_no between 100 and 140").count() > 0
+    assert ingest.of_transaction("utxo", "t250").count() == 14
+    assert ingest.of_transaction("utxo", "no such").isEmpty()
+    # the transaction's 14 outputs have 14 addresses, so that many files hold it
+    by_key, by_filter, by_none = map(len, chosen)
+    assert by_key < 0.05 * laid and by_filter <= 15 and by_none < 0.05 * laid
+
+
+def test_actions_run_again_after_a_loss(spark, tmp_path):
+    seen = []
+
+    def fails(blocks):
+        seen.append(sorted(r.slot_no for r in blocks.collect()))
+        if len(seen) == 1:
+            raise RuntimeError("lost")
+
+    part = spark.createDataFrame(chain_of([1, 2]), schemas.STREAM)
+    ingest = Ingest(spark, str(tmp_path / "tables"), TABLES[:1], Settings(depth=1, actions=(fails,)))
+    with pytest.raises(RuntimeError):
+        ingest.process(part, 0, "s")
+    again = Ingest(spark, ingest.root, TABLES[:1], Settings(depth=1, actions=(fails,)))
+    again.process(part, 0, "s")
+    again.process(part, 0, "s")
+    assert seen == [[1, 2], [1, 2]] and again.table("block_info").count() == 2
+
+
+def test_epochs_show_once_they_are_final(spark, tmp_path):
+    """Parts of blocks add up per epoch, in whatever batches they come; an epoch waits for a final block beyond it."""
+    tables = (*TABLES[:1], *epoch_tables("right(o.address, 1)", "o.value['']['']"))
+    ingest = Ingest(spark, str(tmp_path / "tables"), tables, Settings(depth=2, flush_every=2, merge=2, file_rows=5))
+    rows_ = chain_of(range(1, 9), 2) + [(9, "ROLLBACK", 6, None)] + [(s + 3, "INDEX", None, r) for s, _, _, r in chain_of(range(7, 18), 3, fork="b")]
+    for i, at in enumerate(range(0, len(rows_), 3)):
+        ingest.process(spark.createDataFrame(rows_[at : at + 3], schemas.STREAM), i)
+    sums = {}
+    for s in [*range(1, 7), *range(7, 15)]:
+        for o in range(2 if s < 7 else 3):
+            key = (s // 5, str((s * 7 + o) % 50)[-1])
+            sums[key] = sums.get(key, 0) + s + o
+    assert ingest.state().stable == 14 and ingest.state().epoch == 2
+    assert {(r.epoch_no, r.pool_id): int(r.lovelace) for r in ingest.table("epoch_sdd").collect()} == {k: v for k, v in sums.items() if k[0] < 2}
+    assert sorted((r.epoch_no, r.slot_no, r.block_hash) for r in ingest.table("epoch_nonce").collect()) == [(0, 1, "a1"), (1, 5, "a5")]
+
+
 def test_reopen_and_reset(spark, tmp_path):
     """A restart goes back to what is final, and a new source sends what comes after."""
     ingest = Ingest(spark, str(tmp_path / "tables"), settings=Settings(depth=2))

@@ -23,10 +23,10 @@ def as_log(forward: DataFrame, back: DataFrame) -> DataFrame:
     return index.unionByName(back.withColumn("op", F.lit("ROLLBACK")), allowMissingColumns=True)
 
 
-def judged(log: DataFrame, buckets: int | None = None) -> DataFrame:
-    """The log with `valid`, true for the INDEX rows of the canonical chain."""
+def judged(log: DataFrame, buckets: int | None = None, order: str = "seq") -> DataFrame:
+    """The log with `valid`, true for the INDEX rows of the canonical chain; `order` is the order of arrival."""
     back = F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1)))
-    least = suffix_min(log, "seq", back, "_least", buckets=buckets)
+    least = suffix_min(log, order, back, "_least", buckets=buckets)
     return least.withColumn("valid", (F.col("op") == "INDEX") & (F.col("_least").isNull() | (F.col("_least") >= F.col("slot_no")))).drop("_least")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +15,10 @@ from tidemark.operators import changelog, extract, generic, preprocess
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalogue import SLOT, query
 from tidemark.serving.rpc import Api
-from tidemark.sources import chain, event_store
+from tidemark.sources import chain, event_store, files
 from tidemark.sources.shared import new_folder
 from tidemark.streaming.cache import ResultCache
-from tidemark.streaming.ingest import Ingest, Settings
+from tidemark.streaming.ingest import TABLES, Ingest, Settings, epoch_tables
 
 #: Every so many blocks a fork comes first and is rolled back; every so many a block is rolled back and comes again.
 FORK_EVERY, AGAIN_EVERY = 50, 70
@@ -81,22 +81,33 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.explode(steps).alias("s")).select("s.*")
 
 
-@lru_cache(maxsize=8)
-def _ingested(application: str, spark: SparkSession, sf_dir: str) -> Ingest:
-    root = new_folder(spark, "chain")
+#: Stake and nonces of the order chain: a pool has the addresses of one last digit.
+EPOCHS = epoch_tables("right(o.address, 1)", "o.value['']['']")
+
+
+def recorded_log(spark: SparkSession, sf_dir: str, root: str, count: int = 4) -> str:
+    """The log as so many files in order of arrival; their folder."""
     log(spark, sf_dir).write.parquet(f"{root}/all")
     rows = spark.read.schema(schemas.STREAM).parquet(f"{root}/all")
     most = rows.agg(F.max("seq")).first()[0] or 0
-    for i in range(4):  # a file stream takes files in the order in which they were written
-        rows.where(F.floor(F.col("seq") * 4 / F.lit(most + 1)) == i).coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(f"{root}/log")
-    ingest = Ingest(spark, f"{root}/tables", settings=Settings(depth=FINAL))
-    ingest.start(chain.stream_log(spark, f"{root}/log", files_per_batch=1), f"{root}/checkpoint").awaitTermination()
+    for i in range(count):  # a file stream takes files in the order in which they were written
+        rows.where(F.floor(F.col("seq") * count / F.lit(most + 1)) == i).coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(f"{root}/log")
+    return f"{root}/log"
+
+
+@lru_cache(maxsize=8)
+def _ingested(application: str, spark: SparkSession, sf_dir: str, made: str) -> Ingest:
+    root = new_folder(spark, "chain")
+    folder = recorded_log(spark, sf_dir, root)
+    ingest = Ingest(spark, f"{root}/tables", (*TABLES, *EPOCHS), Settings(depth=FINAL, flush_every=2, merge=2, file_rows=5000))
+    ingest.start(chain.stream_log(spark, folder, files_per_batch=1), f"{root}/checkpoint").awaitTermination()
     return ingest
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> Ingest:
-    """All tables, from a stream of four batches; once per application."""
-    return _ingested(spark.sparkContext.applicationId, spark, sf_dir)
+    """All tables, from a stream of four batches; once per application, as long as the files are the same."""
+    made = "; ".join(files.signature(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    return _ingested(spark.sparkContext.applicationId, spark, sf_dir, made)
 
 
 # --- the same in DuckDB's SQL
@@ -211,9 +222,55 @@ def ingest_hot_and_cold(spark, sf):
 
 @query("SELECT address, count(*) AS outputs FROM made WHERE address IN ('a1', 'a2', 'r3') GROUP BY 1", "made")
 def ingest_lookup_layout(spark, sf):
-    """Lookups in the table laid out by address and slot."""
-    rows = ingested(spark, sf).exported("utxo", new_folder(spark, "layout"), 8)
-    return rows.where(F.col("address").isin("a1", "a2", "r3")).groupBy("address").agg(F.count("*").alias("outputs"))
+    """Lookups by address and slot in files that were laid out while runs were merged."""
+    ingest = ingested(spark, sf)
+    rows = reduce(DataFrame.unionByName, [ingest.lookup("utxo", a) for a in ("a1", "a2", "r3")])
+    return rows.groupBy("address").agg(F.count("*").alias("outputs"))
+
+
+@query(f"SELECT tx_id, tx_ix, slot_no FROM made WHERE address = 'a3' AND slot_no BETWEEN 500 AND {SLOT}", "made")
+def ingest_lookup_slots(spark, sf):
+    return ingested(spark, sf).lookup("utxo", "a3", 500, SLOT).select("tx_id", "tx_ix", "slot_no")
+
+
+@query("SELECT 'utxo' AS of, tx_id, tx_ix, slot_no FROM made WHERE tx_id IN ('t1', 't10', 't777') UNION ALL SELECT 'spent', tx_id, tx_ix, slot_no FROM used WHERE tx_id IN ('t1', 't10', 't777')", "made", "used")
+def ingest_lookup_transactions(spark, sf):
+    """Lookups by transaction through the files' Bloom filters."""
+    ingest = ingested(spark, sf)
+    found = [ingest.of_transaction(t, x).select(F.lit(t).alias("of"), "tx_id", "tx_ix", "slot_no") for t in ("utxo", "spent") for x in ("t1", "t10", "t777")]
+    return reduce(DataFrame.unionByName, found)
+
+
+_OVER = "(SELECT max(epoch_no) FROM days WHERE block_no < (SELECT max(block_no) FROM days) + 3 - 40)"
+
+
+@query(
+    f"SELECT d.epoch_no, right(address, 1) AS pool_id, CAST(sum(CAST(regexp_extract(value, ':([0-9]+)', 1) AS BIGINT)) AS VARCHAR) AS lovelace, max(d.slot_no) AS slot_no, max(d.block_no) AS block_no FROM made JOIN days d USING (slot_no) JOIN tx ON tx.tx_id = made.tx_id AND tx.valid WHERE d.epoch_no < {_OVER} GROUP BY 1, 2",
+    "days", "tx", "made",
+)
+def ingest_epoch_sdd(spark, sf):
+    """Stake per pool of the epochs that are over for good."""
+    return ingested(spark, sf).table("epoch_sdd").select("epoch_no", "pool_id", F.col("lovelace").cast("string").alias("lovelace"), "slot_no", "block_no")
+
+
+@query(f"SELECT epoch_no, sha256(arg_min(block_hash, slot_no)) AS nonce, min(slot_no) AS slot_no, min(block_no) AS block_no FROM days WHERE epoch_no < {_OVER} GROUP BY 1", "days")
+def ingest_epoch_nonce(spark, sf):
+    return ingested(spark, sf).table("epoch_nonce").select("epoch_no", "nonce", "slot_no", "block_no")
+
+
+@query("SELECT slot_no, block_hash, block_no, coalesce(outputs, 0) AS outputs FROM days LEFT JOIN (SELECT slot_no, count(*) AS outputs FROM made GROUP BY 1) USING (slot_no)", "days", "made")
+def ingest_reopened(spark, sf):
+    """Stopped after half of the log, opened again, and fed the whole log with the same numbers from its beginning."""
+    root = new_folder(spark, "reopened")
+    folder, settings = recorded_log(spark, sf, root), Settings(depth=FINAL, flush_every=2)
+    half = Ingest(spark, f"{root}/tables", TABLES[:2], settings)
+    rows = chain.read_log(spark, folder)
+    half.process(rows.where(F.col("seq") <= rows.agg(F.max("seq")).first()[0] // 2), 0, "first")
+    ingest = Ingest(spark, f"{root}/tables", TABLES[:2], settings)
+    ingest.reopen()
+    ingest.start(chain.stream_log(spark, folder, files_per_batch=1), f"{root}/checkpoint").awaitTermination()
+    outputs = ingest.table("utxo").groupBy("slot_no").agg(F.count("*").alias("outputs"))
+    return ingest.table("block_info").join(outputs, "slot_no", "left").select("slot_no", "block_hash", "block_no", F.coalesce("outputs", F.lit(0)).alias("outputs"))
 
 
 @query(f"SELECT 'error' AS kind, CAST(NULL AS BIGINT) AS rows UNION ALL SELECT 'partial', count(*) FROM made UNION ALL SELECT 'synced', count(*) FROM made WHERE slot_no <= {SLOT}", "made")

@@ -25,4 +25,4 @@ BLOCK_INFO = "slot_no bigint, block_hash string, block_no bigint, block_timestam
 MINT = "slot_no bigint, block_hash string, block_no bigint, tx_id string, tx_index bigint, policy_id string, asset_name string, quantity decimal(38,0), redeemer_hash string, redeemer string"
 EPOCH_SDD = "epoch_no bigint, pool_id string, lovelace decimal(38,0), block_no bigint, slot_no bigint, block_hash string"
 EPOCH_NONCE = "epoch_no bigint, nonce string, block_no bigint, slot_no bigint, block_hash string"
-PROGRESS = "batch_id bigint, source string, source_batch bigint, table_name string, last_sync bigint, last_stable bigint, pruned bigint"
+PROGRESS = "batch_id bigint, table_name string, last_sync bigint, last_stable bigint, pruned bigint"

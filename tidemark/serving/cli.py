@@ -54,15 +54,17 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> Ingest:
-    """Ingests what is there; a restart goes on after the last batch."""
+    """Ingests what is there. A restart goes back to what is final and reads the log from there on, as another source."""
     tables = configured(list(dict.fromkeys(args.address)), list(dict.fromkeys(args.asset)), not args.no_scripts)
     ingest = Ingest(spark, args.tables, tables, Settings(depth=args.depth, prune_every=args.prune_every, stats=SyncStats(log_backend)))
     slot, block_hash = start_point(args.start)
     chain.check_start(chain.read_log(spark, args.log), slot, block_hash)
 
+    ingest.reopen()
+    checkpoint = f"{args.tables.rstrip('/')}/_checkpoint/{ingest.state().incarnation}"
+
     def attempt() -> None:
-        log = chain.starting_at(chain.stream_log(spark, args.log, args.files_per_batch), slot)
-        query = ingest.start(log, f"{args.tables.rstrip('/')}/_checkpoint")
+        query = ingest.start(chain.starting_at(chain.stream_log(spark, args.log, args.files_per_batch), slot), checkpoint)
         signal.signal(signal.SIGTERM, lambda *_: query.stop())
         query.awaitTermination()
 

@@ -1,22 +1,27 @@
 """Ingest: a stream of change-log rows becomes tables that are read at a position.
 
-One streaming query feeds all tables. A micro-batch appends each table's rows, keyed by `seq`, to a folder of the batch - a
-batch that runs again overwrites its own - and one progress row comes last: what has no progress row does not exist for
-readers. So several tables move in lock-step, and a failure leaves none of them ahead.
-
-What a rollback takes back is worked out once, batch by batch: the batch's rows meet the volatile rows before it (valid
-and not yet final, so `depth` blocks about), the `seq` of those that lose are appended to a table of dead rows, and the
-new volatile rows are kept for the next batch. A batch therefore costs its own rows and `depth` blocks, whatever the
-length of the chain, and reading is an anti join with the dead rows, which are few.
+One streaming query feeds all tables. What a rollback may still take back is hot: each batch appends a segment of its valid
+rows, and one small list has the positions that are valid now. Every `flush_every` batches, or when a batch brings many
+blocks, the hot rows that have become final are written as a run of the cold store, the rest as one new segment; rows that
+lost are simply not written again. Cold runs hold ranges of slots; `merge` runs of a level become one of the next, laid out
+for lookups. So the files stay few however long the chain is, and cold rows are read as they are.
+
+All tables of a batch are written first; one row of state that names segments and runs comes last and is written in turn to
+two places. What no state names does not exist for readers. So several tables move in lock-step, a failure leaves none of
+them ahead, and a batch that runs again overwrites its own.
+
+Order of arrival is (incarnation, batch, seq). Opening the tables again starts an incarnation: hot rows that are not final
+are dropped, and a source may send the same rows with the same numbers once more.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,30 +30,67 @@ from tidemark.errors import NotStoredAnymore, StopIngest
 from tidemark.operators import changelog, extract, generic
 from tidemark.operators.preprocess import check_pruned, first_sighting, tracked_addresses, tracked_assets, without_scripts
 from tidemark.plans.domain import spent_once
+from tidemark.sources import files
+from tidemark.streaming import layout
 from tidemark.streaming.stats import SyncStats
 
 
 @dataclasses.dataclass(frozen=True)
 class Table:
     """A table of the index: its schema, how rows come out of blocks (they keep slot_no, block_hash and seq), and what makes
-    one row of several valid ones when the table is read. `keys` are what lookups go by."""
+    one row of several valid ones when the table is read.
+
+    `key` is what lookups go by, beside the slot. `folded` may make fewer rows of final ones for good, with the same result
+    when they are read. With `per_epoch`, rows show once their epoch is over for good."""
 
     name: str
     schema: str
     rows: Callable[[DataFrame], DataFrame]
     reduced: Callable[[DataFrame], DataFrame] = lambda rows: rows
-    keys: tuple[str, ...] = ("slot_no",)
+    key: str = "slot_no"
+    folded: Callable[[DataFrame], DataFrame] | None = None
+    per_epoch: bool = False
 
 
 TABLES = (
     Table("block_info", schemas.BLOCK_INFO, extract.block_info),
-    Table("utxo", schemas.UTXO, lambda b: extract.outputs(extract.transactions(b)), keys=("address", "slot_no")),
-    Table("spent", schemas.SPENT, lambda b: extract.inputs(extract.transactions(b)), spent_once, ("tx_id", "tx_ix")),
-    Table("datum", schemas.DATUM, lambda b: extract.datums(extract.transactions(b)), lambda rows: first_sighting(rows, "datum_hash", "datum"), ("datum_hash",)),
-    Table("mint", schemas.MINT, lambda b: extract.mints(extract.transactions(b)), keys=("policy_id", "slot_no")),
+    Table("utxo", schemas.UTXO, lambda b: extract.outputs(extract.transactions(b)), key="address"),
+    Table("spent", schemas.SPENT, lambda b: extract.inputs(extract.transactions(b)), spent_once, "tx_id"),
+    Table("datum", schemas.DATUM, lambda b: extract.datums(extract.transactions(b)), lambda rows: first_sighting(rows, "datum_hash", "datum"), "datum_hash"),
+    Table("mint", schemas.MINT, lambda b: extract.mints(extract.transactions(b)), key="policy_id"),
 )
 
 
+def epoch_tables(pool: str, ada: str) -> tuple[Table, ...]:
+    """Stake per epoch and pool, and the nonce of each epoch, from the blocks themselves.
+
+    Each block adds its part to its epoch; parts of final blocks are folded, so the state has a row per pool and epoch. An
+    epoch shows when a final block lies beyond it. `pool` and `ada` are SQL over an output `o`; the nonce is the hash of
+    the first block."""
+    stake = lambda rows, *more: rows.groupBy("epoch_no", "pool_id", *more)
+    newest = lambda c: F.max_by(c, "slot_no").alias(c)
+
+    def parts(blocks: DataFrame) -> DataFrame:
+        outs = blocks.select("seq", "slot_no", "block_hash", "block_no", "epoch_no", F.explode("txs").alias("tx"))
+        outs = outs.select("*", F.explode("tx.outputs").alias("o")).where("tx.script_valid")
+        sums = stake(outs.select("*", F.expr(pool).alias("pool_id"), F.expr(ada).alias("ada")), "seq", "slot_no", "block_hash", "block_no")
+        return sums.agg(F.sum("ada").cast("decimal(38,0)").alias("lovelace"))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        sums = stake(rows).agg(F.sum("lovelace").cast("decimal(38,0)").alias("lovelace"), newest("block_no"), newest("block_hash"), F.max("slot_no").alias("last"))
+        return sums.withColumnRenamed("last", "slot_no")
+
+    def first(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != "epoch_no"]
+        return rows.groupBy("epoch_no").agg(F.min_by(F.struct(*rest), "slot_no").alias("f")).select("epoch_no", "f.*")
+
+    nonce = lambda blocks: blocks.select("seq", "epoch_no", F.sha2("block_hash", 256).alias("nonce"), "block_no", "slot_no", "block_hash")
+    return (
+        Table("epoch_sdd", schemas.EPOCH_SDD, parts, summed, "epoch_no", summed, True),
+        Table("epoch_nonce", schemas.EPOCH_NONCE, nonce, first, "epoch_no", first, True),
+    )
+
+
 def configured(addresses: Sequence[str] = (), assets: Sequence[tuple] = (), scripts: bool = True) -> tuple[Table, ...]:
     """The tables with only the tracked addresses and assets (none listed: all), and with or without scripts."""
 
@@ -64,16 +106,18 @@ def configured(addresses: Sequence[str] = (), assets: Sequence[tuple] = (), scri
     return tuple(dataclasses.replace(t, rows=own.get(t.name, t.rows)) for t in TABLES)
 
 
-_POSITIONS = "seq bigint, slot_no bigint, block_no bigint, tip_block_no bigint"
-_DEAD = "seq bigint"
+_LIVE = "batch bigint, seq bigint, slot_no bigint, block_no bigint, tip_block_no bigint, epoch_no bigint"
+#: The positions of the blocks are a table like the others.
+_POSITIONS = Table("_positions", "slot_no bigint, block_no bigint, tip_block_no bigint, epoch_no bigint, arrival bigint", lambda b: b.select("slot_no", "block_no", "tip_block_no", "epoch_no", F.col("seq").alias("arrival"), "seq"))
 
 
 @dataclasses.dataclass
 class Settings:
     """Read again at every batch, so it can be changed while the stream runs.
 
-    `actions` get the blocks of each batch once its tables are committed. `prune_every` prunes to the stable point whenever
-    it has moved on by so many slots."""
+    `actions` get the blocks of each batch once its tables are committed, and again if the driver was lost before they were
+    done. `prune_every` prunes to the stable point whenever it has moved on by so many slots. Hot rows are flushed every
+    `flush_every` batches and by batches of `flush_blocks` blocks; `merge` cold runs become one, in files of `file_rows`."""
 
     depth: int = 2160
     on_caught_up: Callable[[int], None] | None = None
@@ -82,17 +126,44 @@ class Settings:
     actions: tuple[Callable[[DataFrame], None], ...] = ()
     prune_every: int | None = None
     stats: SyncStats | None = None
+    flush_every: int = 8
+    flush_blocks: int = 10_000
+    merge: int = 8
+    file_rows: int = 1_000_000
+
+
+@dataclasses.dataclass
+class Run:
+    """A folder with final rows of all tables, of slots low..high; from level 1 on it is laid out for lookups."""
+
+    name: str
+    low: int
+    high: int
+    level: int = 0
 
 
 @dataclasses.dataclass
 class State:
-    """What the last progress row says: the last batch, the last batch of each source, and the positions."""
+    """What the last commit says: its number, the last batch of each source, the positions, and where the rows are."""
 
     batch: int = -1
+    incarnation: int = 0
     sources: dict[str, int] = dataclasses.field(default_factory=dict)
     last: int | None = None
     stable: int | None = None
+    epoch: int | None = None
     pruned: int | None = None
+    newest: int = -1  # the largest seq so far, and that of the incarnations before
+    replayed: int = -1
+    acted: int = -1
+    hot: list[str] = dataclasses.field(default_factory=list)
+    cold: list[Run] = dataclasses.field(default_factory=list)
+    gone: list[str] = dataclasses.field(default_factory=list)
+
+    @staticmethod
+    def read(text: str) -> State:
+        known = json.loads(text)
+        return State(**known | {"cold": [Run(**r) for r in known["cold"]]})
 
 
 class Ingest:
@@ -102,78 +173,154 @@ class Ingest:
         self.spark, self.root, self.tables = spark, root.rstrip("/"), tuple(tables)
         self.settings = settings or Settings()
         self._state: State | None = None
+        self._commits: int | None = None
 
     # --- writing
 
     def process(self, batch: DataFrame, batch_id: int, source: str = "") -> None:
         """The body of foreachBatch: rows of (seq, op, to_slot, block); batch ids ascend within a source."""
         state = self._state = self._state or self.state()
-        if batch_id <= state.sources.get(source, -1):
-            return  # a restart runs the last batch again
+        if batch_id <= state.sources.get(source, -1):  # a restart runs the last batch again
+            if self.settings.actions and batch_id == state.sources[source] and state.acted < state.batch:
+                self._act(batch.where("op = 'INDEX'").select("seq", "block.*"))
+            return
         batch = batch.persist()
         try:
             self._process(state, batch, batch_id, source)
-        except BaseException:
-            self._state = None  # what is written says how far it came
-            raise
         finally:
             batch.unpersist()
 
-    def _process(self, state: State, batch: DataFrame, batch_id: int, source: str) -> None:
+    def _process(self, old: State, batch: DataFrame, batch_id: int, source: str, flush: bool = False, reopened: bool = False) -> None:
+        s = self.settings
+        # what is final comes again when a source starts anew; its rollbacks of then go no further than that
+        again = F.col("seq") <= F.lit(old.replayed)
+        if old.stable is not None:
+            batch = batch.where((F.col("op") != "INDEX") | (F.col("block.slot_no") > old.stable)).withColumn("to_slot", F.when(again, F.greatest(F.coalesce("to_slot", F.lit(-1)), F.lit(old.stable))).otherwise(F.col("to_slot")))
         is_ = lambda op: F.count_if(F.col("op") == op)
         back = F.min(F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1))))
-        seen = batch.agg(is_("STOP").alias("stops"), is_("INDEX").alias("blocks"), is_("ROLLBACK").alias("rollbacks"), back.alias("back")).first()
+        seen = batch.agg(is_("STOP").alias("stops"), is_("INDEX").alias("blocks"), is_("ROLLBACK").alias("rollbacks"), back.alias("back"), F.min("seq").alias("first"), F.max("seq").alias("last")).first()
         if seen.stops:
             raise StopIngest("the source asked to stop")
         if seen.rollbacks:
-            changelog.check_target(seen.back, state.stable)
-            check_pruned(state.pruned, seen.back)
-        new = state.batch + 1
+            changelog.check_target(seen.back, old.stable)
+            check_pruned(old.pruned, seen.back)
+        new = dataclasses.replace(old, batch=old.batch + 1, sources=old.sources | {source: batch_id}, newest=max(old.newest, -1 if seen.last is None else seen.last))
+        if reopened:
+            new = dataclasses.replace(new, incarnation=old.incarnation + 1, newest=old.newest, replayed=old.newest)
         flat = batch.where("op = 'INDEX'").select("seq", "block.*")
-        own = flat.select("seq", "slot_no", "block_no", "tip_block_no")
-        before = self._read(f"_volatile/batch_id={state.batch}", _POSITIONS)
-        log = changelog.as_log(before.unionByName(own), batch.where("op = 'ROLLBACK'").select("seq", "to_slot"))
-        # without a rollback all rows are valid, and there is nothing to scan
-        judged = changelog.judged(log, max(1, seen.blocks // 100_000)) if seen.rollbacks else log.withColumn("valid", F.lit(True))
-        judged = judged.where("op = 'INDEX'").select("seq", "slot_no", "block_no", "tip_block_no", "valid").persist()
+        own = flat.select(F.lit(new.batch).cast("bigint").alias("batch"), "seq", "slot_no", "block_no", "tip_block_no", "epoch_no")
+        # all that is live came before the batch, whatever its numbers
+        before = self._live(old).withColumn("at", F.lit((seen.first or 0) - 1).cast("bigint"))
+        log = before.unionByName(own.withColumn("at", F.col("seq")))
+        if seen.rollbacks:
+            backs = batch.where("op = 'ROLLBACK'").select(F.col("seq").alias("at"), "to_slot")
+            judged = changelog.judged(changelog.as_log(log, backs), max(1, seen.blocks // 100_000), "at").where("valid")
+        else:
+            judged = log  # all rows are valid, and there is nothing to scan
+        valid = judged.select(*_names(_LIVE)).persist()
         try:
-            valid = judged.where("valid")
-            last = valid.agg(F.max("slot_no")).first()[0]
-            edge = changelog.stable_point(valid, self.settings.depth).first()[0]
-            stable = max((x for x in (state.stable, edge) if x is not None), default=None)
-            work = [(f"{t.name}/batch_id={new}", lambda t=t: t.rows(flat).select(*_names(t.schema), "seq")) for t in self.tables]
-            work.append((f"_positions/batch_id={new}", lambda: own))
-            work.append((f"_dead/batch_id={new}", lambda: judged.where("not valid").select("seq")))
-            # the stable row itself stays: it is where a rollback may go back to
-            work.append((f"_volatile/batch_id={new}", lambda: valid.drop("valid").where(F.lit(stable is None) | (F.col("slot_no") >= F.lit(stable))).coalesce(1)))
-            with ThreadPoolExecutor(len(work)) as pool:
-                list(pool.map(lambda w: w[1]().write.mode("overwrite").parquet(f"{self.root}/{w[0]}"), work))
-            state.batch, state.last, state.stable = new, last, stable
-            self._commit(state, batch_id, source)
-            self._after(flat, valid, seen)
+            at = valid.agg(F.min("slot_no").alias("first"), F.max("slot_no").alias("last"), F.max("tip_block_no").alias("tip"), F.max("block_no").alias("block_no")).first()
+            edge = valid.where(F.col("block_no") < _number(None if at.tip is None else at.tip - s.depth)).agg(F.max("slot_no").alias("slot"), F.max_by("epoch_no", "slot_no").alias("epoch")).first()
+            new.last = at.last if at.last is not None else old.stable
+            if edge.slot is not None and (old.stable is None or edge.slot >= old.stable):
+                new.stable, new.epoch = edge.slot, edge.epoch
+            flush = flush or len(old.hot) + 1 >= s.flush_every or seen.blocks >= s.flush_blocks
+            name, final = f"{new.batch:012d}", F.coalesce(F.col("slot_no") <= _number(new.stable), F.lit(False))
+            own = valid.where(F.col("batch") == new.batch).select("seq")
+            kept = flat.join(F.broadcast(own) if seen.blocks < 100_000 else own, "seq", "left_semi") if seen.rollbacks else flat
+
+            def rows(t: Table) -> DataFrame:
+                out = t.rows(kept).select(*_names(t.schema), "seq", F.lit(new.batch).cast("bigint").alias("batch"))
+                if not flush:
+                    return out.withColumn("final", F.lit(False))
+                # what is flushed has few files; what lost is left behind
+                out = out.unionByName(self._hot(t, old, valid)).withColumn("final", final)
+                if t.folded is not None:
+                    done = t.folded(out.where("final").drop("seq", "batch", "final")).withColumns({"seq": F.lit(None).cast("bigint"), "batch": F.lit(None).cast("bigint"), "final": F.lit(True)})
+                    out = out.where("not final").unionByName(done.select(out.columns))
+                return out.hint("rebalance")
+
+            work = [lambda t=t: rows(t).write.mode("overwrite").partitionBy("final").parquet(f"{self.root}/{t.name}/segment={name}") for t in (*self.tables, _POSITIONS)]
+            # the stable position itself stays: it is where a rollback may go back to
+            live = valid if not flush or new.stable is None else valid.where(F.col("slot_no") >= new.stable)
+            work.append(lambda: live.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_live/{name}"))
+            _together(work)
+            gone = [f"_live/{h}" for h in old.hot[-1:]]
+            if flush:
+                gone += [f"{t.name}/segment={h}/final=false" for h in old.hot for t in (*self.tables, _POSITIONS)]
+                new.hot = [name]
+                if new.stable is not None and (not new.cold or new.stable > new.cold[-1].high):
+                    new.cold = [*new.cold, Run(name, new.cold[-1].high + 1 if new.cold else at.first, new.stable)]
+                gone += self._merge(new)
+            else:
+                new.hot = [*old.hot, name]
+            self._commit(new, gone)
+            self._after(flat, at, seen)
         finally:
-            judged.unpersist()
-
-    def _commit(self, state: State, batch_id: int, source: str) -> None:
-        rows = [(state.batch, source, batch_id, t.name, state.last, state.stable, state.pruned) for t in self.tables]
-        self.spark.createDataFrame(rows, schemas.PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_progress/commit={state.batch}-{state.pruned or 0}")
-        state.sources[source] = batch_id
-
-    def _after(self, flat: DataFrame, valid: DataFrame, seen) -> None:
+            valid.unpersist()
+
+    def _merge(self, state: State) -> list[str]:
+        """Makes one run of the newest `merge` ones of a level, again and again; what can go then."""
+        gone: list[str] = []
+        while len(last := state.cold[-self.settings.merge :]) == self.settings.merge and len({r.level for r in last}) == 1:
+            run = Run(f"{state.batch:012d}-{last[0].level + 1}", last[0].low, last[-1].high, last[0].level + 1)
+            _together([lambda t=t: self._lay(t, state, last, run) for t in (*self.tables, _POSITIONS)])
+            state.cold = [*state.cold[: -len(last)], run]
+            gone += self._paths(last)
+        return gone
+
+    def _paths(self, runs: list[Run]) -> list[str]:
+        names = [t.name for t in (*self.tables, _POSITIONS)]
+        return [x for r in runs for n in names for x in (f"{n}/segment={r.name}/final=true", *((f"{kind}/{n}/{r.name}" for kind in ("_zones", "_blooms")) if r.level else ()))]
+
+    def _lay(self, t: Table, state: State, runs: list[Run], run: Run) -> None:
+        rows = self._cold(t, dataclasses.replace(state, cold=runs))
+        rows = rows if t.folded is None else t.folded(rows).select(*_names(t.schema))
+        many = rows.count()
+        laid = layout.laid_out(rows, t.key, max(1, -(-many // self.settings.file_rows)), run.low, run.high)
+        where = f"{self.root}/{t.name}/segment={run.name}"
+        laid.withColumns({"seq": F.lit(None).cast("bigint"), "batch": F.lit(None).cast("bigint"), "final": F.lit(True)}).write.mode("overwrite").partitionBy("final").parquet(where)
+        written = self._parquet(t, [run.name])
+        zones = layout.zones(written, t.key)
+        zones.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_zones/{t.name}/{run.name}")
+        if "tx_id" in _names(t.schema):
+            most = self.spark.read.schema(_ZONES).parquet(f"{self.root}/_zones/{t.name}/{run.name}").agg(F.max("rows")).first()[0]
+            layout.blooms(written, "tx_id", most or 1).write.mode("overwrite").parquet(f"{self.root}/_blooms/{t.name}/{run.name}")
+
+    def _commit(self, state: State, gone: Sequence[str] | None = None) -> None:
+        """One row, in turn in two places, so that one of them always is whole. What is not named any more is `gone`; it is
+        removed by the next commit that has such, when those who read the state before are done."""
+        before: list[str] = []
+        if gone is not None:
+            before, state.gone = state.gone, list(gone)
+        if self._commits is None:
+            self._commits = max((n for n, _ in self._texts()), default=0)
+        self._commits += 1
+        row = [(self._commits, json.dumps(dataclasses.asdict(state)))]
+        self.spark.createDataFrame(row, _TEXT).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_state/{self._commits % 2}")
+        self._state = state
+        for path in before:
+            files.remove(self.spark, f"{self.root}/{path}")
+
+    def _after(self, flat: DataFrame, at, seen) -> None:
         s, state = self.settings, self._state
         if s.stats is not None:
-            at = valid.agg(F.max("block_no"), F.max("tip_block_no")).first()
-            s.stats.seen(seen.blocks, seen.rollbacks, at[0], at[1])
-        if s.on_caught_up and not s.caught_up and state.last is not None:
-            near = changelog.distance(valid).agg(F.min("distance")).first()[0]
+            s.stats.seen(seen.blocks, seen.rollbacks, at.block_no, at.tip)
+        if s.on_caught_up and not s.caught_up and at.last is not None:
+            near = changelog.distance(self._live(state)).agg(F.min("distance")).first()[0]
             if near is not None and near <= s.caught_up_distance:
                 s.caught_up = True
                 s.on_caught_up(state.last)
-        for action in s.actions:
-            action(flat)
+        if s.actions:
+            self._act(flat)
         if s.prune_every is not None and state.stable is not None and state.stable - (state.pruned or 0) >= s.prune_every:
             self.prune(state.stable)
 
+    def _act(self, blocks: DataFrame) -> None:
+        for action in self.settings.actions:
+            action(blocks)
+        self._commit(dataclasses.replace(self._state, acted=self._state.batch))
+
     def start(self, log: DataFrame, checkpoint: str, available_now: bool = True):
         """Runs a stream into the tables. A new checkpoint is a new source: its batches come after those that are there."""
         source = checkpoint.rstrip("/")
@@ -181,95 +328,137 @@ class Ingest:
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
     def reopen(self) -> int | None:
-        """Goes back to the last stable position, which a source that starts anew sends from, and returns it: what came after
-        may lie on a fork that is gone. `changelog.resumed` gives what is left of a log."""
+        """Goes back to the last stable position and returns it; what came after may lie on a fork that is gone. The source
+        starts anew, from there or from its beginning, with the same numbers or with others: what is final is passed over."""
         state = self._state = self.state()
         if state.batch >= 0:
-            newest = self._read("_positions", _POSITIONS).agg(F.max("seq")).first()[0]
-            back = self.spark.createDataFrame([((newest or 0) + 1, "ROLLBACK", state.stable, None)], schemas.STREAM)
-            self.process(back, state.sources.get("reopen", -1) + 1, "reopen")
+            back = self.spark.createDataFrame([(state.newest + 1, "ROLLBACK", state.stable, None)], schemas.STREAM)
+            self._process(state, back, state.sources.get("reopen", -1) + 1, "reopen", flush=True, reopened=True)
         return state.stable
 
     def reset(self) -> None:
         """Back to genesis: all tables are empty, whatever was final; what a source sends next starts anew."""
-        for name in ["_progress", *(t.name for t in self.tables), "_positions", "_dead", "_volatile"]:
-            none = self.spark.createDataFrame([], "seq bigint, part string")
-            none.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{name}")  # leaves no file
-        self._state = None
+        files.remove(self.spark, self.root)
+        self._state = self._commits = None
 
     def prune(self, slot: int) -> None:
-        """Forgets all up to a final slot. Batches that lie behind it as a whole are emptied; of others the rows no longer show."""
+        """Forgets all up to a final slot. Runs that lie behind it as a whole go; of others the rows no longer show, and the next
+        merge leaves them out."""
         state = self._state = self._state or self.state()
         if state.stable is None or slot > state.stable:
             raise ValueError(f"slot {slot} is not final yet")
         if state.pruned is not None and slot <= state.pruned:
             return
-        state.pruned = slot
-        self._commit(state, *max(((b, s) for s, b in state.sources.items())))
-        newest = self._read("_positions", _POSITIONS + ", batch_id bigint").groupBy("batch_id").agg(F.max("slot_no").alias("slot_no"))
-        for r in newest.where((F.col("slot_no") <= slot) & (F.col("batch_id") < state.batch)).collect():  # one row a batch
-            for t in self.tables:
-                self.spark.createDataFrame([], t.schema + ", seq bigint").write.mode("overwrite").parquet(f"{self.root}/{t.name}/batch_id={r.batch_id}")
-            self.spark.createDataFrame([], _POSITIONS).write.mode("overwrite").parquet(f"{self.root}/_positions/batch_id={r.batch_id}")
+        behind = [r for r in state.cold if r.high <= slot]
+        self._commit(dataclasses.replace(state, pruned=slot, cold=[r for r in state.cold if r.high > slot]), self._paths(behind))
 
     # --- reading
 
-    def _read(self, path: str, schema: str) -> DataFrame:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        exists = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{path}") if exists else self.spark.createDataFrame([], schema)
-
-    def progress(self) -> DataFrame:
-        return self._read("_progress", schemas.PROGRESS)
+    def _texts(self) -> list[tuple[int, str]]:
+        where = [p for p in (f"{self.root}/_state/{i}" for i in (0, 1)) if files.exists(self.spark, p)]
+        return [tuple(r) for r in self.spark.read.schema(_TEXT).parquet(*where).collect()] if where else []
 
     def state(self) -> State:
-        """The state that the progress rows tell."""
-        rows = self.progress()
-        newest = F.max_by(F.struct("last_sync", "last_stable"), "batch_id").alias("at")
-        at = rows.agg(F.max("batch_id").alias("batch"), newest, F.max("pruned").alias("pruned")).first()
-        if at.batch is None:
-            return State()
-        sources = {r.source: r.source_batch for r in rows.groupBy("source").agg(F.max("source_batch").alias("source_batch")).collect()}  # one row a source
-        return State(at.batch, sources, at["at"].last_sync, at["at"].last_stable, at.pruned)
+        """The state that the newest commit tells."""
+        texts = self._texts()
+        return State.read(max(texts)[1]) if texts else State()
+
+    def progress(self) -> DataFrame:
+        """A row per table: they move together."""
+        state = self.state()
+        rows = [(state.batch, t.name, state.last, state.stable, state.pruned) for t in self.tables] if state.batch >= 0 else []
+        return self.spark.createDataFrame(rows, schemas.PROGRESS)
 
     def point(self) -> tuple[int | None, int | None]:
         """The position at which all tables can be read together, and the last stable one."""
-        rows = self.progress()
-        newest = rows.groupBy("table_name").agg(F.max_by(F.struct("last_sync", "last_stable"), "batch_id").alias("at")).select("table_name", "at.*")
-        row = generic.consistent_point(newest, *(t.name for t in self.tables)).first()
+        row = generic.consistent_point(self.progress(), *(t.name for t in self.tables)).first()
         return row["last_sync"], row["last_stable"]
 
-    def _valid(self, name: str, schema: str, state: State) -> DataFrame:
-        rows = self._read(name, schema + ", batch_id bigint").where(F.col("batch_id") <= state.batch)
-        rows = rows if state.pruned is None else rows.where(F.col("slot_no") > state.pruned)
-        dead = self._read("_dead", _DEAD + ", batch_id bigint").where(F.col("batch_id") <= state.batch).select("seq")
-        return rows.drop("batch_id").join(dead, "seq", "left_anti")
+    def _parquet(self, t: Table, names: list[str]) -> DataFrame:
+        schema, where = f"{t.schema}, seq bigint, batch bigint, segment string, final boolean", f"{self.root}/{t.name}"
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", where).parquet(*(f"{where}/segment={n}" for n in names))
+
+    def _live(self, state: State) -> DataFrame:
+        """The valid positions that are hot, and the stable one."""
+        return self.spark.read.schema(_LIVE).parquet(f"{self.root}/_live/{state.hot[-1]}") if state.hot else self.spark.createDataFrame([], _LIVE)
+
+    def _hot(self, t: Table, state: State, live: DataFrame | None = None) -> DataFrame:
+        """The valid rows of the hot segments."""
+        live = self._live(state) if live is None else live
+        return self._parquet(t, state.hot).where("not final").drop("final", "segment").join(live.select("batch", "seq"), ["batch", "seq"], "left_semi")
+
+    def _cold(self, t: Table, state: State) -> DataFrame:
+        return self._shown(self._parquet(t, [r.name for r in state.cold]).where("final").select(*_names(t.schema)), state)
+
+    def _shown(self, rows: DataFrame, state: State) -> DataFrame:
+        return rows if state.pruned is None else rows.where(F.col("slot_no") > state.pruned)
+
+    def _valid(self, t: Table, state: State) -> DataFrame:
+        return self._cold(t, state).unionByName(self._shown(self._hot(t, state).select(*_names(t.schema)), state))
+
+    def _spec(self, name: str) -> Table:
+        return next(t for t in self.tables if t.name == name)
 
     def positions(self) -> DataFrame:
-        """The valid positions."""
-        return self._valid("_positions", _POSITIONS, self.state())
+        """The valid positions; `seq` is the number that the source gave."""
+        return self._valid(_POSITIONS, self.state()).withColumnRenamed("arrival", "seq")
 
     def table(self, name: str, as_of: int | None = None, partial: bool = False) -> DataFrame:
         """The valid rows of a table, at a position or at the latest; with `is_stable`."""
-        spec, state = next(t for t in self.tables if t.name == name), self.state()
+        spec, state = self._spec(name), self.state()
         if as_of is not None and state.pruned is not None and as_of < state.pruned:
             raise NotStoredAnymore(f"asked for slot {as_of}, pruned up to {state.pruned}")
-        rows = generic.until(self._valid(name, spec.schema + ", seq bigint", state).drop("seq"), as_of)
-        out = changelog.with_stability(spec.reduced(rows), state.stable)
+        rows = self._valid(spec, state)
+        if spec.per_epoch:
+            rows = generic.until(spec.reduced(rows).where(F.col("epoch_no") < _number(state.epoch)), as_of)
+        else:
+            rows = spec.reduced(generic.until(rows, as_of))
+        out = changelog.with_stability(rows, state.stable)
         return generic.synced_only(lambda: out, as_of, state.last, partial)
 
     def hot_and_cold(self, name: str) -> tuple[DataFrame, DataFrame]:
         """The rows that a rollback may still take back, and those that are final."""
-        spec, state = next(t for t in self.tables if t.name == name), self.state()
-        rows = self._valid(name, spec.schema + ", seq bigint", state).drop("seq")
-        return generic.hot_and_cold(rows, -1 if state.stable is None else state.stable)
-
-    def exported(self, name: str, path: str, parts: int = 64) -> DataFrame:
-        """The table's valid rows laid out for lookups: dealt by ranges of its keys and sorted inside each file, so that a
-        lookup's filter skips all but a few row groups."""
-        keys = next(t for t in self.tables if t.name == name).keys
-        self.table(name).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        state = self.state()
+        return generic.hot_and_cold(self._valid(self._spec(name), state), -1 if state.stable is None else state.stable)
+
+    def lookup(self, name: str, key, first: int | None = None, last: int | None = None) -> DataFrame:
+        """The valid rows with a value of the table's key, of slots first..last: of laid out runs only the files that may have
+        some are read."""
+        spec, state = self._spec(name), self.state()
+        found = self._among(spec, state, "_zones", _ZONES, lambda zones: layout.files_of_key(zones, key, first, last))
+        rows = found.where(F.col(spec.key) == key)
+        rows = rows if first is None else rows.where(F.col("slot_no") >= first)
+        return changelog.with_stability(generic.until(rows, last), state.stable)
+
+    def of_transaction(self, name: str, tx_id: str) -> DataFrame:
+        """The valid rows with a tx_id; Bloom filters tell which files to read."""
+        spec, state = self._spec(name), self.state()
+        found = self._among(spec, state, "_blooms", _BLOOMS, lambda blooms: layout.files_of_value(self.spark, blooms, tx_id))
+        return changelog.with_stability(found.where(F.col("tx_id") == tx_id), state.stable)
+
+    def _among(self, spec: Table, state: State, kind: str, schema: str, choose: Callable[[DataFrame], list[str]]) -> DataFrame:
+        laid = [r for r in state.cold if r.level]
+        chosen = [f for r in laid for f in choose(self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/{spec.name}/{r.name}"))]
+        rows = self._valid(spec, dataclasses.replace(state, cold=[r for r in state.cold if not r.level]))
+        if not chosen:
+            return rows
+        return self._shown(self.spark.read.schema(spec.schema).parquet(*chosen), state).unionByName(rows)
+
+
+_TEXT = "number bigint, state string"
+_ZONES = "file string, low bigint, high bigint, first bigint, last bigint, rows bigint"
+_BLOOMS = "file string, part bigint, bits binary, size bigint"
+
+
+def _together(work: list[Callable[[], None]]) -> None:
+    with ThreadPoolExecutor(len(work)) as pool:
+        list(pool.map(lambda f: f(), work))
+
+
+def _number(x: int | None) -> Column:
+    return F.lit(x).cast("bigint")
 
 
 def _names(schema: str) -> list[str]:
