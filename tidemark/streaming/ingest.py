@@ -214,11 +214,13 @@ class Ingest:
         log = before.unionByName(own.withColumn("at", F.col("seq")))
         if seen.rollbacks:
             backs = batch.where("op = 'ROLLBACK'").select(F.col("seq").alias("at"), "to_slot")
-            judged = changelog.judged(changelog.as_log(log, backs), max(1, seen.blocks // 100_000), "at").where("valid")
+            judged = changelog.judged(changelog.as_log(log, backs), max(1, seen.blocks // 100_000), "at").where("op = 'INDEX'")
         else:
-            judged = log  # all rows are valid, and there is nothing to scan
-        valid = judged.select(*_names(_LIVE)).persist()
+            judged = log.withColumn("valid", F.lit(True))  # there is nothing to scan
+        judged = judged.select(*_names(_LIVE), "valid").persist()
         try:
+            valid = judged.where("valid").drop("valid")
+            lost = judged.where(~F.col("valid") & (F.col("batch") == new.batch)).select("seq")
             at = valid.agg(F.min("slot_no").alias("first"), F.max("slot_no").alias("last"), F.max("tip_block_no").alias("tip"), F.max("block_no").alias("block_no")).first()
             edge = valid.where(F.col("block_no") < _number(None if at.tip is None else at.tip - s.depth)).agg(F.max("slot_no").alias("slot"), F.max_by("epoch_no", "slot_no").alias("epoch")).first()
             new.last = at.last if at.last is not None else old.stable
@@ -226,8 +228,8 @@ class Ingest:
                 new.stable, new.epoch = edge.slot, edge.epoch
             flush = flush or len(old.hot) + 1 >= s.flush_every or seen.blocks >= s.flush_blocks
             name, final = f"{new.batch:012d}", F.coalesce(F.col("slot_no") <= _number(new.stable), F.lit(False))
-            own = valid.where(F.col("batch") == new.batch).select("seq")
-            kept = flat.join(F.broadcast(own) if seen.blocks < 100_000 else own, "seq", "left_semi") if seen.rollbacks else flat
+            few = seen.rollbacks and lost.limit(1_000_001).count() <= 1_000_000  # 8 MB of numbers
+            kept = flat.join(F.broadcast(lost) if few else lost, "seq", "left_anti") if seen.rollbacks else flat
 
             def rows(t: Table) -> DataFrame:
                 out = t.rows(kept).select(*_names(t.schema), "seq", F.lit(new.batch).cast("bigint").alias("batch"))
@@ -238,7 +240,7 @@ class Ingest:
                 if t.folded is not None:
                     done = t.folded(out.where("final").drop("seq", "batch", "final")).withColumns({"seq": F.lit(None).cast("bigint"), "batch": F.lit(None).cast("bigint"), "final": F.lit(True)})
                     out = out.where("not final").unionByName(done.select(out.columns))
-                return out.hint("rebalance")
+                return out.hint("rebalance") if seen.blocks < s.flush_blocks else out
 
             work = [lambda t=t: rows(t).write.mode("overwrite").partitionBy("final").parquet(f"{self.root}/{t.name}/segment={name}") for t in (*self.tables, _POSITIONS)]
             # the stable position itself stays: it is where a rollback may go back to
@@ -257,7 +259,7 @@ class Ingest:
             self._commit(new, gone)
             self._after(flat, at, seen)
         finally:
-            valid.unpersist()
+            judged.unpersist()
 
     def _merge(self, state: State) -> list[str]:
         """Makes one run of the newest `merge` ones of a level, again and again; what can go then."""
