@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.chain import items, model
 from tidemark import errors
 from tidemark.functions import addresses, render
-from tidemark.operators import changelog, generic, ordered, preprocess
+from tidemark.operators import changelog, generic, intervals, ordered, preprocess
 from tidemark.plans import domain
 
 LOG = "seq bigint, op string, slot_no bigint, to_slot bigint"
@@ -189,3 +189,25 @@ def test_folds_and_control_rows(spark):
 def test_datum_json(spark):
     frame = spark.createDataFrame([('{ "constructor":0, "fields":[{"int": 1},{"bytes":"00ff"}]}',), ("no json",), (None,)], "d string")
     assert [r[0] for r in frame.select(render.datum_json("d")).collect()] == ['{"constructor":0,"fields":[{"int":1},{"bytes":"00ff"}]}', None, None]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stabbing_as_brute_force(spark, seed):
+    """Open, empty and unbounded intervals, points without any, and points that are asked twice."""
+    rng = random.Random(seed)
+    rows = [(rng.choice("abc"), s := rng.randint(-20, 60), rng.choice([None, s, s + 1, s + rng.randint(0, 90)]), i) for i in range(150)]
+    points = [(i, rng.choice("abcd"), rng.randint(-30, 70)) for i in range(60)] + [(60, "a", None), (61, "b", 10), (62, "b", 10)]
+    lives = spark.createDataFrame(rows, "k string, born long, died long, i long")
+    asked = spark.createDataFrame(points, "q long, k string, at long")
+    holds = lambda r, k, at: r[0] == k and at is not None and r[1] <= at and (r[2] is None or at < r[2])
+    found = intervals.stabbed(lives, asked, ["k"], "born", "died", "at").select("q", "i").collect()
+    assert sorted(map(tuple, found)) == sorted((q, r[3]) for q, k, at in points for r in rows if holds(r, k, at))
+    sums = intervals.stabbed_sums(lives, asked, ["k"], "born", "died", "at", n=F.lit(1), total=F.col("i")).select("q", "n", "total").collect()
+    assert sorted(map(tuple, sums)) == sorted((q, len(x), sum(r[3] for r in x)) for q, k, at in points for x in [[r for r in rows if holds(r, k, at)]])
+
+
+def test_stabbing_nothing(spark):
+    lives = spark.createDataFrame([("a", 1, 5)], "k string, born long, died long")
+    none = spark.createDataFrame([], "k string, at long")
+    assert intervals.stabbed(lives, none, ["k"], "born", "died", "at").isEmpty()
+    assert intervals.stabbed(lives.limit(0), spark.createDataFrame([("a", 3)], "k string, at long"), ["k"], "born", "died", "at").isEmpty()

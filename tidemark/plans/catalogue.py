@@ -41,10 +41,8 @@ def unspent_as_of(spark, sf):
 
 @query(f"SELECT tx_id, tx_ix, u.slot_no, u.value, s.spent_at_tx, s.slot_no AS spent_slot FROM utxo u LEFT JOIN spent s USING (tx_id, tx_ix) WHERE address = {ADDRESS} AND u.slot_no <= {SLOT} AND (s.slot_no IS NULL OR s.slot_no > {SLOT})", "utxo", "spent")
 def utxo_unspent_by_address(spark, sf):
-    spent = fx.spent(spark, sf)
-    rows = domain.unspent(fx.utxo(spark, sf).where(F.col("address") == ADDRESS), spent, SLOT)
-    later = domain.spent_once(domain.spends_of(spent, rows)).withColumnRenamed("slot_no", "spent_slot")
-    return rows.join(later, ["tx_id", "tx_ix"], "left").select("tx_id", "tx_ix", "slot_no", "value", "spent_at_tx", "spent_slot")
+    made = generic.until(fx.utxo(spark, sf).where(F.col("address") == ADDRESS), SLOT)
+    return domain.unspent_with_spend(made, fx.spent(spark, sf), SLOT).select("tx_id", "tx_ix", "slot_no", "value", "spent_at_tx", "spent_slot")
 
 
 @query(
@@ -61,6 +59,35 @@ def utxo_full_aggregate(spark, sf):
     return out.select("tx_id", "tx_ix", "slot_no", "value", "datum_hash", "datum", "block_no", "epoch_no", "spent_at_tx", "spent_slot", "spent_block_no", inputs)
 
 
+def _questions(spark, sf):
+    """Every order asks for an address at its day."""
+    at = fx._day("o_orderdate", fx.EPOCH)
+    return fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("question"), (F.col("o_custkey") % 100 + 1).alias("address"), at.alias("at"))
+
+
+_QUESTIONS = f"(SELECT o_orderkey AS question, o_custkey % 100 + 1 AS address, date_diff('day', DATE '{fx.EPOCH}', o_orderdate::DATE) AS at FROM orders) q"
+
+
+@query(
+    f"SELECT question, q.address, q.at, count(u.tx_id) AS n_outputs, coalesce(sum(u.value), 0) AS value FROM {_QUESTIONS} LEFT JOIN (SELECT u.*, s.slot_no AS gone FROM utxo u LEFT JOIN spent s USING (tx_id, tx_ix)) u ON u.address = q.address AND u.slot_no <= q.at AND (gone IS NULL OR gone > q.at) GROUP BY ALL",
+    "utxo", "spent",
+)
+def utxo_balance_at_many(spark, sf):
+    """As many questions as there are orders, each for an address and a slot."""
+    return domain.balance_at_many(fx.utxo(spark, sf), fx.spent(spark, sf), _questions(spark, sf)).select("question", "address", "at", "n_outputs", "value")
+
+
+@query(
+    "SELECT u.address, s_nationkey * 100 AS at, tx_id, tx_ix, u.slot_no, gone AS spent_slot FROM supplier JOIN (SELECT u.*, s.slot_no AS gone FROM utxo u LEFT JOIN spent s USING (tx_id, tx_ix)) u ON u.address = s_suppkey AND u.slot_no <= s_nationkey * 100 AND (gone IS NULL OR gone > s_nationkey * 100)",
+    "utxo", "spent",
+)
+def utxo_unspent_at_many(spark, sf):
+    """The outputs themselves, for a slot that each address has."""
+    asked = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("address"), (F.col("s_nationkey") * 100).cast("bigint").alias("at"))
+    found = domain.unspent_at_many(fx.utxo(spark, sf), fx.spent(spark, sf), asked)
+    return found.select("address", "at", "tx_id", "tx_ix", F.col("created").alias("slot_no"), "spent_slot")
+
+
 @query(f"SELECT tx_id, tx_ix, address, slot_no FROM utxo u WHERE slot_no BETWEEN 500 AND {SLOT} AND NOT EXISTS (SELECT 1 FROM spent s WHERE s.tx_id = u.tx_id AND s.tx_ix = u.tx_ix AND s.slot_no <= {SLOT})", "utxo", "spent")
 def utxo_window_bounds(spark, sf):
     return domain.unspent(fx.utxo(spark, sf), fx.spent(spark, sf), SLOT, 500).select("tx_id", "tx_ix", "address", "slot_no")

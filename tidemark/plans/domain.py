@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import SlotBoundsInvalid
-from tidemark.operators import generic
+from tidemark.operators import generic, intervals
 from tidemark.operators.preprocess import first_sighting, tracked_assets
 
 
@@ -33,17 +33,41 @@ def unspent(utxo: DataFrame, spent: DataFrame, upper: int | None, lower: int | N
     return made.join(gone.select("tx_id", "tx_ix"), ["tx_id", "tx_ix"], "left_anti")
 
 
+def lifetimes(utxo: DataFrame, spent: DataFrame) -> DataFrame:
+    """Outputs with the slot that made them and the one that spent them, null if none did: what `intervals` asks."""
+    first = spent_once(spent).select("tx_id", "tx_ix", "spent_at_tx", F.col("slot_no").alias("spent_slot"))
+    return utxo.join(first, ["tx_id", "tx_ix"], "left")
+
+
+def unspent_with_spend(outputs: DataFrame, spent: DataFrame, upper: int | None) -> DataFrame:
+    """The outputs that were unspent at `upper`, with their later spend. Only the spends of these outputs are grouped, once."""
+    rows = lifetimes(outputs, spends_of(spent, outputs))
+    return rows.where(F.col("spent_slot").isNull() if upper is None else F.col("spent_slot").isNull() | (F.col("spent_slot") > upper))
+
+
+def unspent_at_many(utxo: DataFrame, spent: DataFrame, questions: DataFrame) -> DataFrame:
+    """For each question (address, at) the outputs of the address that were unspent at that slot."""
+    return intervals.stabbed(lifetimes(utxo, spent).withColumnRenamed("slot_no", "created"), questions, ["address"], "created", "spent_slot", "at")
+
+
+def balance_at_many(utxo: DataFrame, spent: DataFrame, questions: DataFrame) -> DataFrame:
+    """For each question (address, at) how many outputs were unspent then, and their value."""
+    rows = lifetimes(utxo, spent).withColumnRenamed("slot_no", "created")
+    return intervals.stabbed_sums(rows, questions, ["address"], "created", "spent_slot", "at", n_outputs=F.lit(1), value=F.col("value"))
+
+
 def unspent_details(utxo: DataFrame, spent: DataFrame, datum: DataFrame, blocks: DataFrame, address: Column, upper: int | None, lower: int | None = None) -> DataFrame:
     """Unspent outputs of an address with their datum, block, the inputs of the creating transaction, and the spend that
     comes later, if one does. Inputs are gathered per transaction before the join, so nothing fans out."""
-    rows = unspent(utxo.where(F.col("address") == address), spent, upper, lower)
+    made = generic.until(utxo.where(F.col("address") == address), upper)
+    made = made if lower is None else made.where(F.col("slot_no") >= lower)
+    rows = unspent_with_spend(made, spent, upper)
     keys = rows.select("tx_id").distinct()
     used = spent.withColumnRenamed("spent_at_tx", "by").join(keys.withColumnRenamed("tx_id", "by"), "by")
     used = used.groupBy("by").agg(F.sort_array(F.collect_set(F.struct("tx_id", "tx_ix"))).alias("tx_inputs")).withColumnRenamed("by", "tx_id")
-    later = spent_once(spends_of(spent, rows)).select("tx_id", "tx_ix", "spent_at_tx", F.col("slot_no").alias("spent_slot"))
     info = blocks.select("slot_no", "block_no", "epoch_no", "block_timestamp")
     at_spend = info.select(F.col("slot_no").alias("spent_slot"), F.col("block_no").alias("spent_block_no"))
-    out = rows.join(later, ["tx_id", "tx_ix"], "left").join(datum.select("datum_hash", "datum"), "datum_hash", "left")
+    out = rows.join(datum.select("datum_hash", "datum"), "datum_hash", "left")
     return out.join(used, "tx_id", "left").join(info, "slot_no", "left").join(at_spend, "spent_slot", "left")
 
 
