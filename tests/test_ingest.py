@@ -14,7 +14,7 @@ from tidemark.serving import cli
 from tidemark.serving.rpc import Api, serve
 from tidemark.sources import chain as source
 from tidemark.sources import event_store
-from tidemark.streaming import layout, stateful, stats
+from tidemark.streaming import layout, stats
 from tidemark.streaming.cache import ResultCache
 from tidemark.streaming.ingest import TABLES, Ingest, Settings, configured, epoch_tables, for_each
 
@@ -386,24 +386,6 @@ def test_retries():
         source.retried(lambda: (_ for _ in ()).throw(ConnectionError()), 1, 3, waits.append)
 
 
-def test_stateful_streams(spark, tmp_path):
-    parts = [[("c", i, i // 4, i) for i in range(a, a + 6)] for a in (0, 6)]
-    schema = "chain string, slot_no bigint, epoch_no bigint, value bigint"
-    for i, p in enumerate(parts):
-        spark.createDataFrame(p, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for name, f, columns in (("epochs", stateful.first_of_epoch, ["chain", "slot_no", "epoch_no"]), ("folds", stateful.running_fold, ["chain", "slot_no", "value"])):
-            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-            query = f(stream.select(*columns)).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-            query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    assert sorted(r.slot_no for r in spark.table("epochs").collect()) == [0, 4, 8]
-    assert sorted((r.slot_no, r.total) for r in spark.table("folds").collect()) == [(i, sum(range(i + 1))) for i in range(12)]
-
-
 def test_stats():
     now, seen = iter([0.0, 2.0, 2.0]), []
     s = stats.SyncStats(seen.append, clock=lambda: next(now))

@@ -30,6 +30,17 @@ def judged(log: DataFrame, buckets: int | None = None, order: str = "seq") -> Da
     return least.withColumn("valid", (F.col("op") == "INDEX") & (F.col("_least").isNull() | (F.col("_least") >= F.col("slot_no")))).drop("_least")
 
 
+def after_batch(before: DataFrame, own: DataFrame, batch: DataFrame, rollbacks: int, blocks: int) -> DataFrame:
+    """Rows that were valid before a batch and those of its blocks (own, with seq), with `valid` after the batch's rollbacks.
+
+    All that was before came earlier than the batch, whatever its numbers."""
+    log = before.withColumn("_at", F.lit(None).cast("bigint")).unionByName(own.withColumn("_at", F.col("seq")), allowMissingColumns=True)
+    if not rollbacks:
+        return log.withColumn("valid", F.lit(True)).drop("_at")  # there is nothing to scan
+    back = batch.where("op = 'ROLLBACK'").select(F.col("seq").alias("_at"), "to_slot")
+    return judged(as_log(log, back), max(1, blocks // 100_000), "_at").where("op = 'INDEX'").drop("_at", "op", "to_slot")
+
+
 def valid_rows(log: DataFrame, buckets: int | None = None) -> DataFrame:
     """The INDEX rows of the canonical chain."""
     return judged(log, buckets).where("valid").drop("valid")

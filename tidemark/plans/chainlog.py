@@ -88,10 +88,7 @@ EPOCHS = epoch_tables("right(o.address, 1)", "o.value['']['']")
 def recorded_log(spark: SparkSession, sf_dir: str, root: str, count: int = 4) -> str:
     """The log as so many files in order of arrival; their folder."""
     log(spark, sf_dir).write.parquet(f"{root}/all")
-    rows = spark.read.schema(schemas.STREAM).parquet(f"{root}/all")
-    most = rows.agg(F.max("seq")).first()[0] or 0
-    for i in range(count):  # a file stream takes files in the order in which they were written
-        rows.where(F.floor(F.col("seq") * count / F.lit(most + 1)) == i).coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(f"{root}/log")
+    chain.write_in_order(chain.read_log(spark, f"{root}/all"), f"{root}/log", count)
     return f"{root}/log"
 
 

@@ -11,7 +11,9 @@ from tidemark.plans.catalogue import DEPTH, query
 from tidemark.sources import chain
 from tidemark.sources.shared import new_folder
 from tidemark.streaming import ranges
+from tidemark.streaming.delay import Delay
 from tidemark.streaming.ingest import TABLES, Ingest, Settings
+from tidemark.streaming.scans import Scan
 
 
 def recorded(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
@@ -22,8 +24,9 @@ def recorded(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
     rows = log.alias("l").join(blocks.alias("b"), F.col("l.slot_no") == n, "left")
     rows = rows.select("l.seq", "l.op", "l.to_slot", F.when(F.col("l.op") == "INDEX", block).alias("block"))
     folder = new_folder(spark, "log")
-    rows.repartitionByRange(files, "seq").write.parquet(folder)
-    return folder
+    rows.write.parquet(f"{folder}/all")
+    chain.write_in_order(chain.read_log(spark, f"{folder}/all"), f"{folder}/log", files)
+    return f"{folder}/log"
 
 
 @query("SELECT slot_no, block_no FROM valid", "valid")
@@ -48,3 +51,32 @@ def stream_epoch_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT slot_no, CAST(sum(user_id) OVER (ORDER BY slot_no) AS BIGINT) AS total FROM blocks", "blocks")
 def stream_running_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.running_fold(*_through(spark, sf_dir))
+
+
+@query(f"SELECT slot_no, block_no FROM valid WHERE slot_no < (SELECT min(slot_no) FROM (SELECT slot_no FROM valid ORDER BY slot_no DESC LIMIT {DEPTH}))", "valid")
+def stream_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain with its rollbacks, each block held back until DEPTH newer ones confirm it, in 4 batches."""
+    root = new_folder(spark, "delayed")
+    ingest = Ingest(spark, f"{root}/tables", TABLES[:1], Settings(depth=DEPTH))
+    delay = Delay(spark, f"{root}/held", DEPTH, lambda rows, number: ingest.process(rows, number))
+    delay.start(chain.stream_log(spark, recorded(spark, sf_dir), files_per_batch=1), f"{root}/_checkpoint").awaitTermination()
+    return ingest.table("block_info").select("slot_no", "block_no")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark, "scan")
+    scan = Scan(spark, root, DEPTH, "cast(block_time as bigint) % 1000")
+    scan.start(chain.stream_log(spark, recorded(spark, sf_dir), files_per_batch=1), f"{root}/_checkpoint").awaitTermination()
+    return scan.rows()
+
+
+@query("SELECT v.slot_no, CAST(sum(ts % 1000) OVER (ORDER BY v.slot_no) AS BIGINT) AS total FROM valid v JOIN blocks b ON b.slot_no = v.slot_no", "blocks", "valid")
+def stream_fold_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running fold over the chain with its rollbacks, in 4 batches."""
+    return _scanned(spark, sf_dir).select("slot_no", "total")
+
+
+@query("SELECT slot_no, epoch_no FROM (SELECT v.slot_no, epoch_no, lag(epoch_no) OVER (ORDER BY v.slot_no) AS p FROM valid v JOIN blocks b ON b.slot_no = v.slot_no) WHERE p IS NULL OR p <> epoch_no", "blocks", "valid")
+def stream_epochs_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first valid block of each epoch."""
+    return _scanned(spark, sf_dir).where("first_of_epoch").select("slot_no", "epoch_no")

@@ -32,6 +32,7 @@ from tidemark.operators.preprocess import check_pruned, first_sighting, tracked_
 from tidemark.plans.domain import spent_once
 from tidemark.sources import files
 from tidemark.streaming import layout
+from tidemark.streaming.commits import Commits
 from tidemark.streaming.stats import SyncStats
 
 
@@ -173,7 +174,7 @@ class Ingest:
         self.spark, self.root, self.tables = spark, root.rstrip("/"), tuple(tables)
         self.settings = settings or Settings()
         self._state: State | None = None
-        self._commits: int | None = None
+        self._commits = Commits(spark, f"{self.root}/_state")
 
     # --- writing
 
@@ -198,7 +199,7 @@ class Ingest:
             batch = batch.where((F.col("op") != "INDEX") | (F.col("block.slot_no") > old.stable)).withColumn("to_slot", F.when(again, F.greatest(F.coalesce("to_slot", F.lit(-1)), F.lit(old.stable))).otherwise(F.col("to_slot")))
         is_ = lambda op: F.count_if(F.col("op") == op)
         back = F.min(F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1))))
-        seen = batch.agg(is_("STOP").alias("stops"), is_("INDEX").alias("blocks"), is_("ROLLBACK").alias("rollbacks"), back.alias("back"), F.min("seq").alias("first"), F.max("seq").alias("last")).first()
+        seen = batch.agg(is_("STOP").alias("stops"), is_("INDEX").alias("blocks"), is_("ROLLBACK").alias("rollbacks"), back.alias("back"), F.max("seq").alias("last")).first()
         if seen.stops:
             raise StopIngest("the source asked to stop")
         if seen.rollbacks:
@@ -209,14 +210,7 @@ class Ingest:
             new = dataclasses.replace(new, incarnation=old.incarnation + 1, newest=old.newest, replayed=old.newest)
         flat = batch.where("op = 'INDEX'").select("seq", "block.*")
         own = flat.select(F.lit(new.batch).cast("bigint").alias("batch"), "seq", "slot_no", "block_no", "tip_block_no", "epoch_no")
-        # all that is live came before the batch, whatever its numbers
-        before = self._live(old).withColumn("at", F.lit((seen.first or 0) - 1).cast("bigint"))
-        log = before.unionByName(own.withColumn("at", F.col("seq")))
-        if seen.rollbacks:
-            backs = batch.where("op = 'ROLLBACK'").select(F.col("seq").alias("at"), "to_slot")
-            judged = changelog.judged(changelog.as_log(log, backs), max(1, seen.blocks // 100_000), "at").where("op = 'INDEX'")
-        else:
-            judged = log.withColumn("valid", F.lit(True))  # there is nothing to scan
+        judged = changelog.after_batch(self._live(old), own, batch, seen.rollbacks, seen.blocks)
         judged = judged.select(*_names(_LIVE), "valid").persist()
         try:
             valid = judged.where("valid").drop("valid")
@@ -290,16 +284,12 @@ class Ingest:
             layout.blooms(written, "tx_id", most or 1).write.mode("overwrite").parquet(f"{self.root}/_blooms/{t.name}/{run.name}")
 
     def _commit(self, state: State, gone: Sequence[str] | None = None) -> None:
-        """One row, in turn in two places, so that one of them always is whole. What is not named any more is `gone`; it is
-        removed by the next commit that has such, when those who read the state before are done."""
+        """What the state does not name any more is `gone`; it is removed by the next commit that has such, when those who read
+        the state before are done."""
         before: list[str] = []
         if gone is not None:
             before, state.gone = state.gone, list(gone)
-        if self._commits is None:
-            self._commits = max((n for n, _ in self._texts()), default=0)
-        self._commits += 1
-        row = [(self._commits, json.dumps(dataclasses.asdict(state)))]
-        self.spark.createDataFrame(row, _TEXT).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_state/{self._commits % 2}")
+        self._commits.write(json.dumps(dataclasses.asdict(state)))
         self._state = state
         for path in before:
             files.remove(self.spark, f"{self.root}/{path}")
@@ -341,7 +331,7 @@ class Ingest:
     def reset(self) -> None:
         """Back to genesis: all tables are empty, whatever was final; what a source sends next starts anew."""
         files.remove(self.spark, self.root)
-        self._state = self._commits = None
+        self._state, self._commits.number = None, None
 
     def prune(self, slot: int) -> None:
         """Forgets all up to a final slot. Runs that lie behind it as a whole go; of others the rows no longer show, and the next
@@ -356,14 +346,10 @@ class Ingest:
 
     # --- reading
 
-    def _texts(self) -> list[tuple[int, str]]:
-        where = [p for p in (f"{self.root}/_state/{i}" for i in (0, 1)) if files.exists(self.spark, p)]
-        return [tuple(r) for r in self.spark.read.schema(_TEXT).parquet(*where).collect()] if where else []
-
     def state(self) -> State:
         """The state that the newest commit tells."""
-        texts = self._texts()
-        return State.read(max(texts)[1]) if texts else State()
+        text = self._commits.read()
+        return State.read(text) if text else State()
 
     def progress(self) -> DataFrame:
         """A row per table: they move together."""
@@ -449,7 +435,6 @@ class Ingest:
         return self._shown(self.spark.read.schema(spec.schema).parquet(*chosen), state).unionByName(rows)
 
 
-_TEXT = "number bigint, state string"
 _ZONES = "file string, low bigint, high bigint, first bigint, last bigint, rows bigint"
 _BLOOMS = "file string, part bigint, bits binary, size bigint"
 
