@@ -17,13 +17,15 @@ def labelled(sf_dir):
     return [r | labels[r["doc_id"]] for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist() if r["doc_id"] in labels]
 
 
-def test_toxic_documents_of_every_language_are_rejected():
+def test_toxic_documents_of_every_language_are_rejected(spark):
+    """Fitted on one half of the labels, held against the other."""
     rows = labelled(LARGE)
-    model = T.fitted((r["lang"], r["text"][: T.CHARS], r["toxic"]) for r in rows if r["doc_id"] % 2 == 0)
-    assert all(model[lang].stems == own.stems and abs(model[lang].share - own.share) < 1e-4 for lang, own in T.STEMS.items())
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+    found = T.frequent(docs, labels.where("doc_id % 2 = 0"))
+    assert set(found) == {"de", "en", "es", "fr"}
     held = [r for r in rows if r["doc_id"] % 2]
     texts = Q.Texts(pa.array([r["text"] for r in held]))
-    rules = (*Q.SQL_RULES, Q.toxic_stems(model))
+    rules = (*Q.RULES, Q.frequent_stems(found))
     kept = ~Q.base_failed(texts) & (Q.cascade(texts, rules) < 0)
     toxic, clean = Counter(), defaultdict(list)
     for r, k, fine in zip(held, kept, ~Q.base_failed(texts)):
@@ -36,10 +38,12 @@ def test_toxic_documents_of_every_language_are_rejected():
     assert all(sum(k) > 0.98 * len(k) for k in clean.values())
 
 
-def test_the_pipeline_drops_them(spark, sf_dir):
-    out = {r.doc_id for r in corpus_pipeline.quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).collect()}
-    toxic = [r for r in labelled(sf_dir) if r["toxic"]]
-    assert {"de", "es"} < {r["lang"] for r in toxic} and not out & {r["doc_id"] for r in toxic}
+def test_the_pipeline_and_the_query_drop_them(spark):
+    """By one rule; a table with fewer labels than the fit needs has none."""
+    out = {r.doc_id for r in corpus_pipeline.quality(spark, spark.read.parquet(f"{LARGE}/documents.parquet"), LARGE).select("doc_id").collect()}
+    toxic = [r for r in labelled(LARGE) if r["toxic"]]
+    assert {r["lang"] for r in toxic} == {"de", "en", "es", "fr"} and not out & {r["doc_id"] for r in toxic}
+    assert out == {r.doc_id for r in Q.op4_quality_rules(spark, LARGE).where("kept").select("doc_id").collect()}
 
 
 def test_words_that_only_this_table_marks(spark):
@@ -49,5 +53,14 @@ def test_words_that_only_this_table_marks(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
     rules = Q.rules_for(docs, labels)
     assert sorted(r.doc_id for r in Q.keep(docs, rules).collect()) == [i for i in range(90) if i % 3]
-    assert T.sample(docs, labels.limit(0)) == []
-    assert T.fitted([]) == T.STEMS
+    assert T.frequent(docs, labels.limit(0)) == {}
+
+
+def test_long_texts_count_to_their_ends(spark):
+    """What marks a text may stand behind any number of other words."""
+    body = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(12_000))
+    rows = [(i, "xx", f"{body} end{i} " + ("grumpf " * 200 if i % 2 else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    rule = Q.frequent_stems(T.frequent(docs, labels))
+    assert rule.rejects(Q.Texts(pa.array([r[2] for r in rows]))).tolist() == [bool(i % 2) for i in range(40)]

@@ -6,8 +6,8 @@ next. Rules then run in that order, each only over the documents that every earl
 conjunction of all rules, so the order changes the work and not the result.
 
 Words are [^\\x20\\x09-\\x0D]+. Defined results: null and empty texts have no words, fail the base test and are not
-kept; rows are judged one by one, so repeated rows and ids give repeated results; an empty table gives an empty one;
-`judge` ignores other columns, whatever their names, and `keep` hands them on.
+kept; texts of any length are judged whole; rows are judged one by one, so repeated rows and ids give repeated results;
+labelled documents without a language take no part in the fit; an empty table gives an empty one; `judge` ignores other columns, whatever their names, and `keep` hands them on.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import chunks, textbytes, toxicity
 
 SYMBOLS = b"#*$%&|<>"
-#: English insults that mark toxic text; other languages have the stems of `toxicity`.
-FLAGGED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: Documents that the sample has on average.
 SAMPLE = 512
 
@@ -44,7 +42,7 @@ class Texts:
     """A batch of texts with features that are worked out when first asked for."""
 
     #: What is known per text goes along with the texts that are taken.
-    COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_flagged")
+    COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper")
 
     def __init__(self, column: pa.ChunkedArray | pa.Array):
         self.column = column
@@ -129,11 +127,6 @@ class Texts:
     def n_upper(self) -> np.ndarray:
         return self.count(_UPPER[self.body])
 
-    @cached_property
-    def n_flagged(self) -> np.ndarray:
-        low, starts, ends, first = self.plain_words
-        return self.count(np.isin(textbytes.word_hashes(low, starts, ends), _FLAGGED_HASHES), first)
-
     @cached_property
     def plain_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         low = textbytes.LOWER[self.data]
@@ -154,9 +147,6 @@ def _hashed(words: Sequence[str]) -> np.ndarray:
     return textbytes.word_hashes(data, offsets[:-1], offsets[1:])
 
 
-_FLAGGED_HASHES = _hashed(FLAGGED)
-
-
 @dataclasses.dataclass(frozen=True)
 class Rule:
     """`rejects` gives a flag per text."""
@@ -169,47 +159,31 @@ def base_failed(t: Texts) -> np.ndarray:
     return (t.n_words < 10) | (100 * t.n_repeat_words > 20 * t.n_words)
 
 
-#: The rules that SQL states.
-SQL_RULES = (
+#: The rules that need no labels.
+RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 15 * t.n_words)),
     Rule("capitals", lambda t: 10 * t.n_upper > 3 * t.n_letters),
     Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * t.n_lines),
-    Rule("flagged_words", lambda t: 250 * t.n_flagged > t.n_words),
 )
 
 
-def frequent_stems(found: dict[str, tuple[str, ...]]) -> Rule:
+def frequent_stems(found: dict[str, toxicity.Stems]) -> Rule:
     """By toxicity.frequent, as SQL states it."""
-    sized = [{n: _hashed([s for s in stems if len(s.encode()) == n]) for n in {len(s.encode()) for s in stems}} for stems in found.values()]
+    sized = [({n: _hashed([s for s in m.stems if len(s.encode()) == n]) for n in {len(s.encode()) for s in m.stems}}, m.cut) for m in found.values()]
 
     def rejects(t: Texts) -> np.ndarray:
         out, n = np.zeros(len(t), dtype=bool), np.diff(t.plain_words[3])
-        for stems in sized:
-            out |= toxicity.PER_WORDS * t.n_begun_by(stems) > n
+        for stems, cut in sized:
+            out |= toxicity.ONE * t.n_begun_by(stems) > cut * n
         return out
 
     return Rule("frequent_stems", rejects)
 
 
-def toxic_stems(model: dict[str, toxicity.Stems]) -> Rule:
-    sized = [({n: _hashed([s for s in m.stems if len(s.encode()) == n]) for n in {len(s.encode()) for s in m.stems}}, m.share) for m in model.values()]
-
-    def rejects(t: Texts) -> np.ndarray:
-        out, n = np.zeros(len(t), dtype=bool), np.diff(t.plain_words[3])
-        for stems, share in sized:
-            out |= t.n_begun_by(stems) > share * n
-        return out
-
-    return Rule("toxic_stems", rejects)
-
-
-RULES = (*SQL_RULES, toxic_stems(toxicity.STEMS))
-
-
 def rules_for(docs: DataFrame, labels: DataFrame) -> tuple[Rule, ...]:
-    """RULES with the toxic stems that the labelled documents (they need a `lang`) show."""
-    return (*SQL_RULES, toxic_stems(toxicity.fitted(toxicity.sample(docs, labels))))
+    """RULES, and the stems that are frequent in the labelled toxic documents (which need a `lang`)."""
+    return (*RULES, frequent_stems(toxicity.frequent(docs, labels)))
 
 
 def estimate(texts: Texts, rules: Sequence[Rule]) -> list[tuple[Rule, float, np.ndarray]]:
@@ -303,7 +277,7 @@ def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: pa.ChunkedArray
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the rules that SQL states, with the stems that are frequent in the table's toxic documents."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge(docs, (*SQL_RULES, frequent_stems(toxicity.frequent(docs, labels)))).drop("rejected_by")
+    return judge(docs, rules_for(docs, labels)).drop("rejected_by")
 
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -317,10 +291,10 @@ hit AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(
 s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
              length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS letters,
-             len(list_filter(plain, lambda x: x IN {FLAGGED})) AS flagged, len(l) AS n_lines, doc_id IN (SELECT doc_id FROM toxic) AS is_toxic
+             len(l) AS n_lines, doc_id IN (SELECT doc_id FROM toxic) AS is_toxic
       FROM d LEFT JOIN hit USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * upper <= 3 * letters AND 10 * n_dup_lines <= 3 * n_lines AND 250 * flagged <= n_words AND NOT is_toxic AS kept
+       NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * upper <= 3 * letters AND 10 * n_dup_lines <= 3 * n_lines AND NOT is_toxic AS kept
 FROM b
 """

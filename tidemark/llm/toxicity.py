@@ -1,83 +1,41 @@
-"""Word stems that mark toxic text, fitted on labelled documents of each language.
-
-A stem is a beginning of a word, of LENGTHS characters, that at least SPREAD of a language's toxic documents hold and
-whose mean share of a document's words is at least RATIO times as large in toxic documents as in others. Of stems that
-begin with the same one, the longest that keeps KEPT of its share stands for all. A text is toxic if the stems of one
-language make up more than `share` of its words, the cut that best parts the sample (widest gap first). Words are those
-of FLAGGED's rule: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+, with A-Z lower-cased.
-
-Tables differ in their toxic words, so a table's own labels are read: about PER_CLASS toxic and PER_CLASS other documents,
-chosen by a hash of doc_id over all labels, CHARS characters of each, go to the driver - a bound whatever the size of the
-table. `frequent` is a plainer fit that SQL can state, over whole texts of as many documents, with one cut for all.
-
-A language with fewer than LEAST toxic documents in that sample, or whose stems part it badly, keeps STEMS, which
-was fitted on the labelled documents of sf0.1 with an even doc_id; a language in neither has no rule.
+"""Word stems that mark toxic text, fitted on a table's own labelled documents, language by language.
+
+A stem is a beginning of a word, of STEM characters, that SEEN per cent of a language's toxic documents hold and that makes
+up MORE times the share of their words that it has in the language's other documents, and ELSEWHERE times that of any
+other language where it is more common. A text is toxic if the stems of one
+language make up more of its words than that language's cut: halfway from what all but TAIL per cent of the other documents
+have at most, in the language that has most, to what all but LOW per cent of its toxic ones have at least. Words are
+[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+, with A-Z lower-cased.
+
+The fit reads whole texts of PER_CLASS toxic and PER_CLASS other documents at most, a documented bound on labelled rows; the
+verdicts read every text. A language with fewer than LEAST labelled documents of either kind, or whose toxic documents do not
+stand out, has no stems, and no text is toxic by them: there is no list of words in the code.
 """
 
 from __future__ import annotations
 
 import dataclasses
-import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
 
-LENGTHS = range(3, 11)
-SPREAD, RATIO, KEPT = 0.4, 10.0, 0.85
-PER_CLASS, CHARS, LEAST = 2000, 20_000, 10
+PER_CLASS, LEAST = 2000, 10
+STEM, SEEN, MORE, ELSEWHERE, TAIL, LOW = (4, 8), 15, 20, 100, 3, 25
+#: Shares of words are whole numbers, in parts of this.
+ONE = 1_000_000
 
 
 @dataclasses.dataclass(frozen=True)
 class Stems:
     stems: tuple[str, ...]
-    share: float
-
-
-#: English keeps the exact words of the rule flagged_words.
-STEMS = {
-    "de": Stems(("achkeit", "achlich"), 0.01136),
-    "es": Stems(("boco", "bomente"), 0.01464),
-    "fr": Stems(("réeux", "réê"), 0.01436),
-}
-
-
-def words(text: str | None) -> list[str]:
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-
-
-def fit(docs: Sequence[tuple[str | None, int]]) -> Stems | None:
-    """From one language's (text, toxic) documents; None if they are too few or cannot be told apart."""
-    share = {0: defaultdict(float), 1: defaultdict(float)}
-    held, many = Counter(), Counter()
-    for text, toxic in docs:
-        own = words(text)
-        many[toxic] += 1
-        counts = Counter(w[:n] for w in own for n in LENGTHS if len(w) >= n)
-        held.update(counts.keys() if toxic else ())
-        for stem, n in counts.items():
-            share[toxic][stem] += n / len(own)
-    if many[1] < LEAST or many[0] < LEAST:
-        return None
-    good = {s: share[1][s] for s in held if held[s] >= SPREAD * many[1] and share[1][s] / many[1] >= RATIO * share[0][s] / many[0]}
-    tops = [s for s in good if not any(s[:n] in good for n in range(len(s)))]
-    stems = tuple(sorted(max((s for s in good if s.startswith(top) and good[s] >= KEPT * good[top]), key=lambda s: (len(s), s)) for top in tops))
-    points = [(sum(w.startswith(stems) for w in own) / len(own), toxic) for own, toxic in ((words(t), x) for t, x in docs) if own]
-    cut, parted = _cut(points, many)
-    return Stems(stems, cut) if stems and parted >= 0.5 else None
+    cut: int
 
 
-#: `frequent`: a stem of so many characters that SEEN per cent of a language's toxic documents hold, with MORE times the share
-#: of their words. A text is toxic if those of one language make up over 1 / PER_WORDS of its words.
-STEM, SEEN, MORE, PER_WORDS = (4, 8), 15, 20, 100
-
-
-def frequent(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[str, ...]]:
+def frequent(docs: DataFrame, labels: DataFrame) -> dict[str, Stems]:
     """The stems of each language, from PER_CLASS toxic and PER_CLASS other labelled documents at most, the first in the order
-    of md5(doc_id). The driver gets the stems only: at most 100 / SEEN times those of a mean document."""
+    of md5(doc_id). The driver gets the stems, at most 100 / SEEN times those of a mean document, and shares of the sample."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"))
     zero, one = (known.where(F.col("toxic") == t).orderBy(*order).limit(PER_CLASS) for t in (0, 1))
@@ -88,17 +46,32 @@ def frequent(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[str, ...]]:
     words = read.select("doc_id", "lang", "toxic", F.size("w").alias("n"), F.explode("w").alias("y")).groupBy("doc_id", "lang", "toxic", "n", "y").agg(F.count("*").alias("k"))
     sized = words.select("*", F.explode(F.sequence(*map(F.lit, STEM))).alias("l")).where(F.length("y") >= F.col("l"))
     own = sized.groupBy("doc_id", "lang", "toxic", "n", F.expr("substring(y, 1, l)").alias("stem")).agg(F.sum("k").alias("k"))
-    share = F.floor(F.col("k") * 1_000_000 / F.col("n")).cast("long")
+    share = F.floor(F.col("k") * ONE / F.col("n")).cast("long")
     many = words.select("doc_id", "lang", "toxic").distinct().groupBy("lang").agg(F.count_if(F.col("toxic") == 1).alias("nt"), F.count_if(F.col("toxic") == 0).alias("nc"))
     sums = own.groupBy("lang", "stem").agg(
         F.count_if(F.col("toxic") == 1).alias("held"),
         F.sum(F.when(F.col("toxic") == 1, share).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("toxic") == 0, share).otherwise(0)).alias("good"),
     )
-    found = sums.join(F.broadcast(many), "lang").where(  # a row per language
-        (F.col("nt") >= LEAST) & (F.col("nc") >= LEAST) & (100 * F.col("held") >= SEEN * F.col("nt")) & (F.col("bad") * F.col("nc") >= MORE * F.col("good") * F.col("nt"))
-    )
-    return {r.lang: tuple(r.stems) for r in found.groupBy("lang").agg(F.sort_array(F.collect_list("stem")).alias("stems")).collect()}
+    # the mean share of the words of other documents, in the language that has most of it
+    means = sums.join(F.broadcast(many), "lang").withColumn("mean", F.expr("good div nullif(nc, 0)"))  # a row per language
+    worst = means.groupBy("stem").agg(F.max("mean").alias("worst"))
+    found = means.join(worst, "stem").where((F.col("nt") >= LEAST) & (F.col("nc") >= LEAST) & (100 * F.col("held") >= SEEN * F.col("nt")) & (F.col("bad") >= F.when(F.col("worst") > F.col("mean"), ELSEWHERE).otherwise(MORE) * F.col("worst") * F.col("nt")))
+    found = written(found.select(F.col("lang").alias("of"), "stem"), "stems")
+    stems = {r.of: tuple(r.stems) for r in found.groupBy("of").agg(F.sort_array(F.collect_list("stem")).alias("stems")).collect()}
+    hits = sized.withColumn("stem", F.expr("substring(y, 1, l)")).join(found, "stem").select("doc_id", "lang", "toxic", "n", "y", "k", "of").distinct()
+    shares = hits.groupBy("doc_id", "lang", "toxic", "n", "of").agg(F.sum("k").alias("k")).withColumn("share", share)
+    lists = {(r.of, r.lang, r.toxic): r.s for r in shares.where("lang is not null").groupBy("of", "lang", "toxic").agg(F.sort_array(F.collect_list("share"), asc=False).alias("s")).collect()}
+    sizes = {r.lang: (r.nc, r.nt) for r in many.collect()}
+    nth = lambda values, i: values[i] if i < len(values) else 0
+    out = {}
+    for of, own in stems.items():
+        high = max(nth(lists.get((of, lang, 0), []), nc * TAIL // 100) for lang, (nc, _) in sizes.items())
+        nt = sizes[of][1]
+        low = nth(lists.get((of, of, 1), []), nt - nt * LOW // 100 - 1)
+        if low > high:
+            out[of] = Stems(own, (low + high) // 2)
+    return out
 
 
 #: `frequent` and its verdicts in DuckDB's SQL, over d (doc_id, lang, plain); `toxic` has the ids.
@@ -107,42 +80,15 @@ pick AS (SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY to
          FROM (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IN (0, 1) GROUP BY doc_id)) WHERE r <= {PER_CLASS}),
 dw AS (SELECT doc_id, lang, len(plain) AS n, y, count(*) AS k FROM (SELECT doc_id, lang, plain, unnest(plain) AS y FROM d) GROUP BY ALL),
 cut AS (SELECT *, substring(y, 1, l) AS stem FROM dw, (SELECT unnest(range({STEM[0]}, {STEM[1]} + 1)) AS l) WHERE length(y) >= l),
-own AS (SELECT doc_id, lang, toxic, stem, CAST(floor(sum(k) * 1000000 / n) AS BIGINT) AS share FROM cut JOIN pick USING (doc_id) GROUP BY doc_id, lang, toxic, n, stem),
+own AS (SELECT doc_id, lang, toxic, stem, CAST(floor(sum(k) * {ONE} / n) AS BIGINT) AS share FROM cut JOIN pick USING (doc_id) GROUP BY doc_id, lang, toxic, n, stem),
 many AS (SELECT lang, count(*) FILTER (toxic = 1) AS nt, count(*) FILTER (toxic = 0) AS nc FROM (SELECT DISTINCT doc_id, lang, toxic FROM dw JOIN pick USING (doc_id)) GROUP BY lang),
-stems AS (SELECT lang, stem FROM own JOIN many USING (lang) GROUP BY lang, stem, nt, nc
-          HAVING nt >= {LEAST} AND nc >= {LEAST} AND 100 * count(*) FILTER (toxic = 1) >= {SEEN} * nt
-             AND coalesce(sum(share) FILTER (toxic = 1), 0) * nc >= {MORE} * coalesce(sum(share) FILTER (toxic = 0), 0) * nt),
-toxic AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, n, of, sum(k) AS h FROM (SELECT DISTINCT doc_id, n, y, k, stems.lang AS of FROM cut JOIN stems USING (stem)) GROUP BY doc_id, n, of) WHERE {PER_WORDS} * h > n)"""
-
-
-def _cut(points: list[tuple[float, int]], many: Counter) -> tuple[float, float]:
-    """The share between two values that best parts toxic from other documents, and how well: 1 is fully."""
-    points = sorted(points)
-    best, right = (0.0, 0.0, 0.0), {0: 0, 1: 0}
-    for i in range(len(points) - 1, 0, -1):
-        right[points[i][1]] += 1
-        low, high = points[i - 1][0], points[i][0]
-        if low < high:
-            best = max(best, (round(right[1] / many[1] - right[0] / many[0], 9), high - low, (low + high) / 2))
-    return best[2], best[0]
-
-
-def fitted(docs: Iterable[tuple[str | None, str | None, int]]) -> dict[str, Stems]:
-    """STEMS, with what (lang, text, toxic) documents give in their place."""
-    by = defaultdict(list)
-    for lang, text, toxic in docs:
-        by[lang].append((text, toxic))
-    return STEMS | {lang: own for lang, rows in by.items() if (own := fit(rows)) is not None}
-
-
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, str | None, int]]:
-    """(lang, text, toxic) of the labelled documents that the fit reads, in no set order; one row a doc_id."""
-    many = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = [(F.col("toxic") == toxic) & (place < F.lit(min(1 << 30, (PER_CLASS << 30) // many[toxic]))) for toxic in (0, 1) if many.get(toxic)]
-    if len(chosen) < 2:
-        return []
-    picked = labels.where(chosen[0] | chosen[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    row = F.struct("lang", F.substring("text", 1, CHARS).alias("text"), "toxic")
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(row).alias("r"))
-    return [(r["lang"], r["text"], r["toxic"]) for r in rows.select("r.*").toArrow().to_pylist()]
+means AS (SELECT lang, stem, nt, nc, count(*) FILTER (toxic = 1) AS held, coalesce(sum(share) FILTER (toxic = 1), 0) AS bad, coalesce(sum(share) FILTER (toxic = 0), 0) // nullif(nc, 0) AS mean
+          FROM own JOIN many USING (lang) GROUP BY lang, stem, nt, nc),
+stems AS (SELECT lang, stem FROM means JOIN (SELECT stem, max(mean) AS worst FROM means GROUP BY stem) USING (stem) WHERE nt >= {LEAST} AND nc >= {LEAST} AND 100 * held >= {SEEN} * nt AND bad >= CASE WHEN worst > mean THEN {ELSEWHERE} ELSE {MORE} END * worst * nt),
+hits AS (SELECT DISTINCT doc_id, cut.lang, n, y, k, stems.lang AS of FROM cut JOIN stems USING (stem)),
+shares AS (SELECT of, lang, toxic, doc_id, CAST(floor(sum(k) * {ONE} / n) AS BIGINT) AS share FROM hits JOIN pick USING (doc_id) WHERE lang IS NOT NULL GROUP BY of, lang, toxic, doc_id, n),
+lists AS (SELECT of, lang, toxic, list(share ORDER BY share DESC) AS s FROM shares GROUP BY ALL),
+high AS (SELECT of, max(coalesce(s[nc * {TAIL} // 100 + 1], 0)) AS c FROM lists JOIN many USING (lang) WHERE toxic = 0 GROUP BY of),
+low AS (SELECT of, coalesce(s[nt - nt * {LOW} // 100], 0) AS t FROM lists JOIN many USING (lang) WHERE toxic = 1 AND of = lang),
+cuts AS (SELECT of, (t + coalesce(c, 0)) // 2 AS cut FROM low LEFT JOIN high USING (of) WHERE t > coalesce(c, 0)),
+toxic AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, n, of, sum(k) AS h FROM hits GROUP BY doc_id, n, of) JOIN cuts USING (of) WHERE {ONE} * h > cut * n)"""
