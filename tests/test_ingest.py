@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import threading
 import urllib.request
 from decimal import Decimal
@@ -334,7 +335,7 @@ def test_event_files(spark, tmp_path):
 
 
 def test_event_store(spark, tmp_path):
-    folder = str(tmp_path / "files")
+    folder = f"file://{tmp_path}/files"
     event_store.write_events(spark.createDataFrame([(i, i * 10, f"a{i}", b"x" * i if i % 2 else None) for i in range(1, 9)], "block_no bigint, slot_no bigint, block_hash string, content binary"), folder, "block")
     slots = lambda: [(r.slot_no, r.has_event, len(r.content or b"")) for r in source.event_files(spark, folder, "block").collect()]
     assert slots() == [(i * 10, i % 2 == 1, i * (i % 2)) for i in range(1, 9)]
@@ -352,6 +353,33 @@ def test_block_ranges(spark, tmp_path):
     assert read("blocks") == ["b7", "b9"] and read("before") == ["a2"]
 
 
+def test_intersection(spark, tmp_path, monkeypatch):
+    """As a plain model says, for any list of points, whatever is appended later; only some segments are read."""
+    log, every = items(21, 400, depth=12), 25
+    rows_ = [(seq, op, to, block(slot, slot, slot, [], f"h{seq}-") if op == "INDEX" else None) for seq, op, slot, to in log]
+    rng, read = random.Random(3), []
+    real = source._in_segments
+    monkeypatch.setattr(source, "_in_segments", lambda log, segments, every: read.append(len(segments)) or real(log, segments, every))
+    for at in (130, 400):
+        frame = spark.createDataFrame(rows_[:at], schemas.STREAM).coalesce(2)
+        index = source.write_index(frame, str(tmp_path / "index"), every)
+        assert index.count() == -(-at // every)
+        valid = {(slot, f"h{seq}-{slot}") for seq, slot in model(log[:at])}
+        every_block = [(slot, f"h{seq}-{slot}") for seq, op, slot, _ in log[:at] if op == "INDEX"]
+        for n in (1, 5, 40):
+            points = rng.sample(every_block, n) + [(5000, "unknown")]
+            expected = max((p for p in points if p in valid), default=None)
+            if expected is None:
+                assert source.newest_common(frame, index, [*points, (None, None)], every) == (None, None)
+                with pytest.raises(errors.NoIntersection):
+                    source.newest_common(frame, index, points, every)
+            else:
+                assert source.newest_common(frame, index, points, every) == expected
+    known = max(valid)
+    read.clear()
+    assert source.newest_common(frame, index, [known, min(valid)], every) == known and sum(read) <= 4
+
+
 def test_eras(spark):
     eras = spark.createDataFrame([(0, 0, 1000, 10, 20), (100, 10, 3000, 50, 1)], "first_slot bigint, first_epoch bigint, first_time bigint, epoch_slots bigint, slot_seconds bigint")
     out = source.with_epoch_and_time(spark.createDataFrame([(5,), (99,), (100,), (210,)], "slot_no bigint"), eras)

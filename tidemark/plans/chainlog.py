@@ -313,10 +313,22 @@ def source_starting_at(spark, sf):
     return changelog.valid_rows(flat).select("slot_no")
 
 
+@query("SELECT slot_no, block_hash FROM days WHERE block_no % 300 = 7 ORDER BY slot_no DESC LIMIT 1", "days")
+def source_intersection(spark, sf):
+    """The newest of many points that the log has: most are on forks that were rolled back."""
+    folder = new_folder(spark, "indexed")
+    log(spark, sf).write.parquet(f"{folder}/log")
+    rows, number = chain.read_log(spark, f"{folder}/log"), F.col("block_no")
+    known = blocks(spark, sf).where((number % FORK_EVERY == 0) | (number % 300 == 7))
+    points = known.select("slot_no", F.when(number % FORK_EVERY == 0, F.concat(F.lit("f"), "block_hash")).otherwise(F.col("block_hash"))).collect()  # a wallet's list
+    index = chain.write_index(rows, f"{folder}/index", 500)
+    return spark.createDataFrame([chain.newest_common(rows, index, [tuple(p) for p in points], 500)], "slot_no bigint, block_hash string")
+
+
 @query("SELECT block_no, slot_no, block_no % 3 = 0 AS has_event, CASE WHEN block_no % 3 = 0 THEN block_hash END AS content FROM days WHERE block_no <= 200 AND slot_no <= 150", "days")
 def source_event_files(spark, sf):
     """Event files written, rolled back and read again."""
-    folder = new_folder(spark, "events").removeprefix("file:")
+    folder = new_folder(spark, "events")
     rows = blocks(spark, sf).where("block_no <= 200").select("block_no", "slot_no", "block_hash", F.when(F.col("block_no") % 3 == 0, F.col("block_hash").cast("binary")).alias("content"))
     event_store.write_events(rows, folder, "block")
     found = event_store.resumed(spark, folder, "block", 150)
@@ -341,32 +353,15 @@ def source_eras(spark, sf):
 @query("SELECT seq, op, slot_no, to_slot FROM log WHERE seq >= 1", "log")
 def source_json_lines(spark, sf):
     """The event chain through the stream reader of JSON lines, read by windows of each file; all but the first line."""
-    folder, out = new_folder(spark, "lines").removeprefix("file:"), new_folder(spark, "taken")
+    folder, out = new_folder(spark, "lines"), new_folder(spark, "taken")
     rows = fx.log(spark, sf).repartitionByRange(3, "seq").sortWithinPartitions("seq").select(F.spark_partition_id().alias("p"), F.to_json(F.struct("seq", "op", "slot_no", "block_no", "to_slot")).alias("line"))
-    rows.select("p", "line").foreachPartition(_line_writer(folder))
+    rows.select("p", "line").foreachPartition(event_store.line_writer(folder))
     spark.dataSource.register(chain.ChainSource)
     stream = spark.readStream.format("chain").option("startingLine", 1).option("window", 2000).load(folder)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("seq", "op", "slot_no", "to_slot")
 
 
-def _line_writer(folder: str):
-    def run(part) -> None:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        number, lines = None, []
-        for r in part:
-            number = r.p
-            lines.append(r.line)
-        if lines:
-            with open(f"{folder}/.{number}", "w") as file:
-                file.writelines(x + "\n" for x in lines)
-            os.replace(f"{folder}/.{number}", f"{folder}/{number:05d}.jsonl")
-
-    return run
-
-
 # --- steps between source and tables
 
 

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import dataclasses
-import glob
+import io
 import itertools
 import json
 import os
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import TypeVar
 
+from pyarrow import fs
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.window import Window
 
 from tidemark import schemas
 from tidemark.errors import InvalidTable, NoIntersection
 from tidemark.operators.changelog import valid_rows
+from tidemark.operators.ordered import suffix_min
+from tidemark.sources import files
 
 T_ = TypeVar("T_")
 
@@ -59,6 +64,65 @@ def check_start(log: DataFrame, slot: int | None, block_hash: str | None) -> Non
         raise NoIntersection(f"the source has no block {block_hash} at slot {slot}")
 
 
+#: Segments of an index: how many numbers of the order of arrival each has.
+EVERY = 10_000
+_INDEX = "segment bigint, low bigint, high bigint, back bigint"
+
+
+def write_index(log: DataFrame, folder: str, every: int = EVERY) -> DataFrame:
+    """A sparse index of a recorded log: per segment of its order of arrival the least and largest slot and how far its rollbacks
+    go back. Called again, it adds what has come since; parts of one segment add up when they are read."""
+    spark = log.sparkSession
+    index = read_index(spark, folder)
+    last = index.agg(F.max("segment")).first()[0]
+    rows = log if last is None else log.where(F.col("seq") >= last * every)
+    slot = F.col("block.slot_no")
+    back = F.min(F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1)))).alias("back")
+    found = rows.groupBy(F.floor(F.col("seq") / every).alias("segment")).agg(F.min(slot).alias("low"), F.max(slot).alias("high"), back)
+    found.repartitionByRange(1, "segment").write.mode("append").parquet(folder)  # a row a segment
+    return read_index(spark, folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    parts = spark.read.schema(_INDEX).parquet(folder) if files.exists(spark, folder) else spark.createDataFrame([], _INDEX)
+    return parts.groupBy("segment").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("back").alias("back"))
+
+
+def newest_common(log: DataFrame, index: DataFrame, points: list[tuple[int | None, str | None]], every: int = EVERY, at_once: int = 16) -> tuple[int | None, str | None]:
+    """The newest of the points (slot, hash) that the log's canonical chain has; genesis, (None, None), always is there.
+
+    Points are tried newest first, some at once. The index tells which segments can hold one that no later segment takes
+    back; only those are read and judged, not the log."""
+    spark = log.sparkSession
+    later = suffix_min(index, "segment", F.col("back"), "later").persist()
+    try:
+        known = sorted({p for p in points if p[0] is not None}, key=lambda p: (-p[0], p[1] or ""))
+        for i in range(0, len(known), at_once):
+            asked = spark.createDataFrame(known[i : i + at_once], "slot bigint, hash string")
+            there = (F.col("slot") >= F.col("low")) & (F.col("slot") <= F.col("high")) & (F.col("later").isNull() | (F.col("later") >= F.col("slot")))
+            segments = sorted(r[0] for r in later.join(F.broadcast(asked), there).select("segment").distinct().collect())
+            found = _in_segments(log, segments, every).join(F.broadcast(asked), (F.col("slot_no") == F.col("slot")) & (F.col("hash").isNull() | (F.col("block_hash") == F.col("hash"))))
+            found = found.join(F.broadcast(later.where(F.col("segment").isin(segments)).select("segment", "later")), "segment").where(F.col("later").isNull() | (F.col("later") >= F.col("slot_no")))
+            newest = found.agg(F.max(F.struct("slot_no", "block_hash")).alias("p")).first()["p"]
+            if newest is not None:
+                return newest.slot_no, newest.block_hash
+    finally:
+        later.unpersist()
+    if any(p[0] is None for p in points):
+        return None, None
+    raise NoIntersection(f"the source has none of {len(points)} points")
+
+
+def _in_segments(log: DataFrame, segments: list[int], every: int) -> DataFrame:
+    """The blocks of some segments that no rollback of their own segment takes back."""
+    seq = F.col("seq")
+    read = log.where(reduce(Column.__or__, [(seq >= s * every) & (seq < (s + 1) * every) for s in segments], F.lit(False)))
+    rows = read.select("seq", "op", "to_slot", F.col("block.slot_no").alias("slot_no"), F.col("block.block_hash").alias("block_hash"), F.floor(seq / every).alias("segment"))
+    after = Window.partitionBy("segment").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    back = F.min(F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1)))).over(after)
+    return rows.withColumn("_back", back).where((F.col("op") == "INDEX") & (F.col("_back").isNull() | (F.col("_back") >= F.col("slot_no")))).drop("_back")
+
+
 def with_epoch_and_time(rows: DataFrame, eras: DataFrame) -> DataFrame:
     """Adds epoch_no and block_time by the era that holds the slot.
 
@@ -94,6 +158,11 @@ def event_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
     return rows.orderBy("block_no")
 
 
+def at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address, and the path in it, for tasks that write or read single files; a plain path is local."""
+    return fs.FileSystem.from_uri(path if ":/" in path else f"file://{os.path.abspath(path)}")
+
+
 @dataclasses.dataclass
 class Lines(InputPartition):
     """The lines of one file from `low` up to `high`."""
@@ -112,10 +181,12 @@ class ChainReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """Whole lines of each file, in the order of names."""
+        system, folder = at(self.folder)
         out = {}
-        for path in sorted(glob.glob(os.path.join(self.folder, "*.jsonl"))):
-            with open(path, "rb") as file:
-                out[os.path.basename(path)] = sum(part.count(b"\n") for part in iter(lambda: file.read(1 << 20), b""))
+        for info in sorted(system.get_file_info(fs.FileSelector(folder, allow_not_found=True)), key=lambda i: i.path):
+            if info.path.endswith(".jsonl"):
+                with system.open_input_stream(info.path) as file:
+                    out[info.base_name] = sum(part.count(b"\n") for part in iter(lambda: file.read(1 << 20), b""))
         return out
 
     def initialOffset(self) -> dict:
@@ -128,10 +199,11 @@ class ChainReader(DataSourceStreamReader):
         return out
 
     def partitions(self, start: dict, end: dict) -> list[Lines]:
-        return [Lines(os.path.join(self.folder, name), low, min(low + self.window, high)) for name, high in end.items() for low in range(start.get(name, 0), high, self.window)]
+        return [Lines(f"{self.folder.rstrip('/')}/{name}", low, min(low + self.window, high)) for name, high in end.items() for low in range(start.get(name, 0), high, self.window)]
 
     def read(self, partition: Lines) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as file:
+        system, path = at(partition.path)
+        with system.open_input_stream(path) as raw, io.TextIOWrapper(raw, encoding="utf-8") as file:
             for line in itertools.islice(file, partition.low, partition.high):
                 x = json.loads(line)
                 yield x["seq"], x["op"], x.get("slot_no"), x.get("block_no"), x.get("to_slot")

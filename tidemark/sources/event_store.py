@@ -1,34 +1,36 @@
 """Event files, one per event, and block ranges, written for others to read.
 
-Files go to a folder that all executors share; a file is written under another name first and then renamed, so a task that
-runs again leaves the same files.
+Files go to a folder that all executors share, on any file system that has an address; a file is written under another name
+first and then moved, so a task that runs again leaves the same files.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.changelog import valid_rows
 from tidemark.operators.preprocess import in_block_range, just_before_range
-from tidemark.sources.chain import event_files
+from tidemark.sources.chain import at, event_files
 
 
 def write_events(rows: DataFrame, folder: str, prefix: str, suffix: str = "bin") -> None:
     """A file <prefix>_<just|nothing>_<block>_<slot>_<hash>.<suffix> per row of (block_no, slot_no, block_hash, content); a row
     without content is 'nothing', a file of one line feed."""
-    os.makedirs(folder, exist_ok=True)
 
     def run(part: Iterator) -> None:
+        system, where = at(folder)
+        system.create_dir(where, recursive=True)
         for r in part:
             name = f"{prefix}_{'nothing' if r.content is None else 'just'}_{r.block_no}_{r.slot_no}_{r.block_hash}.{suffix}"
-            new = os.path.join(folder, f".{name}.{os.getpid()}")
-            with open(new, "wb") as file:
+            new = f"{where}/.{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(new) as file:
                 file.write(b"\n" if r.content is None else bytes(r.content))
-            os.replace(new, os.path.join(folder, name))
+            system.move(new, f"{where}/{name}")
 
     rows.select("block_no", "slot_no", "block_hash", "content").foreachPartition(run)
 
@@ -36,9 +38,9 @@ def write_events(rows: DataFrame, folder: str, prefix: str, suffix: str = "bin")
 def _remove(files: DataFrame) -> None:
     def run(part: Iterator) -> None:
         for r in part:
-            path = r.path.removeprefix("file:")
-            if os.path.exists(path):
-                os.remove(path)
+            system, path = at(r.path)
+            if system.get_file_info(path).type != fs.FileType.NotFound:
+                system.delete_file(path)
 
     files.foreachPartition(run)
 
@@ -68,3 +70,22 @@ def write_range(log: DataFrame, low: int, high: int, folder: str) -> None:
     valid = valid_rows(flat)
     for name, rows in (("blocks", in_block_range(valid, low, high)), ("before", just_before_range(valid, low))):
         rows.select("block.*").sortWithinPartitions("slot_no").write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def line_writer(folder: str):
+    """For foreachPartition: the lines of a partition (p, line) as the file <p>.jsonl, whole or not at all."""
+
+    def run(part: Iterator) -> None:
+        system, where = at(folder)
+        system.create_dir(where, recursive=True)
+        first = next(part, None)
+        if first is None:
+            return
+        new = f"{where}/.{first.p}.{uuid.uuid4().hex}"
+        with system.open_output_stream(new) as file:
+            file.write(f"{first.line}\n".encode())
+            for r in part:
+                file.write(f"{r.line}\n".encode())
+        system.move(new, f"{where}/{first.p:05d}.jsonl")
+
+    return run
