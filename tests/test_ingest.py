@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.chain import block, items, model, output, tx
 from tidemark import errors, schemas
-from tidemark.serving import cli
+from tidemark.serving import cli, rpc
 from tidemark.serving.rpc import Api, serve
 from tidemark.sources import chain as source
 from tidemark.sources import event_store
@@ -64,7 +64,7 @@ def test_tables_follow_the_canonical_chain(ingested):
         ingest.table("utxo", as_of=10)
 
 
-def test_serving(ingested, spark):
+def test_serving(ingested, spark, monkeypatch):
     ingest, _ = ingested
     sdd = spark.createDataFrame([(3, "pool", Decimal(10**20), 1, 15, "h")], "epoch_no bigint, pool_id string, lovelace decimal(38,0), block_no bigint, slot_no bigint, block_hash string")
     api = Api(ingest, ["addr", "addr2"], {"epoch_sdd": sdd, "epoch_nonce": sdd.withColumnRenamed("pool_id", "nonce")}, depth=1)
@@ -88,6 +88,15 @@ def test_serving(ingested, spark):
     assert codes == [-32700, -32600, -32601]
     bad = [("getUtxosFromAddress", {}), ("getUtxosFromAddress", {"address": "other"}), ("getUtxosFromAddress", {"address": "addr", "createdAtOrAfterSlotNo": 3}), ("getNonceByEpoch", "x"), ("getBurnTokenEvents", {"policyId": "p", "createdAfterTx": "none"})]
     assert {call(*b)["error"]["code"] for b in bad} == {-32602}
+    pages, token = [], None
+    for _ in range(2):
+        answer = call("getUtxosFromAddress", {"address": "addr", "pageSize": 1} | ({"page": token} if token else {}))["result"]
+        pages, token = pages + answer["rows"], answer["next"]
+    assert pages == found and token is None
+    assert call("getBurnTokenEvents", {"policyId": "p", "pageSize": 5})["result"] == {"rows": burn, "next": None}
+    assert {call("getUtxosFromAddress", {"address": "addr", **x})["error"]["code"] for x in ({"pageSize": 0}, {"pageSize": 2, "page": "?"}, {"pageSize": 2, "page": 5})} == {-32602}
+    monkeypatch.setattr(rpc, "MOST", 1)
+    assert "pageSize" in call("getUtxosFromAddress", {"address": "addr"})["error"]["message"]
     server = serve(api, 0, lambda: "m 1\n", {"depth": 1})
     threading.Thread(target=server.serve_forever, daemon=True).start()
     at = f"http://127.0.0.1:{server.server_port}"
@@ -227,6 +236,20 @@ def test_lookups_read_few_files(spark, tmp_path, monkeypatch):
     assert by_key < 0.05 * laid and by_filter <= 15 and by_none < 0.05 * laid
 
 
+def test_pages_of_a_large_answer(spark, tmp_path):
+    """Pages add up to the whole answer, also when blocks arrive between them."""
+    ingest = Ingest(spark, str(tmp_path / "tables"), settings=Settings(depth=1, flush_every=2))
+    many = lambda slots: [(s, "INDEX", None, block(s, s, s, [tx(f"t{s}", [output("addr", i) for i in range(40)])])) for s in slots]
+    ingest.process(spark.createDataFrame(many(range(1, 6)), schemas.STREAM), 0)
+    api, seen, token = Api(ingest), [], None
+    while token is not None or not seen:
+        page = api.utxos({"address": "addr", "pageSize": 90} | ({"page": token} if token else {}))
+        seen, token = seen + [(r["slotNo"], r["txIx"]) for r in page["rows"]], page["next"]
+        if len(seen) == 90:
+            ingest.process(spark.createDataFrame(many([9]), schemas.STREAM), 1)
+    assert seen == [(s, i) for s in range(1, 6) for i in range(40)]
+
+
 def test_actions_run_again_after_a_loss(spark, tmp_path):
     seen = []
 

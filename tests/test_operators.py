@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.chain import items, model
 from tidemark import errors
-from tidemark.functions import addresses, render
+from tidemark.functions import addresses, datum, render
 from tidemark.operators import changelog, generic, intervals, ordered, preprocess
 from tidemark.plans import domain
 
@@ -211,3 +212,29 @@ def test_stabbing_nothing(spark):
     none = spark.createDataFrame([], "k string, at long")
     assert intervals.stabbed(lives, none, ["k"], "born", "died", "at").isEmpty()
     assert intervals.stabbed(lives.limit(0), spark.createDataFrame([("a", 3)], "k string, at long"), ["k"], "born", "died", "at").isEmpty()
+
+
+GOOD = ['{"int": 5}', '{"int":-123456789012345678901234567}', '{"bytes":""}', '{"bytes":"00ff"}', '{"list":[]}', '{"map":[]}', '{"fields":[],"constructor":0}', '{"map":[{"v":{"int":1},"k":{"list":[{"map":[{"k":{"int":0},"v":{"bytes":"aa"}}]}]}}]}']
+BAD = {"{": datum.NOT_JSON, "null": datum.UNKNOWN, "[1]": datum.UNKNOWN, "{}": datum.UNKNOWN, '{"int":1,"bytes":""}': datum.UNKNOWN, '{"int":1.5}': datum.NOT_WHOLE, '{"int":"1"}': datum.NOT_WHOLE, '{"int":null}': datum.NOT_WHOLE,
+       '{"constructor":-1,"fields":[]}': datum.NOT_WHOLE, '{"bytes":"0"}': datum.NOT_HEX, '{"bytes":"FF"}': datum.NOT_HEX, '{"bytes":7}': datum.NOT_HEX, '{"list":{"int":1}}': datum.NOT_LIST, '{"map":[{"k":{"int":1}}]}': datum.NOT_PAIRS,
+       '{"list":[{"int":1},{"what":2}]}': datum.UNKNOWN, '{"list":[{"list":[{"list":[{"list":[{"int":1}]}]}]}]}': datum.TOO_DEEP}
+
+
+def test_data_round_trip_and_errors(spark):
+    texts = [*GOOD, *BAD, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, d string")
+    out = {r.i: (r.datum, r.error) for r in datum.written(datum.nodes(rows, ["i"], "d", 4), ["i"]).collect()}
+    assert len(out) == len(texts) - 1
+    for i, text in enumerate(texts[:-1]):
+        if text in BAD:
+            assert out[i] == (None, BAD[text]), text
+        else:
+            assert out[i][1] is None and json.loads(out[i][0]) == json.loads(text) and " " not in out[i][0], text
+
+
+def test_deep_data(spark):
+    deep = '{"int":1}'
+    for _ in range(7):
+        deep = f'{{"constructor":1,"fields":[{deep}]}}'
+    rows = spark.createDataFrame([(1, deep)], "i int, d string")
+    assert datum.written(datum.nodes(rows, ["i"], "d"), ["i"]).first().datum == deep

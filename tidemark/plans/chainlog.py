@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark import schemas
-from tidemark.functions import render
+from tidemark.functions import datum, render
 from tidemark.operators import changelog, extract, generic, preprocess
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalogue import SLOT, query
@@ -388,6 +388,36 @@ def datum_json(spark, sf):
     return fx.blocks(spark, sf).where("slot_no <= 500").select("slot_no", render.datum_json(loose).alias("datum"))
 
 
+def _data(spark, sf):
+    """A nested datum per event."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    user, kind = F.col("user_id"), F.lower(F.hex(F.col("event_type").cast("binary")))
+    inner = text('{"map": [{"k": {"bytes": "', kind, '"}, "v": {"int": ', user, '}}, {"v": {"list": []}, "k": {"int": -1}}]}')
+    return fx.blocks(spark, sf).select("slot_no", text('{"fields" : [ {"int": ', user, "}, ", inner, ', {"list": [{"bytes": ""}, {"constructor": 0, "fields": []}]}], "constructor": ', user % 7, "}").alias("datum"))
+
+
+_NODES = """SELECT slot_no, unnest([
+    {'path': '', 'kind': 'constructor', 'value': (user_id % 7)::VARCHAR}, {'path': '0', 'kind': 'int', 'value': user_id::VARCHAR}, {'path': '1', 'kind': 'map', 'value': NULL},
+    {'path': '1.0', 'kind': 'bytes', 'value': lower(hex(event_type))}, {'path': '1.1', 'kind': 'int', 'value': user_id::VARCHAR}, {'path': '1.2', 'kind': 'int', 'value': '-1'}, {'path': '1.3', 'kind': 'list', 'value': NULL},
+    {'path': '2', 'kind': 'list', 'value': NULL}, {'path': '2.0', 'kind': 'bytes', 'value': ''}, {'path': '2.1', 'kind': 'constructor', 'value': '0'}]) AS n FROM blocks"""
+
+
+@query(f"SELECT slot_no, n.path AS path, n.kind AS kind, n.value AS value FROM ({_NODES})", "blocks")
+def datum_nodes(spark, sf):
+    """Typed nodes of data in the detailed schema."""
+    found = datum.nodes(_data(spark, sf), ["slot_no"], "datum", 4)
+    return found.where("error is null").select("slot_no", F.array_join(F.transform("path", lambda i: i.cast("string")), ".").alias("path"), "kind", "value")
+
+
+@query(
+    """SELECT slot_no, '{"constructor":' || user_id % 7 || ',"fields":[{"int":' || user_id || '},{"map":[{"k":{"bytes":"' || lower(hex(event_type)) || '"},"v":{"int":' || user_id || '}},{"k":{"int":-1},"v":{"list":[]}}]},{"list":[{"bytes":""},{"constructor":0,"fields":[]}]}]}' AS datum FROM blocks""",
+    "blocks",
+)
+def datum_round_trip(spark, sf):
+    """The nodes written again, in the shortest form."""
+    return datum.written(datum.nodes(_data(spark, sf), ["slot_no"], "datum", 4), ["slot_no"]).select("slot_no", "datum")
+
+
 @query("SELECT slot_no, upper(hex(event_type)) AS raw, 'e\"' || event_type AS name FROM blocks WHERE slot_no <= 500", "blocks")
 def rendered_names(spark, sf):
     name = F.concat(F.lit('e"'), "event_type")
@@ -417,9 +447,8 @@ def _answer(spark, sf, method: str, params, schema: str) -> DataFrame:
     "days", "made", "used",
 )
 def rpc_utxos_from_address(spark, sf):
-    body = json.loads(_api(spark, sf).call(json.dumps({"jsonrpc": "2.0", "id": 1, "method": "getUtxosFromAddress", "params": {"address": "a3", "createdAtOrAfterSlotNo": 500, "unspentBeforeSlotNo": SLOT}})))["result"]
-    rows = [(x["txId"], x["txIx"], x["slotNo"], x["blockNo"], x["datumHash"], (x["spentBy"] or {}).get("txId")) for x in body]
-    return spark.createDataFrame(rows, "txId string, txIx bigint, slotNo bigint, blockNo bigint, datumHash string, spent string")
+    rows = _api(spark, sf).utxo_rows({"address": "a3", "createdAtOrAfterSlotNo": 500, "unspentBeforeSlotNo": SLOT})
+    return rows.select(F.col("tx_id").alias("txId"), F.col("tx_ix").cast("bigint").alias("txIx"), F.col("slot_no").alias("slotNo"), F.col("block_no").alias("blockNo"), F.col("datum_hash").alias("datumHash"), F.col("spent_at_tx").alias("spent"))
 
 
 @query(
@@ -428,7 +457,8 @@ def rpc_utxos_from_address(spark, sf):
 )
 def rpc_burn_events(spark, sf):
     first = ingested(spark, sf).table("mint").where("policy_id = 'p1'").agg(F.min_by("tx_id", F.substring("tx_id", 2, 20).cast("long"))).first()[0]
-    return _answer(spark, sf, "getBurnTokenEvents", {"policyId": "p1", "createdAfterTx": first}, "slotNo bigint, blockNo bigint, txId string, assetName string, burnAmount bigint, redeemer string, isStable boolean")
+    rows = _api(spark, sf).burn_rows({"policyId": "p1", "createdAfterTx": first})
+    return rows.select(F.col("slot_no").alias("slotNo"), F.col("block_no").alias("blockNo"), F.col("tx_id").alias("txId"), F.col("asset_name").alias("assetName"), F.abs("quantity").cast("bigint").alias("burnAmount"), "redeemer", F.col("is_stable").alias("isStable"))
 
 
 @query("SELECT 'pool' || pool_id AS poolId, lovelace, epoch_no AS epochNo FROM sdd WHERE epoch_no = 98", "sdd")
