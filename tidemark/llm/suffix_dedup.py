@@ -10,7 +10,8 @@ anchor, so two equal windows have equal anchors at the same place. Consecutive w
    interval tree: intervals of at least `size` bytes whose left extensions differ are maximal repeat groups with all
    their occurrences. What they cover goes back to the chunks whose segment occurs once.
 3. Anchors with more than `hot` different segments would fill one task; the windows of their segments are counted by
-   hash instead, folded per chunk.
+   two hashes of 64 bits each instead, folded per chunk: among n such windows n^2 / 2^129 pairs are taken for equal that
+   are not, less than 1e-15 for the 1e11 windows of 100 GB.
 
 Texts are bytes in UTF-8; matches never cross documents; strings are judged on the input. Defined results: null and
 empty texts have no bytes and no spans; rows that repeat a doc_id (or have none) count as documents of their own; an
@@ -34,6 +35,7 @@ SIZE = 400
 HOT = 2000
 _BLOCK = 1 << 18
 _LETTER = textbytes.mix(np.arange(1, 257, dtype=np.uint64))
+_OTHER = textbytes.mix(np.arange(1001, 1257, dtype=np.uint64))
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -207,11 +209,11 @@ _PAIR = np.dtype([("anchor", "<u8"), ("body", "<u8")])
 _COVERED, _SEVERAL, _LEADS, _HOT = 1, 2, 4, 8
 
 
-def _pairs(found: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (anchor, body) in ascending order, which one each segment is, and their counts."""
-    both = np.empty(len(found.anchor), dtype=_PAIR)
-    both["anchor"], both["body"] = found.anchor, found.body
-    order = np.lexsort((found.body, found.anchor))
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in ascending order, which one each is, and their counts."""
+    both = np.empty(len(first), dtype=_PAIR)
+    both["anchor"], both["body"] = first, second
+    order = np.lexsort((both["body"], both["anchor"]))
     both = both[order]
     new = np.concatenate(([True], both[1:] != both[:-1])) if len(both) else np.zeros(0, bool)
     which = np.empty(len(both), dtype=np.int64)
@@ -219,6 +221,23 @@ def _pairs(found: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return both[new], which, np.bincount(which, minlength=int(new.sum()))
 
 
+def _pair_blobs(pairs: np.ndarray, chunk: int, buckets: int) -> pa.Table:
+    """As chunks.blobs, of ascending pairs."""
+    edges = chunks.cuts(pairs["anchor"], buckets)
+    some = np.flatnonzero(edges[1:] > edges[:-1])
+    return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array(np.full(len(some), chunk), pa.int32()), "data": pa.array([pairs[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary())})
+
+
+def _counted_pairs(table: pa.Table) -> pa.Table:
+    """Per blob a byte for each of its pairs: 1 if another chunk sent it, too."""
+    parts = [np.frombuffer(x.as_buffer(), dtype=_PAIR) for x in table.column("data")]
+    every = np.concatenate(parts)
+    _, which, times = _distinct(every["anchor"], every["body"])
+    code = (times > 1).astype(np.uint8)[which]
+    cuts = np.cumsum([0, *(len(p) for p in parts)])
+    return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "data": pa.array([code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+
+
 def _judge(hot: int):
     """Codes for the pairs of each blob."""
 
@@ -245,12 +264,12 @@ def _judge(hot: int):
 def _read(table: pa.Table, size: int):
     data, offsets = textbytes.flatten(table.column("text"))
     found = segments(data, offsets, size)
-    return data, offsets, found, *_pairs(found)
+    return data, offsets, found, *_distinct(found.anchor, found.body)
 
 
-def _windows(data: np.ndarray, start: int, windows: int, size: int) -> np.ndarray:
+def _windows(data: np.ndarray, start: int, windows: int, size: int, letters: np.ndarray) -> np.ndarray:
     """Hashes of the windows of one segment."""
-    return textbytes.rolling(_LETTER[data[start : start + windows - 1 + size]], size)
+    return textbytes.rolling(letters[data[start : start + windows - 1 + size]], size)
 
 
 def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = None, hot: int = HOT) -> DataFrame:
@@ -261,9 +280,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = No
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         pairs = _read(table, size)[3]
-        edges = chunks.cuts(pairs["anchor"], buckets)
-        some = np.flatnonzero(edges[1:] > edges[:-1])
-        return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array(np.full(len(some), key[0].as_py()), pa.int32()), "data": pa.array([pairs[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary())})
+        return _pair_blobs(pairs, key[0].as_py(), buckets)
 
     def speak(texts: pa.Table, answers: pa.Table) -> pa.Table:
         data, _, found, pairs, which, times = _read(texts, size)
@@ -273,8 +290,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = No
         take = np.flatnonzero((codes & _SEVERAL > 0) & (codes & _LEADS > 0) & (codes & _HOT == 0))
         bodies = [data[a : a + w - 1 + size].tobytes() for a, w in zip(found.start[one[take]], found.windows[one[take]])]
         chunk = texts.column("chunk")[0].as_py() if texts.num_rows else 0
-        hot_windows = np.unique(_hot_windows(data, found, codes[which], size)[0])
-        blobs = chunks.blobs(hot_windows, chunk, arrays)
+        blobs = _pair_blobs(_distinct(*_hot_windows(data, found, codes[which], size)[:2])[0], chunk, arrays)
         n, m = len(take), blobs.num_rows
         bucket = (pairs["anchor"][take] % np.uint64(arrays)).astype(np.int32)
         return pa.table(
@@ -293,7 +309,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = No
         """Covered bytes of the segments that occur once, from one suffix array per bucket; and counts of hot windows."""
         kinds = table.column("kind").to_numpy()
         hot_rows, table = table.filter(pa.array(kinds == 2)), table.filter(pa.array(kinds == 1))
-        counted = chunks.counted(hot_rows, lambda n: np.minimum(n, 2)) if hot_rows.num_rows else hot_rows
+        counted = _counted_pairs(hot_rows) if hot_rows.num_rows else hot_rows
         none = pa.array(np.zeros(hot_rows.num_rows, np.int64))
         told = _reply(2, counted.column("bucket"), counted.column("chunk"), none, none, counted.column("data").to_pylist())
         if not table.num_rows:
@@ -327,8 +343,8 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = No
                 starts.append(part[:, 0] + found.start[one[first[a, b]]])
                 lengths.append(part[:, 1] - part[:, 0])
         if (codes & _HOT).any():
-            hashes, at = _hot_windows(data, found, codes[which], size)
-            _, group, many = np.unique(hashes, return_inverse=True, return_counts=True)
+            *hashes, at = _hot_windows(data, found, codes[which], size)
+            _, group, many = _distinct(*hashes)
             twice = (many > 1) | (chunks.gather(replies.filter(pa.array(kinds == 2))) > 0)
             starts.append(at[twice[group]])
             lengths.append(np.full(int(twice[group].sum()), size))
@@ -352,11 +368,12 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, how: chunks.Deal | None = No
     return placed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(chunks.tidy(remove), SCHEMA)
 
 
-def _hot_windows(data: np.ndarray, found: Segments, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _hot_windows(data: np.ndarray, found: Segments, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of the windows of hot segments, and where they start."""
     hot = np.flatnonzero(codes & _HOT)
-    hashes = [_windows(data, int(found.start[i]), int(found.windows[i]), size) for i in hot]
+    hashes = [[_windows(data, int(found.start[i]), int(found.windows[i]), size, letters) for i in hot] for letters in (_LETTER, _OTHER)]
     at = [found.start[i] + np.arange(found.windows[i]) for i in hot]
-    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *at])
+    return *(np.concatenate([np.zeros(0, np.uint64), *h]) for h in hashes), np.concatenate([np.zeros(0, np.int64), *at])
 
 
 def _reply(kind: int, bucket, chunk, anchor, body, data: list[bytes]) -> pa.Table:
