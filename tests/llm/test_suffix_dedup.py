@@ -51,10 +51,47 @@ def test_edges(spark):
     assert S.suffix_dedup(frame.limit(0), 40).collect() == []
 
 
+@pytest.mark.parametrize("hot", [S.HOT, 1])
+def test_groups(spark, hot):
+    """Every occurrence of every repeated window lies in a group; members are equal and no group has one only."""
+    rng = random.Random(3)
+    parts = ["".join(rng.choice("ab é") for _ in range(70)) for _ in range(5)]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([1, 2, 3]))) + rng.choice(["", str(i)]) for i in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [t.encode() for t in texts]
+    places = defaultdict(set)
+    for d, t in enumerate(raw):
+        for i in range(len(t) - 39):
+            places[t[i : i + 40]].add((d, i))
+    groups = defaultdict(list)
+    for r in S.repeat_groups(frame, 40, hot=hot).collect():
+        groups[r.repeat, r.length].append((r.doc_id, r.start))
+    met = defaultdict(set)
+    for (_, length), members in groups.items():
+        assert len(members) == len(set(members)) > 1
+        strings = {raw[d][i : i + length] for d, i in members}
+        assert len(strings) == 1 and len(strings.pop()) == length
+        for d, i in members:
+            for j in range(length - 39):
+                met[raw[d][i + j : i + j + 40]].add((d, i + j))
+    assert met == {w: p for w, p in places.items() if len(p) > 1}
+
+
+def test_nothing_goes_without_the_arrays(spark, monkeypatch):
+    """Equal segments only carry verdicts: the tree's intervals are all that is removed."""
+    table = S.pa.table({"kind": S.pa.array([1, 1, 3], S.pa.int32()), "bucket": S.pa.array([0] * 3, S.pa.int32()), "chunk": S.pa.array([0, 1, 2], S.pa.int32()), "anchor": [5, 5, 0], "body": [6, 6, 0], "again": [True, True, False], "data": [b"q" * 30 + b"xyz" * 9, b"q" * 30 + b"xyz" * 9, S.np.array([(5, 6)], dtype=S._PAIR).tobytes()]})
+    assert [r["data"] for r in S._scan(table, 40).to_pylist() if r["kind"] == 3] == [b"\1"]
+    other = table.set_column(6, "data", S.pa.array([b"q" * 30 + b"xyz" * 9, b"r" * 30 + b"zyx" * 9, table.column("data")[2].as_py()]))
+    assert [r["data"] for r in S._scan(other, 40).to_pylist() if r["kind"] == 3] == [b"\0"]
+    monkeypatch.setattr(S.SuffixArray, "repeats", lambda self, least: iter(()))
+    assert [r["data"] for r in S._scan(table, 40).to_pylist() if r["kind"] == 3] == [b"\0"]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_maximal_repeats(seed):
     rng = random.Random(seed)
     strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 6))]
+    strings += [rng.choice(strings), rng.choice(strings) + rng.choice(strings)]
     joined = b"".join(strings)
     starts = [sum(map(len, strings[:k])) for k in range(len(strings))]
     found = defaultdict(set)
@@ -72,3 +109,6 @@ def test_maximal_repeats(seed):
             expected.add((text, frozenset(starts[k] + i for k, i in where)))
     out = {(joined[p[0] : p[0] + n], frozenset(p.tolist())) for n, p in S.SuffixArray(strings).repeats(2)}
     assert out == expected
+    for least in (5, 9, 20):  # arrays that sort no more than the wanted suffixes
+        some = {(joined[p[0] : p[0] + n], frozenset(p.tolist())) for n, p in S.SuffixArray(strings, least).repeats(least)}
+        assert some == {(s, p) for s, p in expected if len(s) >= least}
