@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 
 from tidemark.llm import line_dedup as L
+from tidemark.llm.chunks import Deal
 from tidemark.llm.cuckoo import CuckooFilter
 
 
@@ -51,6 +52,19 @@ def test_very_long_texts(spark):
     assert got(L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shards=5)) == sorted(brute(rows), key=str)
 
 
+def test_hot_ids(spark):
+    """A third of all rows without an id, another third with one: both are spread over the chunks."""
+    own = lambda i: "\n".join([f"line number {i % 40} of the boilerplate", f"another line, number {i % 7}", f"own line of document number {i}"])
+    rows = [(i if i % 3 == 0 else 7 if i % 3 == 1 else None, own(i)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    how = Deal(16, 4, 8)
+    assert got(L.line_dedup(frame, how=how)) == sorted(brute(rows), key=str)
+    assert got(L.line_dedup(frame, how=how, filter_bytes=0)) == sorted(brute(rows), key=str)
+    passed = L.lookup(L.line_refs(frame, how=how), L.active(L.totals(L.line_refs(frame)), 4))
+    times = dict(passed.where("doc_id is null").groupBy("chunk").count().collect())
+    assert len(times) == 16 and max(times.values()) < 0.15 * sum(times.values())
+
+
 def test_empty(spark):
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

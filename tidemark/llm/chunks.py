@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 try:
@@ -47,10 +47,13 @@ def deal(docs: DataFrame, text: str = "text", chunk_bytes: int = 3 << 20, bucket
     return Deal(chunks, max(1, math.ceil(total / bucket)), parts)
 
 
-def dealt(docs: DataFrame, how: Deal, *columns: str) -> DataFrame:
+def chunk_of(how: Deal) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(how.chunks)).cast("int").alias("chunk")
+
+
+def dealt(docs: DataFrame, how: Deal, *columns: str | Column) -> DataFrame:
     """The rows with their chunk; every later step on chunks reuses this one exchange of the texts."""
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(how.chunks)).cast("int").alias("chunk")
-    return docs.select(*columns, chunk).repartition(how.parts, "chunk")
+    return docs.select(*columns, chunk_of(how)).repartition(how.parts, "chunk")
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

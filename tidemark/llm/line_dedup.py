@@ -7,13 +7,15 @@ Each shard has a cuckoo filter of its active keys. A lookup goes to the filters
 document while all filters fit FILTER_BYTES, else in the key's shard - and only what they let pass travels to the exact
 table, keys that many documents hold in parts. When documents come or go, only their keys are counted again, keys that
 cross the limit are inserted into the filter or deleted from it, and `affected` names the documents whose text changes;
-decisions are as if the index had been built anew.
+decisions are as if the index had been built anew. Keys that drop meet the texts chunk by chunk (a hash of doc_id and
+text), so many rows without an id, or with one, are spread, and a task gets no more keys than its chunk has lines.
 
 Decision: an active key loses all its lines but those in the largest doc_id that holds it.
 
 Defined results: null and empty texts are one empty line; keys under `min_chars` code points never drop; rows that
 repeat a doc_id count as documents of their own and get the same decision; a row without a doc_id counts, and drops
-its active lines if any holder has an id; an empty table gives an empty table; other columns are ignored.
+its active lines if any holder has an id; an empty table gives an empty table; other columns are ignored. A very long
+text or line is read whole, in one task.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from tidemark.llm.substring_dedup import sha256
 
 MIN_CHARS, MIN_DOCS = 20, 3
 REFS = "hi long, lo long, doc_id long, n long"
+PLACED = f"{REFS}, chunk int"
 STATE = "shard int, filter binary, hi binary, lo binary, last binary"
 #: Filters of at most so many bytes are broadcast, about 25 million active keys; beyond that each shard probes its own.
 FILTER_BYTES = 64 << 20
@@ -56,24 +59,30 @@ def _lines(text) -> list[bytes]:
     return (b"" if raw is None else raw.to_pybytes()).split(b"\n")
 
 
-def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS, filters: Broadcast | None = None) -> DataFrame:
-    """One reference (n = 1) for each row and distinct key in it; of keys that the filters let pass, if there are any."""
+def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS, filters: Broadcast | None = None, how: chunks.Deal | None = None) -> DataFrame:
+    """One reference (n = 1) for each row and distinct key in it; of keys that the filters let pass, if there are any. With
+    `how` the row's chunk goes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for table in chunks.slices(pa.Table.from_batches([batch])):
                 hi, lo, owner = [], [], []
-                for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text")):
+                for i, text in enumerate(table.column("text")):
                     for key in {line_key(x, min_chars) for x in _lines(text)} - {None}:
                         hi.append(key[0])
                         lo.append(key[1])
-                        owner.append(doc)
-                refs = pa.table({"hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "doc_id": pa.array(owner, pa.int64()), "n": pa.array(np.ones(len(hi), np.int64))})
+                        owner.append(i)
+                owners = table.drop_columns("text").take(pa.array(owner, pa.int64()))
+                refs = pa.table({"hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "doc_id": owners.column("doc_id"), "n": pa.array(np.ones(len(hi), np.int64))})
+                if how is not None:
+                    refs = refs.append_column("chunk", owners.column("chunk"))
                 if filters is not None:
                     refs = refs.filter(pa.array(filters.value.contains(refs.column("hi").to_numpy(), refs.column("lo").to_numpy())))
                 yield from refs.to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, REFS)
+    if how is None:
+        return docs.select("doc_id", "text").mapInArrow(run, REFS)
+    return docs.select("doc_id", "text", chunks.chunk_of(how)).mapInArrow(run, PLACED)
 
 
 def merge_refs(refs: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
@@ -167,62 +176,74 @@ def broadcast_filters(states: DataFrame, shards: int, most: int = FILTER_BYTES)
 
 def probed(refs: DataFrame, states: DataFrame, shards: int) -> DataFrame:
     """The references that the filters let pass, each probed in its shard."""
-    salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(SALTS)).cast("int").alias("salt")
-    asked = refs.select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), salt, "hi", "lo", "doc_id", "n")
+    salt = F.pmod(F.xxhash64(*refs.columns), F.lit(SALTS)).cast("int").alias("salt")
+    own = refs.columns
+    asked = refs.select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), salt, *own)
     spread = states.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
     def probe(asked: pa.Table, state: pa.Table) -> pa.Table:
-        out = asked.select(["hi", "lo", "doc_id", "n"])
+        out = asked.select(own)
         if not state.num_rows or not asked.num_rows:
             return out.slice(0, 0)
         filter_ = CuckooFilter.load(state.column("filter")[0].as_py())
         return out.filter(pa.array(filter_.contains(out.column("hi").to_numpy(), out.column("lo").to_numpy())))
 
-    return asked.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(chunks.tidy(probe), REFS)
+    return asked.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(chunks.tidy(probe), refs.schema)
 
 
 def lookup(passed: DataFrame, exact: DataFrame) -> DataFrame:
-    """The (doc_id, hi, lo) whose lines drop, of references that the filters let pass, by the exact table's active keys."""
+    """The (doc_id, hi, lo) whose lines drop, with their chunk if they have one, of references that the filters let pass, by
+    the exact table's active keys."""
     key = F.struct("hi", "lo").alias("key")
     keys = exact.select(key, "last", "n_docs")
     hot = hot_keys(keys, "key", "n_docs", keys.agg(F.sum("n_docs")).first()[0])
-    found = spread_join(passed.select("doc_id", key), keys.select("key", "last"), "key", hot, "inner")
-    return found.where(F.col("last").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))).select("doc_id", "key.hi", "key.lo")
-
-
-def drop_lines(docs: DataFrame, dropped: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_text of every row, and its other columns in the struct `row`."""
-    per = dropped.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
-    rows = docs.select("doc_id", "text", others(docs)).join(per, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "row", "gone")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for table in chunks.slices(pa.Table.from_batches([batch])):
-                n_lines, n_dropped, kept_text = [], [], []
-                for text, gone in zip(table.column("text"), table.column("gone").to_pylist()):
-                    lines = _lines(text)
-                    kept = lines
-                    if gone:
-                        keys = {(g["hi"], g["lo"]) for g in gone}
-                        kept = [x for x in lines if line_key(x, min_chars) not in keys]
-                    n_lines.append(len(lines))
-                    n_dropped.append(len(lines) - len(kept))
-                    kept_text.append(b"\n".join(kept).decode())
-                columns = {"doc_id": table.column("doc_id"), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_text": pa.array(kept_text, pa.string()), "row": table.column("row")}
-                yield from pa.table(columns).to_batches()
+    own = [c for c in passed.columns if c in ("doc_id", "chunk")]
+    found = spread_join(passed.select(*own, key), keys.select("key", "last"), "key", hot, "inner")
+    return found.where(F.col("last").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))).select(*own, "key.hi", "key.lo")
+
+
+def placed_keys(docs: DataFrame, dropped: DataFrame, how: chunks.Deal, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The (doc_id, hi, lo) that drop, in the chunks whose rows hold them."""
+    of = dropped.select("hi", "lo", F.col("doc_id").alias("of"))
+    refs = line_refs(docs, min_chars, how=how)
+    same = (refs["hi"] == of["hi"]) & (refs["lo"] == of["lo"]) & refs["doc_id"].eqNullSafe(of["of"])
+    return refs.join(of, same, "left_semi").select("doc_id", "chunk", "hi", "lo")
+
+
+def drop_lines(docs: DataFrame, dropped: DataFrame, min_chars: int = MIN_CHARS, how: chunks.Deal | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_text of every row, and its other columns in the struct `row`. `dropped` has the keys'
+    chunks, dealt as in `how`, or they are looked up."""
+    how = how or chunks.deal(docs)
+    keys = dropped if "chunk" in dropped.columns else placed_keys(docs, dropped, how, min_chars)
+    rows = chunks.dealt(docs, how, "doc_id", "text", others(docs))
+
+    def run(texts: pa.Table, keys: pa.Table) -> pa.Table:
+        gone: dict[int | None, set[tuple[int, int]]] = {}
+        for doc, *key in zip(*(keys.column(c).to_pylist() for c in ("doc_id", "hi", "lo"))):
+            gone.setdefault(doc, set()).add(tuple(key))
+        n_lines, n_dropped, kept_text = [], [], []
+        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text")):
+            lines = kept = _lines(text)
+            if doc in gone:
+                kept = [x for x in lines if line_key(x, min_chars) not in gone[doc]]
+            n_lines.append(len(lines))
+            n_dropped.append(len(lines) - len(kept))
+            kept_text.append(b"\n".join(kept).decode())
+        return pa.table({"doc_id": texts.column("doc_id"), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_text": pa.array(kept_text, pa.string()), "row": texts.column("row")})
 
     schema = T.StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept_text string").add("row", rows.schema["row"].dataType)
-    return rows.mapInArrow(run, schema)
+    return rows.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(chunks.tidy(run), schema)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None, filter_bytes: int = FILTER_BYTES, how: chunks.Deal | None = None) -> DataFrame:
     """Build the index over the documents and apply its decisions to them."""
-    shards = shards or chunks.deal(docs).buckets
+    how = how or chunks.deal(docs)
+    shards = shards or how.buckets
     exact = written(active(totals(line_refs(docs, min_chars)), shards, min_docs), "active_lines")
     states = written(build(exact), "line_filters")
     filters = broadcast_filters(states, shards, filter_bytes)
-    passed = line_refs(docs, min_chars, filters) if filters is not None else probed(line_refs(docs, min_chars), states, shards)
-    return drop_lines(docs, lookup(passed, exact), min_chars)
+    passed = line_refs(docs, min_chars, filters, how) if filters is not None else probed(line_refs(docs, min_chars, how=how), states, shards)
+    return drop_lines(docs, lookup(passed, exact), min_chars, how)
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
