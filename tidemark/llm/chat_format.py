@@ -16,7 +16,8 @@ unescaping takes one away, so both are exact inverses and other text stays as it
 
 Defined results: turns are ordered by (turn, role, text), so ties have one order and repeated rows stay repeated turns;
 null text or role is empty; rows without a conv_id form one conversation without an id; an empty table gives an empty
-one; other columns are ignored. A conversation is one string of output, so its rows meet in one task by definition.
+one; other columns are ignored. A conversation is one string of output, so its rows meet in one task by definition. A
+conversation that is not recovered from its formatted text is an error, not a row.
 """
 
 from __future__ import annotations
@@ -79,6 +80,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     safe = F.array_join(F.transform("source", lambda t: _render(t["role"], escape(t["text"]))), "")
     hit = F.exists("source", lambda t: t["text"].rlike(ESCAPE))
     out = _round_trip(grouped.select("conv_id", source.alias("source")).withColumn("escaped", hit), safe)
+    differs = F.raise_error(F.concat(F.lit("conversation not recovered from its formatted text: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    out = out.withColumn("formatted", F.when("identical", F.col("formatted")).otherwise(differs))
     before, after = (len(x) for x in _MARKS["assistant"])
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
 
