@@ -81,7 +81,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     hit = F.exists("source", lambda t: t["text"].rlike(ESCAPE))
     out = _round_trip(grouped.select("conv_id", source.alias("source")).withColumn("escaped", hit), safe)
     differs = F.raise_error(F.concat(F.lit("conversation not recovered from its formatted text: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
-    out = out.withColumn("formatted", F.when("identical", F.col("formatted")).otherwise(differs))
+    out = out.withColumn("formatted", F.when(F.col("identical"), F.col("formatted")).otherwise(differs))
     before, after = (len(x) for x in _MARKS["assistant"])
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
 
