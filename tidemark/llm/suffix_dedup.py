@@ -150,9 +150,16 @@ class SuffixArray:
         place. Returns the places of those still equal."""
         sub = self.order[places]
         follows = np.where(self.left[sub] > size, self.levels[-1][1][np.minimum(sub + size, len(rank) - 1)] + 1, 0)
-        key = rank[sub].astype(np.int64) * (len(rank) + 1) + follows
-        by = np.argsort(key)
-        sub, key = sub[by], key[by]
+        bits = len(rank).bit_length()
+        key = rank[sub].astype(np.int64) << bits | follows
+        if 3 * bits < 64:  # numbers that carry their place sort faster than places by numbers
+            key = key << bits | np.arange(len(key))
+            key.sort()
+            by, key = key & ((1 << bits) - 1), key >> bits
+        else:
+            by = np.argsort(key)
+            key = key[by]
+        sub = sub[by]
         self.order[places] = sub
         new = np.ones(len(sub), dtype=bool)
         new[1:] = key[1:] != key[:-1]
