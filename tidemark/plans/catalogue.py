@@ -231,7 +231,8 @@ def mint_by_assets(spark, sf):
 @query(f"SELECT slot_no, block_no, tx_index, abs(quantity) AS burn_amount FROM mint WHERE policy_id = {POLICY} AND quantity < 0 AND slot_no <= {AT} AND slot_no >= (SELECT min(slot_no) FROM mint WHERE policy_id = {POLICY})", "mint")
 def burn_by_policy_bounds(spark, sf):
     rows = fx.mint(spark, sf)
-    first = rows.where(F.col("policy_id") == POLICY).agg(F.min("tx_id")).first()[0]
+    # without an event by then there is no first one to start from, and no row
+    first = generic.until(rows, AT).where(F.col("policy_id") == POLICY).agg(F.min("tx_id")).first()[0]
     out = domain.asset_events(rows, POLICY, None, "burn", AT, first, AT)
     return out.select("slot_no", "block_no", "tx_index", F.abs("quantity").alias("burn_amount"))
 
