@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,13 +10,25 @@ def _seq(rows: DataFrame) -> list[str]:
     return ["seq"] if "seq" in rows.columns else []
 
 
+def heads(blocks: DataFrame) -> DataFrame:
+    """One row per block: of those that a block may come as, the first."""
+    return blocks.where(F.coalesce("first_tx", F.lit(0)) == 0) if "first_tx" in blocks.columns else blocks
+
+
+def count_heads() -> Column:
+    """How many blocks the rows of a stream have."""
+    return F.count_if((F.col("op") == "INDEX") & (F.coalesce("block.first_tx", F.lit(0)) == 0))
+
+
 def block_info(blocks: DataFrame) -> DataFrame:
-    return blocks.select("slot_no", "block_hash", "block_no", F.floor("block_time").cast("bigint").alias("block_timestamp"), "epoch_no", *_seq(blocks))
+    return heads(blocks).select("slot_no", "block_hash", "block_no", F.floor("block_time").cast("bigint").alias("block_timestamp"), "epoch_no", *_seq(blocks))
 
 
 def transactions(blocks: DataFrame) -> DataFrame:
     """A row per transaction with its index in the block."""
-    return blocks.select(*_seq(blocks), "slot_no", "block_hash", "block_no", F.posexplode("txs").alias("tx_index", "tx")).withColumn("tx_index", F.col("tx_index").cast("bigint"))
+    before = F.coalesce("first_tx", F.lit(0)) if "first_tx" in blocks.columns else F.lit(0)
+    rows = blocks.select(*_seq(blocks), "slot_no", "block_hash", "block_no", before.cast("bigint").alias("_before"), F.posexplode("txs").alias("tx_index", "tx"))
+    return rows.withColumn("tx_index", F.col("tx_index") + F.col("_before")).drop("_before")
 
 
 def outputs(txs: DataFrame) -> DataFrame:

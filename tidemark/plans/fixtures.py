@@ -50,11 +50,14 @@ def block_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("slot_no", number.alias("block_no"), (F.col("slot_no") * 86400 + 788918400).alias("block_timestamp"), F.floor(F.col("slot_no") / EPOCH_SLOTS).cast("bigint").alias("epoch_no"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
+def _lines(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """A row per line with the slot of its order; `orders` (tx_id, slot_no and more) may bring more of it."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate").repartition("l_orderkey")  # dealt once, for all that goes by order
     per = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("address"), F.min("l_partkey").alias("part"), F.sum("l_quantity").alias("value"), F.min("l_returnflag").alias("flag"), F.max("l_shipdate").alias("shipped"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return per.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("tx_id"), F.col("l_linenumber").alias("tx_ix"), "address", "part", "value", "flag", _day("shipped", EPOCH).alias("spent_slot"), _day("o_orderdate", EPOCH).alias("slot_no"))
+    if orders is None:
+        orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_id"), _day("o_orderdate", EPOCH).alias("slot_no"))
+    lines = per.select(F.col("l_orderkey").alias("tx_id"), F.col("l_linenumber").alias("tx_ix"), "address", "part", "value", "flag", _day("shipped", EPOCH).alias("spent_slot"))
+    return lines.join(orders, "tx_id")
 
 
 def utxo(spark: SparkSession, sf_dir: str) -> DataFrame:

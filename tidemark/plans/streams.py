@@ -16,24 +16,31 @@ from tidemark.streaming.ingest import TABLES, Ingest, Settings
 from tidemark.streaming.scans import Scan
 
 
-def recorded(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
-    """The event chain with its rollbacks as a recorded log of so many files in order of arrival; its folder."""
+def recorded(spark: SparkSession, sf_dir: str, count: int = 4) -> tuple[str, int]:
+    """The event chain with its rollbacks as a recorded log of so many parts in order of arrival; its folder, and the files of a
+    part."""
     log, blocks = fx.log(spark, sf_dir), fx.blocks(spark, sf_dir)
     n = F.col("b.slot_no")
-    block = F.struct(n.alias("slot_no"), "b.block_hash", "b.block_no", "b.epoch_no", F.col("b.ts").cast("double").alias("block_time"), F.col("b.block_no").alias("tip_block_no"), F.lit(None).cast(f"array<{schemas.TX}>").alias("txs"))
+    block = F.struct(n.alias("slot_no"), "b.block_hash", "b.block_no", "b.epoch_no", F.col("b.ts").cast("double").alias("block_time"), F.col("b.block_no").alias("tip_block_no"), F.lit(None).cast(f"array<{schemas.TX}>").alias("txs"), F.lit(0).cast("bigint").alias("first_tx"))
     rows = log.alias("l").join(blocks.alias("b"), F.col("l.slot_no") == n, "left")
     rows = rows.select("l.seq", "l.op", "l.to_slot", F.when(F.col("l.op") == "INDEX", block).alias("block"))
     folder = new_folder(spark, "log")
     rows.write.parquet(f"{folder}/all")
-    chain.write_in_order(chain.read_log(spark, f"{folder}/all"), f"{folder}/log", files)
-    return f"{folder}/log"
+    return f"{folder}/log", chain.write_in_order(spark, f"{folder}/all", f"{folder}/log", count)
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded log as a stream, a part a batch."""
+    folder, each = recorded(spark, sf_dir)
+    return chain.stream_log(spark, folder, files_per_batch=each)
 
 
 @query("SELECT slot_no, block_no FROM valid", "valid")
 def stream_ingest_availablenow(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "ingest")
     ingest = Ingest(spark, root, TABLES[:1], Settings(depth=DEPTH))
-    ingest.start(chain.stream_log(spark, recorded(spark, sf_dir), files_per_batch=100), f"{root}/_checkpoint").awaitTermination()
+    folder, each = recorded(spark, sf_dir)
+    ingest.start(chain.stream_log(spark, folder, files_per_batch=100 * each), f"{root}/_checkpoint").awaitTermination()
     return ingest.table("block_info").select("slot_no", "block_no")
 
 
@@ -59,14 +66,14 @@ def stream_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "delayed")
     ingest = Ingest(spark, f"{root}/tables", TABLES[:1], Settings(depth=DEPTH))
     delay = Delay(spark, f"{root}/held", DEPTH, lambda rows, number: ingest.process(rows, number))
-    delay.start(chain.stream_log(spark, recorded(spark, sf_dir), files_per_batch=1), f"{root}/_checkpoint").awaitTermination()
+    delay.start(_stream(spark, sf_dir), f"{root}/_checkpoint").awaitTermination()
     return ingest.table("block_info").select("slot_no", "block_no")
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "scan")
     scan = Scan(spark, root, DEPTH, "cast(block_time as bigint) % 1000")
-    scan.start(chain.stream_log(spark, recorded(spark, sf_dir), files_per_batch=1), f"{root}/_checkpoint").awaitTermination()
+    scan.start(_stream(spark, sf_dir), f"{root}/_checkpoint").awaitTermination()
     return scan.rows()
 
 

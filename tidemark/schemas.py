@@ -13,7 +13,9 @@ TX = (
     "mint: array<struct<policy_id: string, asset_name: string, quantity: decimal(38,0)>>, "
     "redeemers: array<struct<ix: int, redeemer_hash: string, redeemer: string>>>"
 )
-_BLOCK = {"slot_no": "bigint", "block_hash": "string", "block_no": "bigint", "epoch_no": "bigint", "block_time": "double", "tip_block_no": "bigint", "txs": f"array<{TX}>"}
+_BLOCK = {"slot_no": "bigint", "block_hash": "string", "block_no": "bigint", "epoch_no": "bigint", "block_time": "double", "tip_block_no": "bigint", "txs": f"array<{TX}>", "first_tx": "bigint"}
+#: A block with many transactions comes as several rows with one `seq`, alike but for `txs` and for `first_tx`, the place in the
+#: block of their first transaction; the row with 0 (or null) stands for the block.
 BLOCK = ", ".join(f"{n} {t}" for n, t in _BLOCK.items())
 #: A recorded stream: a block for INDEX, a slot to go back to for ROLLBACK.
 STREAM = f"seq bigint, op string, to_slot bigint, block struct<{', '.join(f'{n}: {t}' for n, t in _BLOCK.items())}>"

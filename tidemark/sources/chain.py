@@ -38,11 +38,24 @@ def stream_log(spark: SparkSession, path: str, files_per_batch: int = 100) -> Da
     return spark.readStream.schema(schemas.STREAM).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def write_in_order(rows: DataFrame, folder: str, count: int) -> None:
-    """A log as so many files, one after the other in order of arrival: a stream takes files in the order in which they came."""
+#: Bytes of a recorded log that make a file of their own, about.
+FILE_BYTES = 32 << 20
+
+
+def write_in_order(spark: SparkSession, source: str, folder: str, count: int, file_bytes: int = FILE_BYTES) -> int:
+    """A recorded log in so many parts, one after the other in order of arrival, each of as many files as its size asks for; that
+    number. A stream takes files in the order in which they came, so that many files a batch make a part a batch."""
+    rows = read_log(spark, source)
     most = rows.agg(F.max("seq")).first()[0] or 0
+    each = max(1, -(-files.size(spark, source) // (count * file_bytes)))
     for i in range(count):
-        rows.where(F.floor(F.col("seq") * count / F.lit(most + 1)) == i).coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(folder)
+        before = len(files.listed(spark, folder, ".parquet"))
+        part = rows.where((F.col("seq") * count >= i * (most + 1)) & (F.col("seq") * count < (i + 1) * (most + 1)))
+        # by all that tells rows apart: those of a large block are dealt, too
+        part.repartition(each, "seq", "block.first_tx").write.mode("append").parquet(folder)
+        for _ in range(before + each - len(files.listed(spark, folder, ".parquet"))):  # there are no files of nothing
+            spark.createDataFrame([], schemas.STREAM).repartition(1).write.mode("append").parquet(folder)
+    return each
 
 
 def forward_only(log: DataFrame) -> DataFrame:

@@ -66,10 +66,11 @@ def resumed(spark, folder: str, prefix: str, stable_slot: int | None) -> DataFra
 
 def write_range(log: DataFrame, low: int, high: int, folder: str) -> None:
     """The canonical blocks low..high of a recorded log to folder/blocks, and the one before them to folder/before."""
-    flat = log.select("seq", "op", "to_slot", F.col("block.slot_no").alias("slot_no"), F.col("block.block_no").alias("block_no"), "block")
-    valid = valid_rows(flat)
+    head = F.coalesce("block.first_tx", F.lit(0)) == 0
+    flat = log.where(head).select("seq", "op", "to_slot", F.col("block.slot_no").alias("slot_no"), F.col("block.block_no").alias("block_no"))
+    valid = valid_rows(flat)  # positions only; their blocks, in however many rows, meet them afterwards
     for name, rows in (("blocks", in_block_range(valid, low, high)), ("before", just_before_range(valid, low))):
-        rows.select("block.*").sortWithinPartitions("slot_no").write.mode("overwrite").parquet(f"{folder}/{name}")
+        log.where("op = 'INDEX'").join(rows.select("seq"), "seq", "left_semi").select("block.*").sortWithinPartitions("slot_no", "first_tx").write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def line_writer(folder: str):

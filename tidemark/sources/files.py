@@ -34,6 +34,12 @@ def listed(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
     return sorted(found)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """The bytes of a file or of all files of a folder."""
+    where, system = _at(spark, path)
+    return system.getContentSummary(where).getLength()
+
+
 def signature(spark: SparkSession, path: str) -> str:
     """The sizes and times of a file or of the files of a folder."""
     where, system = _at(spark, path)

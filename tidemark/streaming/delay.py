@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators import changelog
+from tidemark.operators import changelog, extract
 from tidemark.sources import files
 from tidemark.streaming.commits import Commits
 
@@ -60,14 +60,14 @@ class Delay:
         try:
             is_ = lambda op: F.count_if(F.col("op") == op)
             back = F.min(F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1))))
-            seen = batch.agg(is_("INDEX").alias("blocks"), is_("ROLLBACK").alias("rollbacks"), is_("STOP").alias("stops"), back.alias("back")).first()
+            seen = batch.agg(extract.count_heads().alias("blocks"), is_("ROLLBACK").alias("rollbacks"), is_("STOP").alias("stops"), back.alias("back")).first()
             before, own = self._held(state), batch.where("op = 'INDEX'").select("seq", "block.*")
             valid = changelog.after_batch(before, own, batch, seen.rollbacks, seen.blocks).where("valid").select(*before.columns).persist()
-            held = valid.select("slot_no").orderBy(F.desc("slot_no")).limit(self.capacity)
+            held = extract.heads(valid).select("slot_no").orderBy(F.desc("slot_no")).limit(self.capacity)
             edge = held.agg(F.min("slot_no").alias("slot"), F.count("*").alias("many")).first()
             new = f"{state.batch + 1:012d}"
             kept = valid if edge.many < self.capacity else valid.where(F.col("slot_no") >= edge.slot)
-            kept.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{new}")
+            kept.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/{new}")
             on = valid.where(F.lit(False)) if edge.many < self.capacity else valid.where(F.col("slot_no") < edge.slot)
             span = on.agg(F.min("slot_no").alias("low"), F.max("slot_no").alias("high")).first()
             start, passed = state.number, state.passed
