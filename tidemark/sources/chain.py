@@ -28,9 +28,9 @@ from tidemark.sources import files
 T_ = TypeVar("T_")
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def read_log(spark: SparkSession, *path: str) -> DataFrame:
     """A recorded log as a batch: the whole stream at once."""
-    return spark.read.schema(schemas.STREAM).parquet(path)
+    return spark.read.schema(schemas.STREAM).parquet(*path)
 
 
 def stream_log(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
