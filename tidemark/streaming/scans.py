@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import changelog
+from tidemark.operators import changelog, extract
 from tidemark.operators.ordered import previous, scan
 from tidemark.sources import files
 from tidemark.streaming.commits import Commits
@@ -68,9 +68,9 @@ class Scan:
         try:
             is_ = lambda op: F.count_if(F.col("op") == op)
             back = F.min(F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1))))
-            seen = batch.agg(is_("INDEX").alias("blocks"), is_("ROLLBACK").alias("rollbacks"), back.alias("back")).first()
+            seen = batch.agg(extract.count_heads().alias("blocks"), is_("ROLLBACK").alias("rollbacks"), back.alias("back")).first()
             changelog.check_target(seen.back, state.stable)
-            flat = batch.where("op = 'INDEX'").select("seq", "block.*").withColumn("value", F.expr(self.value).cast("bigint"))
+            flat = extract.heads(batch.where("op = 'INDEX'").select("seq", "block.*")).withColumn("value", F.expr(self.value).cast("bigint"))
             own = flat.select("seq", "slot_no", "block_no", "tip_block_no", "epoch_no", "value")
             before = self._kept(state)
             valid = changelog.after_batch(before, own, batch, seen.rollbacks, seen.blocks).where("valid").select(*before.columns).persist()
@@ -84,8 +84,8 @@ class Scan:
             if last.many:
                 new.epoch, new.some = last.epoch, True
                 parts = [x for x in (state.total, last.total) if x is not None]
-                new.total = parts[0] if len(parts) == 1 else None if not parts else self.spark.range(1).select(self.combine(F.lit(parts[1]), F.lit(parts[0]))).first()[0]
-            valid.where(F.lit(stable is None) | (F.col("slot_no") > F.lit(stable).cast("bigint"))).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{new.kept}")
+                new.total = parts[0] if len(parts) == 1 else None if not parts else self.spark.range(1).select(self.combine(*(F.lit(x).cast("bigint") for x in reversed(parts)))).first()[0]
+            valid.where(F.lit(stable is None) | (F.col("slot_no") > F.lit(stable).cast("bigint"))).repartition(1).write.mode("overwrite").parquet(f"{self.root}/{new.kept}")
             self._commits.write(json.dumps(dataclasses.asdict(new)))
             if state.kept:
                 files.remove(self.spark, f"{self.root}/{state.kept}")
