@@ -24,10 +24,16 @@ def block_info(blocks: DataFrame) -> DataFrame:
     return heads(blocks).select("slot_no", "block_hash", "block_no", F.floor("block_time").cast("bigint").alias("block_timestamp"), "epoch_no", *_seq(blocks))
 
 
-def transactions(blocks: DataFrame) -> DataFrame:
-    """A row per transaction with its index in the block."""
+#: What the tables need of a transaction.
+OUTPUTS, INPUTS = ("tx_id", "script_valid", "outputs", "collateral_return"), ("tx_id", "script_valid", "inputs", "collateral_inputs")
+DATUMS, MINTS = ("witness_datums", "outputs"), ("tx_id", "mint", "redeemers")
+
+
+def transactions(blocks: DataFrame, *fields: str) -> DataFrame:
+    """A row per transaction with its index in the block; with only some of its fields, so that files are read for no others."""
+    txs = F.arrays_zip(*(f"txs.{f}" for f in fields)) if fields else F.col("txs")
     before = F.coalesce("first_tx", F.lit(0)) if "first_tx" in blocks.columns else F.lit(0)
-    rows = blocks.select(*_seq(blocks), "slot_no", "block_hash", "block_no", before.cast("bigint").alias("_before"), F.posexplode("txs").alias("tx_index", "tx"))
+    rows = blocks.select(*_seq(blocks), "slot_no", "block_hash", "block_no", before.cast("bigint").alias("_before"), F.posexplode(txs).alias("tx_index", "tx"))
     return rows.withColumn("tx_index", F.col("tx_index") + F.col("_before")).drop("_before")
 
 

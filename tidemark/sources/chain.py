@@ -45,16 +45,31 @@ FILE_BYTES = 32 << 20
 def write_in_order(spark: SparkSession, source: str, folder: str, count: int, file_bytes: int = FILE_BYTES) -> int:
     """A recorded log in so many parts, one after the other in order of arrival, each of as many files as its size asks for; that
     number. A stream takes files in the order in which they came, so that many files a batch make a part a batch."""
-    rows = read_log(spark, source)
-    most = rows.agg(F.max("seq")).first()[0] or 0
-    each = max(1, -(-files.size(spark, source) // (count * file_bytes)))
-    for i in range(count):
-        before = len(files.listed(spark, folder, ".parquet"))
-        part = rows.where((F.col("seq") * count >= i * (most + 1)) & (F.col("seq") * count < (i + 1) * (most + 1)))
-        # by all that tells rows apart: those of a large block are dealt, too
-        part.repartition(each, "seq", "block.first_tx").write.mode("append").parquet(folder)
-        for _ in range(before + each - len(files.listed(spark, folder, ".parquet"))):  # there are no files of nothing
-            spark.createDataFrame([], schemas.STREAM).repartition(1).write.mode("append").parquet(folder)
+    rows, each = read_log(spark, source), max(1, -(-files.size(spark, source) // (count * file_bytes)))
+    # by all that tells rows apart: those of a large block are dealt, too
+    return write_parts(rows, folder, count, lambda parts: parts.repartition(count * each, "_part", F.pmod(F.xxhash64("seq", "block.first_tx"), F.lit(each))), each)
+
+
+def write_parts(rows: DataFrame, folder: str, count: int, dealt: Callable[[DataFrame], DataFrame] = lambda parts: parts, least: int = 1, most: int | None = None) -> int:
+    """A log in so many parts, written in one pass by the tasks that have its rows; the files of a part, `least` or more.
+    `most` is the largest seq, if it is known. Files then move to the folder part by part, in the order of their times."""
+    spark = rows.sparkSession
+    most = (rows.agg(F.max("seq")).first()[0] or 0) if most is None else most
+    dealt(rows.withColumn("_part", F.expr(f"seq * {count} div {most + 1}L"))).write.partitionBy("_part").parquet(f"{folder}-parts")
+    made = [files.listed(spark, f"{folder}-parts/_part={i}", ".parquet") for i in range(count)]
+    each, moved, start = max(least, *map(len, made)), [], int(time.time() * 1000) - 1000 * count
+    for i, part in enumerate(made):
+        for n in range(each - len(part)):  # there are no files of nothing
+            spark.createDataFrame([], schemas.STREAM).repartition(1).write.parquet(f"{folder}-none/{i}-{n}")
+            part.append(files.listed(spark, f"{folder}-none/{i}-{n}", ".parquet")[0])
+        for n, path in enumerate(part):
+            moved.append(f"{folder}/{i:05d}-{n:05d}.parquet")
+            files.move(spark, path, moved[-1], start + 1000 * i)
+    times = [files.changed(spark, path) for path in moved]
+    if times != sorted(times):
+        raise OSError(f"the file system of {folder} keeps no order of files")
+    files.remove(spark, f"{folder}-parts")
+    files.remove(spark, f"{folder}-none")
     return each
 
 

@@ -40,6 +40,20 @@ def size(spark: SparkSession, path: str) -> int:
     return system.getContentSummary(where).getLength()
 
 
+def move(spark: SparkSession, path: str, to: str, millis: int) -> None:
+    """Renames a file, and gives it a time of change where the file system keeps that apart; a folder that lacks is made."""
+    (old, system), new = _at(spark, path), _at(spark, to)[0]
+    system.mkdirs(new.getParent())
+    if not system.rename(old, new):
+        raise OSError(f"{path} could not be renamed to {to}")
+    system.setTimes(new, millis, -1)
+
+
+def changed(spark: SparkSession, path: str) -> int:
+    where, system = _at(spark, path)
+    return system.getFileStatus(where).getModificationTime()
+
+
 def signature(spark: SparkSession, path: str) -> str:
     """The sizes and times of a file or of the files of a folder."""
     where, system = _at(spark, path)

@@ -55,10 +55,10 @@ class Table:
 
 TABLES = (
     Table("block_info", schemas.BLOCK_INFO, extract.block_info),
-    Table("utxo", schemas.UTXO, lambda b: extract.outputs(extract.transactions(b)), key="address"),
-    Table("spent", schemas.SPENT, lambda b: extract.inputs(extract.transactions(b)), spent_once, "tx_id"),
-    Table("datum", schemas.DATUM, lambda b: extract.datums(extract.transactions(b)), lambda rows: first_sighting(rows, "datum_hash", "datum"), "datum_hash"),
-    Table("mint", schemas.MINT, lambda b: extract.mints(extract.transactions(b)), key="policy_id"),
+    Table("utxo", schemas.UTXO, lambda b: extract.outputs(extract.transactions(b, *extract.OUTPUTS)), key="address"),
+    Table("spent", schemas.SPENT, lambda b: extract.inputs(extract.transactions(b, *extract.INPUTS)), spent_once, "tx_id"),
+    Table("datum", schemas.DATUM, lambda b: extract.datums(extract.transactions(b, *extract.DATUMS)), lambda rows: first_sighting(rows, "datum_hash", "datum"), "datum_hash"),
+    Table("mint", schemas.MINT, lambda b: extract.mints(extract.transactions(b, *extract.MINTS)), key="policy_id"),
 )
 
 
@@ -72,7 +72,7 @@ def epoch_tables(pool: str, ada: str) -> tuple[Table, ...]:
     newest = lambda c: F.max_by(c, "slot_no").alias(c)
 
     def parts(blocks: DataFrame) -> DataFrame:
-        outs = blocks.select("seq", "slot_no", "block_hash", "block_no", "epoch_no", F.explode("txs").alias("tx"))
+        outs = blocks.select("seq", "slot_no", "block_hash", "block_no", "epoch_no", F.explode(F.arrays_zip("txs.script_valid", "txs.outputs")).alias("tx"))
         outs = outs.select("*", F.explode("tx.outputs").alias("o")).where("tx.script_valid")
         sums = stake(outs.select("*", F.expr(pool).alias("pool_id"), F.expr(ada).alias("ada")), "seq", "slot_no", "block_hash", "block_no")
         return sums.agg(F.sum("ada").cast("decimal(38,0)").alias("lovelace"))
@@ -96,17 +96,22 @@ def configured(addresses: Sequence[str] = (), assets: Sequence[tuple] = (), scri
     """The tables with only the tracked addresses and assets (none listed: all), and with or without scripts."""
 
     def outputs(blocks: DataFrame) -> DataFrame:
-        rows = tracked_addresses(extract.outputs(extract.transactions(blocks)), list(addresses))
+        rows = tracked_addresses(extract.outputs(extract.transactions(blocks, *extract.OUTPUTS)), list(addresses))
         return rows if scripts else without_scripts(rows, "script", "script_hash")
 
     def mints(blocks: DataFrame) -> DataFrame:
-        rows = extract.mints(extract.transactions(blocks))
+        rows = extract.mints(extract.transactions(blocks, *extract.MINTS))
         return tracked_assets(rows, list(assets)) if assets else rows
 
     own = {"utxo": outputs, "mint": mints}
     return tuple(dataclasses.replace(t, rows=own.get(t.name, t.rows)) for t in TABLES)
 
 
+#: Rows of a batch that are kept in memory; more are written down once, and each table reads the columns that it needs.
+IN_MEMORY = 200_000
+#: Files of a merged run: with more rows files become larger, up to so many rows a file.
+RUN_FILES, FILE_ROWS = 512, 1_000_000
+
 _LIVE = "batch bigint, seq bigint, slot_no bigint, block_no bigint, tip_block_no bigint, epoch_no bigint"
 #: The positions of the blocks are a table like the others.
 _POSITIONS = Table("_positions", "slot_no bigint, block_no bigint, tip_block_no bigint, epoch_no bigint, arrival bigint", lambda b: extract.heads(b).select("slot_no", "block_no", "tip_block_no", "epoch_no", F.col("seq").alias("arrival"), "seq"))
@@ -118,7 +123,8 @@ class Settings:
 
     `actions` get the blocks of each batch, in as many rows as they came in, once its tables are committed, and again if the driver was lost before they were
     done. `prune_every` prunes to the stable point whenever it has moved on by so many slots. Hot rows are flushed every
-    `flush_every` batches and by batches of `flush_blocks` blocks; `merge` cold runs become one, in files of `file_rows`."""
+    `flush_every` batches and by batches of `flush_blocks` blocks; `merge` cold runs become one, in files of `file_rows`, or larger ones if they are over
+    RUN_FILES."""
 
     depth: int = 2160
     on_caught_up: Callable[[int], None] | None = None
@@ -185,6 +191,14 @@ class Ingest:
             if self.settings.actions and batch_id == state.sources[source] and state.acted < state.batch:
                 self._act(batch.where("op = 'INDEX'").select("seq", "block.*"))
             return
+        if batch.limit(IN_MEMORY + 1).count() > IN_MEMORY:
+            written = f"{self.root}/_batch"
+            try:
+                batch.write.mode("overwrite").parquet(written)
+                self._process(state, self.spark.read.schema(batch.schema).parquet(written), batch_id, source)
+            finally:
+                files.remove(self.spark, written)
+            return
         batch = batch.persist()
         try:
             self._process(state, batch, batch_id, source)
@@ -199,7 +213,7 @@ class Ingest:
             batch = batch.where((F.col("op") != "INDEX") | (F.col("block.slot_no") > old.stable)).withColumn("to_slot", F.when(again, F.greatest(F.coalesce("to_slot", F.lit(-1)), F.lit(old.stable))).otherwise(F.col("to_slot")))
         is_ = lambda op: F.count_if(F.col("op") == op)
         back = F.min(F.when(F.col("op") == "ROLLBACK", F.coalesce("to_slot", F.lit(-1))))
-        seen = batch.agg(is_("STOP").alias("stops"), extract.count_heads().alias("blocks"), is_("ROLLBACK").alias("rollbacks"), back.alias("back"), F.max("seq").alias("last")).first()
+        seen = batch.agg(is_("STOP").alias("stops"), extract.count_heads().alias("blocks"), is_("ROLLBACK").alias("rollbacks"), back.alias("back"), F.max("seq").alias("last"), F.count("*").alias("rows")).first()
         if seen.stops:
             raise StopIngest("the source asked to stop")
         if seen.rollbacks:
@@ -220,6 +234,7 @@ class Ingest:
             new.last = at.last if at.last is not None else old.stable
             if edge.slot is not None and (old.stable is None or edge.slot >= old.stable):
                 new.stable, new.epoch = edge.slot, edge.epoch
+            large = seen.blocks >= s.flush_blocks or seen.rows > IN_MEMORY
             flush = flush or len(old.hot) + 1 >= s.flush_every or seen.blocks >= s.flush_blocks
             name, final = f"{new.batch:012d}", F.coalesce(F.col("slot_no") <= _number(new.stable), F.lit(False))
             few = seen.rollbacks and lost.limit(1_000_001).count() <= 1_000_000  # 8 MB of numbers
@@ -234,7 +249,7 @@ class Ingest:
                 if t.folded is not None:
                     done = t.folded(out.where("final").drop("seq", "batch", "final")).withColumns({"seq": F.lit(None).cast("bigint"), "batch": F.lit(None).cast("bigint"), "final": F.lit(True)})
                     out = out.where("not final").unionByName(done.select(out.columns))
-                return out.hint("rebalance") if seen.blocks < s.flush_blocks else out
+                return out if large else out.hint("rebalance")
 
             work = [lambda t=t: rows(t).write.mode("overwrite").partitionBy("final").parquet(f"{self.root}/{t.name}/segment={name}") for t in (*self.tables, _POSITIONS)]
             # the stable position itself stays: it is where a rollback may go back to
@@ -273,7 +288,8 @@ class Ingest:
         rows = self._cold(t, dataclasses.replace(state, cold=runs))
         rows = rows if t.folded is None else t.folded(rows).select(*_names(t.schema))
         many = rows.count()
-        laid = layout.laid_out(rows, t.key, max(1, -(-many // self.settings.file_rows)), run.low, run.high)
+        each = max(self.settings.file_rows, min(FILE_ROWS, -(-many // RUN_FILES)))
+        laid = layout.laid_out(rows, t.key, max(1, -(-many // each)), run.low, run.high)
         where = f"{self.root}/{t.name}/segment={run.name}"
         laid.withColumns({"seq": F.lit(None).cast("bigint"), "batch": F.lit(None).cast("bigint"), "final": F.lit(True)}).write.mode("overwrite").partitionBy("final").parquet(where)
         written = self._parquet(t, [run.name])
