@@ -68,9 +68,19 @@ def write_range(log: DataFrame, low: int, high: int, folder: str) -> None:
     """The canonical blocks low..high of a recorded log to folder/blocks, and the one before them to folder/before."""
     head = F.coalesce("block.first_tx", F.lit(0)) == 0
     flat = log.where(head).select("seq", "op", "to_slot", F.col("block.slot_no").alias("slot_no"), F.col("block.block_no").alias("block_no"))
-    valid = valid_rows(flat)  # positions only; their blocks, in however many rows, meet them afterwards
-    for name, rows in (("blocks", in_block_range(valid, low, high)), ("before", just_before_range(valid, low))):
-        log.where("op = 'INDEX'").join(rows.select("seq"), "seq", "left_semi").select("block.*").sortWithinPartitions("slot_no", "first_tx").write.mode("overwrite").parquet(f"{folder}/{name}")
+    flat = flat.persist()  # positions only, a row a block; their blocks, in however many rows, meet them afterwards
+    try:
+        valid = valid_rows(flat)
+        for name, rows in (("blocks", in_block_range(valid, low, high)), ("before", just_before_range(valid, low))):
+            log.where("op = 'INDEX'").join(_seqs(rows), "seq", "left_semi").select("block.*").sortWithinPartitions("slot_no", "first_tx").write.mode("overwrite").parquet(f"{folder}/{name}")
+    finally:
+        flat.unpersist()
+
+
+def _seqs(rows: DataFrame) -> DataFrame:
+    """The numbers of some blocks, broadcast if they are 1,000,000 (8 MB) or fewer, so that the log is not shuffled for them."""
+    seqs = rows.select("seq")
+    return F.broadcast(seqs) if seqs.limit(1_000_001).count() <= 1_000_000 else seqs
 
 
 def line_writer(folder: str):
