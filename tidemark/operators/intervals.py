@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NODE = ["_level", "_node"]
+#: Keys that are asked for and fit a broadcast; points of a key that are looked through one by one, fewer than the nodes of a cover.
+ASKED_KEYS, ONE_BY_ONE = 1_000_000, 16
 
 
 def cover(low: Column, high: Column, levels: int) -> Column:
@@ -43,14 +45,29 @@ def _nodes(intervals: DataFrame, points: DataFrame, start: str, end: str, at: st
     return left, right
 
 
+def _asked(points: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """How many keys have points, and the points of the key that has most."""
+    found = points.groupBy(*keys).count().agg(F.count("*"), F.max("count")).first()
+    return found[0], found[1] or 0
+
+
 def stabbed(intervals: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str) -> DataFrame:
-    """Each point with each interval start..end (end left out, null: open) of its keys that holds it."""
+    """Each point with each interval start..end (end left out, null: open) of its keys that holds it. Where every key has few
+    points, they go to the intervals, which stay where they are; otherwise both meet in the nodes."""
+    many, most = _asked(points, keys)
+    if many <= ASKED_KEYS and most <= ONE_BY_ONE:
+        per_key = points.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in points.columns if c not in keys))).alias("_points"))
+        holds = lambda p: (F.col(start) <= p[at]) & (F.col(end).isNull() | (F.col(end) > p[at]))
+        rows = intervals.join(F.broadcast(per_key), keys).withColumn("_p", F.explode(F.filter("_points", holds)))
+        return rows.select(*keys, "_p.*", *(c for c in intervals.columns if c not in keys))
     left, right = _nodes(intervals, points, start, end, at)
     return right.join(left, [*keys, *_NODE]).drop(*_NODE)
 
 
 def stabbed_sums(intervals: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str, **sums: Column) -> DataFrame:
     """Each point with sums over the intervals that hold it; zero where there are none. Points that are alike are one row."""
+    if _asked(points, keys)[0] <= ASKED_KEYS:  # what nobody asks for is not taken apart
+        intervals = intervals.join(F.broadcast(points.select(*keys).distinct()), keys, "left_semi")
     left, right = _nodes(intervals, points.select(*keys, at).distinct(), start, end, at)
     per_node = left.groupBy(*keys, *_NODE).agg(*(F.sum(value).alias(name) for name, value in sums.items()))
     found = right.join(per_node, [*keys, *_NODE]).groupBy(*keys, at).agg(*(F.sum(name).alias(name) for name in sums))
