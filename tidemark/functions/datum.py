@@ -12,61 +12,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 8
+#: Data of a task: taking them apart is work for many tasks even where they lie in few blocks of files.
+ROWS = 10_000
 NOT_JSON, UNKNOWN, NOT_WHOLE, NOT_HEX, NOT_LIST, NOT_PAIRS, TOO_DEEP = "not JSON", "unknown form", "not a whole number", "not bytes in hexadecimal digits", "not a list", "not a list of pairs", "too deep"
 
 
-_NODE = "struct<path: array<int>, up: string, shut: array<string>, kind: string, value: string, error: string, v: variant, done: boolean>"
 _CONTAINERS = {"list": '{"list":[', "map": '{"map":['}
 
 
 def _taken_apart(level: DataFrame, keys: list[str]) -> DataFrame:
     """The nodes that are done, and in place of each that is not: itself, done, and its children."""
-    at = level.select(*keys, "n.*")
+    done, kind, fine = F.col("done"), F.col("_kind"), F.col("_error").isNull() & ~F.col("done")
     part = lambda name: F.try_element_at("_m", F.lit(name))
     form = F.array_join(F.array_sort(F.map_keys("_m")), ",")
     own = F.when(form.isin("int", "bytes", "list", "map"), form).when(form == "constructor,fields", "constructor")
-    at = at.withColumn("_m", F.when(~F.col("done"), F.try_variant_get("v", "$", "map<string,variant>"))).withColumn("_kind", own)
-    number = F.when(F.col("_kind") == "int", part("int")).when(F.col("_kind") == "constructor", part("constructor"))
-    many = F.when(F.col("_kind") == "list", part("list")).when(F.col("_kind") == "constructor", part("fields")).when(F.col("_kind") == "map", part("map"))
-    at = at.withColumns({"_number": number, "_many": many, "_bytes": F.when(F.col("_kind") == "bytes", part("bytes"))})
-    kind, text = F.col("_kind"), F.try_variant_get("_bytes", "$", "string")
+    at = level.withColumn("_m", F.when(~done, F.try_variant_get("v", "$", "map<string,variant>"))).withColumn("_kind", own)
+    number = F.when(kind == "int", part("int")).when(kind == "constructor", part("constructor"))
+    many = F.when(kind == "list", part("list")).when(kind == "constructor", part("fields")).when(kind == "map", part("map"))
+    at = at.withColumns({"_number": number, "_many": many, "_bytes": F.when(kind == "bytes", part("bytes"))})
+    at = at.withColumns({"_items": F.try_variant_get("_many", "$", "array<variant>"), "_pairs": F.when(kind == "map", F.try_variant_get("_many", "$", "array<map<string,variant>>"))})
+    text = F.try_variant_get("_bytes", "$", "string")
     whole = F.coalesce(F.schema_of_variant("_number").rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"), F.lit(False))
-    pairs = F.try_variant_get("_many", "$", "array<map<string,variant>>")
-    good = F.coalesce(F.forall(pairs, lambda p: F.array_join(F.array_sort(F.map_keys(p)), ",") == "k,v"), F.lit(False))
+    good = F.coalesce(F.forall("_pairs", lambda p: (F.size(p) == 2) & F.map_contains_key(p, "k") & F.map_contains_key(p, "v")), F.lit(False))
     error = (
-        F.when(F.col("v").isNull(), NOT_JSON)
+        F.when(done, F.col("error"))
+        .when(F.col("v").isNull(), NOT_JSON)
         .when(kind.isNull(), UNKNOWN)
         .when(kind.isin("int", "constructor") & ~whole, NOT_WHOLE)
         .when((kind == "constructor") & (F.try_variant_get("_number", "$", "decimal(38,0)") < 0), NOT_WHOLE)
         .when((kind == "bytes") & ~F.coalesce((F.schema_of_variant("_bytes") == "STRING") & text.rlike("^([0-9a-f]{2})*$"), F.lit(False)), NOT_HEX)
-        .when(kind.isin("list", "constructor", "map") & ~F.coalesce(F.schema_of_variant("_many").startswith("ARRAY"), F.lit(False)), NOT_LIST)
+        .when(kind.isin("list", "constructor", "map") & F.col("_items").isNull(), NOT_LIST)
         .when((kind == "map") & ~good, NOT_PAIRS)
     )
     at = at.withColumn("_error", error)
-    fine = F.col("_error").isNull()
-    value = F.when(fine & kind.isin("int", "constructor"), F.try_variant_get("_number", "$", "string")).when(fine & (kind == "bytes"), text)
-    inner = F.when(kind == "map", F.flatten(F.transform(pairs, lambda p: F.array(F.element_at(p, F.lit("k")), F.element_at(p, F.lit("v")))))).otherwise(F.try_variant_get("_many", "$", "array<variant>"))
-    none, last = F.lit(None).cast("string"), F.element_at(F.concat(F.array(F.lit(0)), "path"), -1)
+    value = F.when(done, F.col("value")).when(fine & kind.isin("int", "constructor"), F.try_variant_get("_number", "$", "string")).when(fine & (kind == "bytes"), text)
+    inner = F.when(fine, F.when(kind == "map", F.flatten(F.transform("_pairs", lambda p: F.array(F.element_at(p, F.lit("k")), F.element_at(p, F.lit("v")))))).otherwise(F.col("_items")))
+    last, itself = F.element_at(F.concat(F.array(F.lit(0)), "path"), -1), F.array(F.lit(None).cast("variant"))
     # what closes a node, after those below it
     shut = F.concat(F.when(kind.isin("list", "map", "constructor"), "]}").otherwise(""), F.when((F.col("up") == "map") & (last % 2 == 1), "}").otherwise(""))
-    shuts = F.array_append("shut", shut)
-    node = lambda path, up, shut, kind, value, error, v, done: F.struct(path.alias("path"), up.alias("up"), shut.alias("shut"), kind.alias("kind"), value.alias("value"), error.alias("error"), v.alias("v"), F.lit(done).alias("done")).cast(_NODE)
-    itself = node(F.col("path"), F.col("up"), shuts, kind, value, F.col("_error"), F.lit(None).cast("variant"), True)
-    below = F.transform(F.when(fine, inner), lambda x, i: node(F.array_append("path", i), kind, shuts, none, none, none, x, False))
-    as_it_was = node(F.col("path"), F.col("up"), F.col("shut"), F.col("kind"), F.col("value"), F.col("error"), F.lit(None).cast("variant"), True)
-    out = F.when(F.col("done"), F.array(as_it_was)).otherwise(F.concat(F.array(itself), F.coalesce(below, F.array().cast(f"array<{_NODE}>"))))
-    return at.select(*keys, F.explode(out).alias("n"))
+    at = at.select(
+        *keys, "path", "up", F.when(done, F.col("shut")).otherwise(F.array_append("shut", shut)).alias("shut"), F.when(done, F.col("kind")).otherwise(kind).alias("kind"),
+        value.alias("value"), F.col("_error").alias("error"), F.coalesce(F.concat(itself, inner), itself).alias("_all"),
+    )
+    # the node comes first, its children after it; there always is one, and an outer explode adds no filter that makes them again
+    at, first = at.select(*keys, "path", "up", "shut", "kind", "value", "error", F.posexplode_outer("_all").alias("_i", "v")), F.col("_i") == 0
+    return at.select(
+        *keys, F.when(first, F.col("path")).otherwise(F.array_append("path", F.col("_i") - 1)).alias("path"), F.when(first, F.col("up")).otherwise(F.col("kind")).alias("up"), "shut",
+        F.when(first, F.col("kind")).alias("kind"), F.when(first, F.col("value")).alias("value"), "error", "v", first.alias("done"),
+    )
 
 
 def nodes(rows: DataFrame, keys: list[str], datum: str, depth: int = DEPTH) -> DataFrame:
     """The nodes of each datum: the keys, path (places of children from the root), kind, value and error; and for `written`
-    the kind of the node above and what closes the nodes on the path."""
+    the kind of the node above and what closes the nodes on the path. Data are dealt by their keys first, so `written` deals
+    no nodes."""
     none = F.lit(None).cast("string")
-    root = F.struct(F.array().cast("array<int>").alias("path"), none.alias("up"), F.array().cast("array<string>").alias("shut"), none.alias("kind"), none.alias("value"), none.alias("error"), F.try_parse_json(datum).alias("v"), F.lit(False).alias("done"))
-    level = rows.where(F.col(datum).isNotNull()).select(*keys, root.cast(_NODE).alias("n"))
+    given = rows.where(F.col(datum).isNotNull()).select(*keys, datum)
+    dealt = given.repartition(max(1, -(-given.count() // ROWS)), *keys)
+    level = dealt.select(
+        *keys, F.array().cast("array<int>").alias("path"), none.alias("up"), F.array().cast("array<string>").alias("shut"), none.alias("kind"), none.alias("value"), none.alias("error"),
+        F.try_parse_json(datum).alias("v"), F.lit(False).alias("done"),
+    )
     for _ in range(depth):
         level = _taken_apart(level, keys)
-    return level.select(*keys, "n.path", "n.kind", "n.value", F.when(F.col("n.done"), F.col("n.error")).otherwise(TOO_DEEP).alias("error"), "n.up", "n.shut")
+    return level.select(*keys, "path", "kind", "value", F.when(F.col("done"), F.col("error")).otherwise(TOO_DEEP).alias("error"), "up", "shut")
 
 
 def written(found: DataFrame, keys: list[str]) -> DataFrame:
