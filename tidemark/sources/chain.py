@@ -38,6 +38,12 @@ def stream_log(spark: SparkSession, path: str, files_per_batch: int = 100) -> Da
     return spark.readStream.schema(schemas.STREAM).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def stream_names(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """The files of a recorded log as a stream, a row of `file_name` per row of the log; of the files only the footers are read. A
+    batch then reads its files as tables, each time with the columns that it needs."""
+    return spark.readStream.schema(schemas.STREAM).option("maxFilesPerTrigger", files_per_batch).parquet(path).select("_metadata.file_name")
+
+
 #: Bytes of a recorded log that make a file of their own, about.
 FILE_BYTES = 32 << 20
 

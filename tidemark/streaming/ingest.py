@@ -30,7 +30,7 @@ from tidemark.errors import NotStoredAnymore, StopIngest
 from tidemark.operators import changelog, extract, generic
 from tidemark.operators.preprocess import check_pruned, first_sighting, tracked_addresses, tracked_assets, without_scripts
 from tidemark.plans.domain import spent_once
-from tidemark.sources import files
+from tidemark.sources import chain, files
 from tidemark.streaming import layout
 from tidemark.streaming.commits import Commits
 from tidemark.streaming.stats import SyncStats
@@ -184,14 +184,17 @@ class Ingest:
 
     # --- writing
 
-    def process(self, batch: DataFrame, batch_id: int, source: str = "") -> None:
-        """The body of foreachBatch: rows of (seq, op, to_slot, block); batch ids ascend within a source."""
+    def process(self, batch: DataFrame, batch_id: int, source: str = "", stored: bool = False) -> None:
+        """The body of foreachBatch: rows of (seq, op, to_slot, block); batch ids ascend within a source. A batch that is `stored`
+        is read from files that stay, column by column; it need not be written down."""
         state = self._state = self._state or self.state()
         if batch_id <= state.sources.get(source, -1):  # a restart runs the last batch again
             if self.settings.actions and batch_id == state.sources[source] and state.acted < state.batch:
                 self._act(batch.where("op = 'INDEX'").select("seq", "block.*"))
             return
         if batch.limit(IN_MEMORY + 1).count() > IN_MEMORY:
+            if stored:
+                return self._process(state, batch, batch_id, source)
             written = f"{self.root}/_batch"
             try:
                 batch.write.mode("overwrite").parquet(written)
@@ -335,6 +338,17 @@ class Ingest:
         writer = log.writeStream.foreachBatch(lambda batch, i: self.process(batch, i, source)).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
+    def start_files(self, names: DataFrame, folder: str, checkpoint: str):
+        """The same for a stream of the names of a log's files (chain.stream_names), up to those that are there now."""
+        source = checkpoint.rstrip("/")
+
+        def read(batch: DataFrame, i: int) -> None:
+            found = sorted(r.file_name for r in batch.distinct().collect())  # as many as a batch has files
+            rows = chain.read_log(self.spark, *(f"{folder}/{n}" for n in found)) if found else self.spark.createDataFrame([], schemas.STREAM)
+            self.process(rows, i, source, stored=True)
+
+        return names.writeStream.foreachBatch(read).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
     def reopen(self) -> int | None:
         """Goes back to the last stable position and returns it; what came after may lie on a fork that is gone. The source
         starts anew, from there or from its beginning, with the same numbers or with others: what is final is passed over."""
