@@ -38,10 +38,12 @@ def stream_log(spark: SparkSession, path: str, files_per_batch: int = 100) -> Da
     return spark.readStream.schema(schemas.STREAM).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_names(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+def stream_names(spark: SparkSession, path: str, files_per_batch: int = 100, clean: bool = False) -> DataFrame:
     """The files of a recorded log as a stream, a row of `file_name` per row of the log; of the files only the footers are read. A
-    batch then reads its files as tables, each time with the columns that it needs."""
-    return spark.readStream.schema(schemas.STREAM).option("maxFilesPerTrigger", files_per_batch).parquet(path).select("_metadata.file_name")
+    batch then reads its files as tables, each time with the columns that it needs. With `clean` the log is the stream's own: the
+    files of a batch are deleted once the batch is committed in the checkpoint, so those of the last one stay."""
+    stream = spark.readStream.schema(schemas.STREAM).option("maxFilesPerTrigger", files_per_batch).option("cleanSource", "delete" if clean else "off")
+    return stream.parquet(path).select("_metadata.file_name")
 
 
 #: Bytes of a recorded log that make a file of their own, about.
@@ -61,7 +63,7 @@ def write_parts(rows: DataFrame, folder: str, count: int, dealt: Callable[[DataF
     `most` is the largest seq, if it is known. Files then move to the folder part by part, in the order of their times."""
     spark = rows.sparkSession
     most = (rows.agg(F.max("seq")).first()[0] or 0) if most is None else most
-    dealt(rows.withColumn("_part", F.expr(f"seq * {count} div {most + 1}L"))).write.partitionBy("_part").parquet(f"{folder}-parts")
+    dealt(rows.withColumn("_part", F.expr(f"seq * {count} div {most + 1}L"))).write.options(**files.CODEC).partitionBy("_part").parquet(f"{folder}-parts")
     made = [files.listed(spark, f"{folder}-parts/_part={i}", ".parquet") for i in range(count)]
     each, moved, start = max(least, *map(len, made)), [], int(time.time() * 1000) - 1000 * count
     for i, part in enumerate(made):

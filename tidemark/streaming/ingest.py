@@ -31,6 +31,7 @@ from tidemark.operators import changelog, extract, generic
 from tidemark.operators.preprocess import check_pruned, first_sighting, tracked_addresses, tracked_assets, without_scripts
 from tidemark.plans.domain import spent_once
 from tidemark.sources import chain, files
+from tidemark.sources.shared import released
 from tidemark.streaming import layout
 from tidemark.streaming.commits import Commits
 from tidemark.streaming.stats import SyncStats
@@ -111,6 +112,8 @@ def configured(addresses: Sequence[str] = (), assets: Sequence[tuple] = (), scri
 IN_MEMORY = 200_000
 #: Files of a merged run: with more rows files become larger, up to so many rows a file.
 RUN_FILES, FILE_ROWS = 512, 1_000_000
+#: A merged run of more rows is dealt by stretches, so that its shuffle never has all of it on disk.
+AT_ONCE = 1_000_000
 
 _LIVE = "batch bigint, seq bigint, slot_no bigint, block_no bigint, tip_block_no bigint, epoch_no bigint"
 #: The positions of the blocks are a table like the others.
@@ -197,7 +200,7 @@ class Ingest:
                 return self._process(state, batch, batch_id, source)
             written = f"{self.root}/_batch"
             try:
-                batch.write.mode("overwrite").parquet(written)
+                batch.write.options(**files.CODEC).mode("overwrite").parquet(written)
                 self._process(state, self.spark.read.schema(batch.schema).parquet(written), batch_id, source)
             finally:
                 files.remove(self.spark, written)
@@ -254,11 +257,11 @@ class Ingest:
                     out = out.where("not final").unionByName(done.select(out.columns))
                 return out if large else out.hint("rebalance")
 
-            work = [lambda t=t: rows(t).write.mode("overwrite").partitionBy("final").parquet(f"{self.root}/{t.name}/segment={name}") for t in (*self.tables, _POSITIONS)]
+            work = [lambda t=t: rows(t).write.options(**files.CODEC).mode("overwrite").partitionBy("final").parquet(f"{self.root}/{t.name}/segment={name}") for t in (*self.tables, _POSITIONS)]
             # the stable position itself stays: it is where a rollback may go back to
             live = valid if not flush or new.stable is None else valid.where(F.col("slot_no") >= new.stable)
             work.append(lambda: live.repartition(1).write.mode("overwrite").parquet(f"{self.root}/_live/{name}"))
-            _together(work)
+            _together(work, self.spark, batch.sparkSession)
             gone = [f"_live/{h}" for h in old.hot[-1:]]
             if flush:
                 gone += [f"{t.name}/segment={h}/final=false" for h in old.hot for t in (*self.tables, _POSITIONS)]
@@ -278,7 +281,7 @@ class Ingest:
         gone: list[str] = []
         while len(last := state.cold[-self.settings.merge :]) == self.settings.merge and len({r.level for r in last}) == 1:
             run = Run(f"{state.batch:012d}-{last[0].level + 1}", last[0].low, last[-1].high, last[0].level + 1)
-            _together([lambda t=t: self._lay(t, state, last, run) for t in (*self.tables, _POSITIONS)])
+            _together([lambda t=t: self._lay(t, state, last, run) for t in (*self.tables, _POSITIONS)], self.spark)
             state.cold = [*state.cold[: -len(last)], run]
             gone += self._paths(last)
         return gone
@@ -292,9 +295,11 @@ class Ingest:
         rows = rows if t.folded is None else t.folded(rows).select(*_names(t.schema))
         many = rows.count()
         each = max(self.settings.file_rows, min(FILE_ROWS, -(-many // RUN_FILES)))
-        laid = layout.laid_out(rows, t.key, max(1, -(-many // each)), run.low, run.high)
-        where = f"{self.root}/{t.name}/segment={run.name}"
-        laid.withColumns({"seq": F.lit(None).cast("bigint"), "batch": F.lit(None).cast("bigint"), "final": F.lit(True)}).write.mode("overwrite").partitionBy("final").parquet(where)
+        where, mode = f"{self.root}/{t.name}/segment={run.name}", "overwrite"
+        for some, own in layout.stretches(rows, t.key) if many > AT_ONCE else [(rows, many)]:
+            laid = layout.laid_out(some, t.key, max(1, -(-own // each)), run.low, run.high)
+            laid.withColumns({"seq": F.lit(None).cast("bigint"), "batch": F.lit(None).cast("bigint"), "final": F.lit(True)}).write.options(**files.CODEC).mode(mode).partitionBy("final").parquet(where)
+            mode = "append"
         written = self._parquet(t, [run.name])
         zones = layout.zones(written, t.key)
         zones.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_zones/{t.name}/{run.name}")
@@ -469,8 +474,8 @@ _ZONES = "file string, low bigint, high bigint, first bigint, last bigint, rows
 _BLOOMS = "file string, part bigint, bits binary, size bigint"
 
 
-def _together(work: list[Callable[[], None]]) -> None:
-    with ThreadPoolExecutor(len(work)) as pool:
+def _together(work: list[Callable[[], None]], *sessions: SparkSession) -> None:
+    with released(*sessions), ThreadPoolExecutor(len(work)) as pool:
         list(pool.map(lambda f: f(), work))
 
 

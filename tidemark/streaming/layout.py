@@ -38,6 +38,14 @@ def laid_out(rows: DataFrame, key: str, parts: int, low: int, high: int) -> Data
     return rows.withColumn("_z", z).repartitionByRange(parts, "_z").drop("_z").sortWithinPartitions(key, "slot_no")
 
 
+def stretches(rows: DataFrame, key: str) -> list[tuple[DataFrame, int]]:
+    """The rows in four stretches of the curve, by the first bits of the key's hash, with the number of rows of each; those that
+    have none are left out. Dealt one after the other, a shuffle has one of them at a time."""
+    at = F.shiftrightunsigned(key_hash(F.col(key)), 2 * SLOT_BITS - 2)
+    many = sorted((r["at"], r["count"]) for r in rows.groupBy(at.alias("at")).count().collect())
+    return [(rows.where(at == i), n) for i, n in many]
+
+
 def zones(rows: DataFrame, key: str) -> DataFrame:
     """A row per file of a table that was read back: the ranges of its keys' hashes and slots, and its rows."""
     h = key_hash(F.col(key))
